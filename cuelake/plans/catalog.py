@@ -1,0 +1,6 @@
+"""The queries of the caption operators and the SQL that says the same."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
