@@ -3,15 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelake.llm import simhash
+from cuelake.llm import decontaminate, secret_scan, simhash, warc
+from cuelake.llm.common import new_path
 from cuelake.tables import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, read the archive back and report each record."""
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archive(spark, path)
+    return back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the edits between them."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {
+    "op3_warc": op3_warc,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_simhash": op9_simhash,
+}
 SQL: dict[str, str] = {}
