@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, secret_scan, simhash, warc
+from cuelake.llm import decontaminate, langid, secret_scan, simhash, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -33,10 +33,28 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by profiles of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.profiles(docs.where(~langid.held_out(5)))
+    out = langid.identify(docs, found)
+    return out.select("doc_id", langid.held_out(5).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a machine fitted on labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(~langid.held_out(3, rest=1)), table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", langid.held_out(3, rest=1).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op3_warc": op3_warc,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
