@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, langid, secret_scan, simhash, toxicity, warc
+from cuelake.llm import decontaminate, langid, packing, secret_scan, simhash, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -18,6 +18,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens packed into windows of 4096."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the edits between them."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc": op3_warc,
+    "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op8_langid": op8_langid,
