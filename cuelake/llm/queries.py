@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, langid, packing, secret_scan, simhash, toxicity, warc
+from cuelake.llm import decontaminate, hmm, langid, packing, secret_scan, simhash, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the hidden Markov model and by word counts."""
+    return hmm.language_scores(table(spark, sf_dir, "documents"), langid.held_out(10))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the archive back and report each record."""
     path = new_path(spark, "warc")
@@ -62,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hmm": op2_hmm,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
