@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, hmm, langid, packing, secret_scan, simhash, toxicity, warc
+from cuelake.llm import decontaminate, hmm, iblt, langid, packing, secret_scan, simhash, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
 
+def op1_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, and how alike they are."""
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document by the hidden Markov model and by word counts."""
     return hmm.language_scores(table(spark, sf_dir, "documents"), langid.held_out(10))
@@ -67,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_iblt": op1_iblt,
     "op2_hmm": op2_hmm,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
