@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, hmm, iblt, langid, packing, secret_scan, simhash, toxicity, warc
+from cuelake.llm import decontaminate, hmm, iblt, langid, packing, secret_scan, simhash, substring, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -55,6 +55,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 400-byte strings that stand elsewhere too."""
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by profiles of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +84,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
