@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import connected_components, join_by_unique, small_batches, staged, text_or_empty
@@ -94,3 +94,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     named = staged(nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "simhash-classes")
     out = join_by_unique(fps, named, "fp", F.col("doc_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the least doc_id stays, of its repeats one.
+
+    Rows with a null doc_id have no class to name them and stay, one a text. Columns are unchanged.
+    """
+    chosen = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(chosen, docs.doc_id == chosen.doc_id, "left_semi").withColumn("__again", again).where("__again = 1").drop("__again")
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
