@@ -1,6 +1,398 @@
-"""The queries of the caption operators and the SQL that says the same."""
+"""The queries of the caption operators, each over whole tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.functions import config, geometry, replies, text, timecode
+from cuelake.operators import cascade, cues, jobs, sequence
+from cuelake.plans import sql
+from cuelake.sources import formats
+from cuelake.tables import table
+
+FPS = 1.5
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a sample: doc_id, lang, pos, ts, line."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    return rows.select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), (F.col("pos") / FPS).alias("ts"), "line")
+
+
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as position sets of their positive parts, eight sequences by vec_id."""
+    rows = table(spark, sf_dir, "embeddings")
+    places = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return rows.select((F.col("vec_id") % 8).alias("job"), "vec_id", places.alias("signature"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as samples."""
+    return table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") / FPS).alias("ts"), "text")
+
+
+def as_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as job records."""
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_totalprice") % 1).alias("progress"), F.col("o_orderpriority").alias("phase"), F.lit("ok").alias("message"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("cancel_requested"), F.col("o_orderdate").alias("created_at"))
+
+
+# --- text quality ------------------------------------------------------------------------------------------------
+
+
+@query(sql.LINES_TOTAL)
+def line_totals(spark, sf_dir):
+    """Lines, blank lines and characters of each language."""
+    return lines(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line") == "").alias("n_blank"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(sql.LINE_CLEAN)
+def line_clean(spark, sf_dir):
+    """Cleaned and compared forms of lines."""
+    c = text.clean_text(F.col("line"))
+    return lines(spark, sf_dir).select("doc_id", "pos", c.alias("clean"), text.normalize(c).alias("norm"))
+
+
+@query(sql.LINE_REAL_SHARE)
+def line_real_share(spark, sf_dir):
+    """Share of real characters of lines."""
+    return lines(spark, sf_dir).select("doc_id", "pos", F.round(text.real_share(F.col("line")), 6).alias("share"))
+
+
+@query(sql.LINE_FLAGS)
+def line_flags(spark, sf_dir):
+    """Every text predicate on every line."""
+    c = F.col("line")
+    return lines(spark, sf_dir).select("doc_id", "pos", text.is_hard_noise(c).alias("noise"), text.needs_review(c).alias("review"), text.is_unspaced_uppercase(c).alias("unspaced"), text.is_glued_english(c).alias("glued"), text.is_safe_correction(c).alias("safe"))
+
+
+@query(sql.LINE_ACCEPT)
+def line_accept(spark, sf_dir):
+    """Acceptance of lines as tokens with scores made from their places."""
+    score = F.when(F.col("pos") % 5 != 0, 0.7 + F.col("pos") % 4 / 10)
+    return lines(spark, sf_dir).select("doc_id", "pos", text.accepts_token(F.col("line"), score).alias("accepted"))
+
+
+@query(sql.WORD_SHAPES)
+def word_shapes(spark, sf_dir):
+    """Words of lines as tokens: noise and review of single words, the hardest cases of the predicates."""
+    w = lines(spark, sf_dir).select("doc_id", "lang", F.explode(text.tokens(F.col("line"))).alias("w"))
+    return w.where(F.col("w").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(text.is_hard_noise(F.col("w"))).alias("noise"), F.count_if(text.needs_review(F.col("w"))).alias("review"))
+
+
+@query(sql.REVIEW_CHOICE)
+def review_choice(spark, sf_dir):
+    """Each line against the next as its second reading."""
+    w = sequence.ordered(["doc_id"], ["pos"])
+    rows = lines(spark, sf_dir).withColumn("second", F.lead("line").over(w))
+    return rows.select("doc_id", "pos", text.prefers_review(F.col("line"), F.col("second")).alias("second_wins"))
+
+
+@query(sql.REPAIR)
+def repair_lines(spark, sf_dir):
+    """Repaired lines of the English documents."""
+    en = lines(spark, sf_dir).where("lang = 'en'").where(~F.col("line").rlike(r"[^\x00-\x7F]"))
+    return en.select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
+
+
+@query(sql.ENGLISH_WINDOW)
+def english_window(spark, sf_dir):
+    """Whether the last twelve lines are mostly English."""
+    return sequence.english_window(lines(spark, sf_dir), ["doc_id"], ["pos"], "line").select("doc_id", "pos", "english")
+
+
+@query(sql.PREVIEWS)
+def previews(spark, sf_dir):
+    """Short forms of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query(sql.TAG_STRIP)
+def tag_strip(spark, sf_dir):
+    """Pages without tags."""
+    bare = text.strip_tags(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(bare).cast("long").alias("n"), F.md5(bare).alias("digest"))
+
+
+# --- ordered streams ---------------------------------------------------------------------------------------------
+
+
+@query(sql.MASK_DIFF)
+def mask_diff(spark, sf_dir):
+    """Distance of each mask to the one before."""
+    rows = sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature")
+    return rows.select("job", "vec_id", F.round("diff", 9).alias("diff"))
+
+
+@query(sql.REUSE_ISLANDS)
+def reuse_islands(spark, sf_dir):
+    """Islands of unchanged masks, each row with its anchor."""
+    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    return sequence.carry_forward(rows, ["job"], ["vec_id"], "vec_id", "anchor").select("job", "vec_id", "repeat", "island", "anchor")
+
+
+@query(sql.BOOL_RUNS)
+def bool_runs(spark, sf_dir):
+    """Runs of error events of each user."""
+    events = table(spark, sf_dir, "events")
+    return sequence.true_runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+
+
+@query(sql.EVEN_SAMPLE)
+def even_sample(spark, sf_dir):
+    """Fourteen evenly spaced lines of each document."""
+    return sequence.even_sample(lines(spark, sf_dir), ["doc_id"], ["pos"], 14).select("doc_id", "pos")
+
+
+@query(sql.QUARTILE_LINES)
+def quartile_lines(spark, sf_dir):
+    """The lines at a quarter, half and three quarters of each document."""
+    return sequence.at_shares(lines(spark, sf_dir), ["doc_id"], ["pos"]).select("doc_id", "pos")
+
+
+@query(sql.UPPER_MEDIAN)
+def upper_median(spark, sf_dir):
+    """The upper median of each user's values."""
+    return sequence.upper_median(table(spark, sf_dir, "events"), ["user_id"], "value")
+
+
+@query(sql.UPLOAD_BUDGET)
+def upload_budget(spark, sf_dir):
+    """Running size of a source's documents against a limit."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
+    return sequence.within_budget(docs, ["source"], ["doc_id"], "bytes", 100_000).select("doc_id", "received", "accepted")
+
+
+@query(sql.STREAM_PICK)
+def stream_pick(spark, sf_dir):
+    """One document of each source, as a file's text stream, by the order of languages."""
+    docs = table(spark, sf_dir, "documents")
+    return sequence.pick_stream(docs, ["source"], "doc_id", F.col("doc_id") % 3 != 0, F.col("lang"), ["es", "de", "fr"]).select("source", "doc_id", "lang")
+
+
+@query(sql.STREAM_PARSE)
+def stream_parse(spark, sf_dir):
+    """Subtitle streams of listings made from documents."""
+    line = F.concat(F.lit("    Stream #0:"), (F.col("doc_id") % 4).cast("string"), F.lit("("), "lang", F.lit("): Subtitle: SubRip, default"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Input #0\n    Stream #0:0: Video: h264\n"), line, F.lit("\n    Stream #0:9: Subtitle: mov_text (text)\n")).alias("banner"))
+    return formats.parse_banner(rows, ["doc_id"], "banner").select("doc_id", F.col("subtitle_index").cast("long").alias("subtitle_index"), "stream_id", "codec", "language")
+
+
+# --- cues --------------------------------------------------------------------------------------------------------
+
+
+def _exact(spark, sf_dir) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumnRenamed("line", "text")
+    return cues.merge_identical(cues.exact_sessions(cues.prepared(rows), ["doc_id"], FPS), ["doc_id"])
+
+
+@query(sql.CUES_EXACT)
+def cues_exact(spark, sf_dir):
+    """Numbered cues of documents by exact equality, with caption times."""
+    rows = sequence.numbered(_exact(spark, sf_dir), ["doc_id"], ["start"])
+    return rows.select("doc_id", "cue_no", timecode.srt_timestamp(F.col("start")).alias("start_ts"), timecode.srt_timestamp(F.col("end")).alias("end_ts"), "text")
+
+
+@query(sql.CUES_IDENTICAL)
+def cues_identical(spark, sf_dir):
+    """Lines as cues, identical neighbours merged."""
+    rows = cues.prepared(lines(spark, sf_dir).withColumnRenamed("line", "text")).where("clean is not null")
+    as_cues = rows.select("doc_id", F.col("clean").alias("text"), F.col("ts").alias("start"), (F.col("ts") + 1 / FPS).alias("end"))
+    out = cues.merge_identical(as_cues, ["doc_id"])
+    return out.select("doc_id", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query(sql.CUES_CONTAINED)
+def cues_contained(spark, sf_dir):
+    """Lines as cues, fragments of the cue before dropped."""
+    rows = cues.prepared(lines(spark, sf_dir).withColumnRenamed("line", "text")).where("clean is not null")
+    as_cues = rows.select("doc_id", F.col("clean").alias("text"), F.col("ts").alias("start"), (F.col("ts") + 1 / FPS).alias("end"))
+    out = cues.drop_contained(as_cues, "doc_id")
+    return out.select("doc_id", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query()
+def cues_fuzzy(spark, sf_dir):
+    """All passes of cue building on conversations, by similarity."""
+    return cues.build_cues(turns(spark, sf_dir), "conv_id", FPS)
+
+
+@query()
+def cues_fuzzy_documents(spark, sf_dir):
+    """All passes of cue building on documents' lines, by similarity."""
+    rows = lines(spark, sf_dir).select("doc_id", "ts", F.col("line").alias("text"))
+    return cues.build_cues(rows, "doc_id", FPS)
+
+
+@query(sql.SRT_DOCUMENTS)
+def srt_documents(spark, sf_dir):
+    """Digests of each document's caption and text files."""
+    both = cues.caption_files(_exact(spark, sf_dir), ["doc_id"])
+    return both.select("doc_id", F.md5("srt").alias("srt_md5"), F.md5("txt").alias("txt_md5"))
+
+
+@query(sql.SRT_PLAIN)
+def srt_plain(spark, sf_dir):
+    """Caption files back as plain text."""
+    both = cues.caption_files(_exact(spark, sf_dir), ["doc_id"])
+    return cues.plain_text(both, ["doc_id"], "srt").select("doc_id", F.md5("plain").alias("plain_md5"))
+
+
+@query()
+def srt_round_trip(spark, sf_dir):
+    """Cues written as caption files and read back, to the millisecond."""
+    both = cues.caption_files(_exact(spark, sf_dir), ["doc_id"])
+    return formats.read_captions(both, ["doc_id"], "srt")
+
+
+@query(sql.LLM_CHUNKS)
+def llm_chunks(spark, sf_dir):
+    """Blocks of forty cues for a corrector."""
+    rows = sequence.chunked(_exact(spark, sf_dir), ["doc_id"], ["start"])
+    return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last_i"))
+
+
+@query(sql.LLM_APPLY)
+def llm_apply(spark, sf_dir):
+    """Corrections of every block's second cue applied."""
+    rows = _exact(spark, sf_dir)
+    found = sequence.chunked(rows, ["doc_id"], ["start"]).where("i = 2").select("doc_id", "chunk", F.create_map(F.lit(2), F.concat(F.lit("> "), "text")).alias("found"))
+    out = cascade.apply_corrections(rows, found, ["doc_id"])
+    return out.select("doc_id", F.round("start", 6).alias("start"), "text")
+
+
+@query(sql.LLM_PARSE)
+def llm_parse(spark, sf_dir):
+    """Correction maps of replies made from conversation turns."""
+    reply = F.concat(F.lit('```json\n{"items": ['), F.to_json(F.struct(F.col("turn").alias("i"), F.col("text").alias("text"))), F.lit("]}\n```"))
+    rows = table(spark, sf_dir, "conversations").where("turn > 0").select("conv_id", "turn", replies.correction_map(reply).alias("m"))
+    return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
+
+
+# --- times, boxes and settings -----------------------------------------------------------------------------------
+
+
+@query(sql.TIME_TEXTS)
+def time_texts(spark, sf_dir):
+    """Every time format on event values."""
+    s = F.col("value") * 37.5
+    rows = table(spark, sf_dir, "events").select("event_id", s.alias("s"))
+    return rows.select("event_id", timecode.srt_timestamp(F.col("s")).alias("srt"), timecode.duration_text(F.col("s")).alias("duration"), timecode.clock(F.col("s")).alias("clock"))
+
+
+@query(sql.SIZE_TEXTS)
+def size_texts(spark, sf_dir):
+    """Sizes as text."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", timecode.size_text(F.floor(F.col("o_totalprice") * F.col("o_totalprice"))).alias("size"))
+
+
+@query(sql.AGE_TEXTS)
+def age_texts(spark, sf_dir):
+    """Ages of events at a fixed time."""
+    then = F.unix_timestamp("ts")
+    return table(spark, sf_dir, "events").select("event_id", timecode.age_text(then, then + F.col("event_id") * 137 % 4_000_000).alias("age"))
+
+
+@query(sql.CROP_BOXES)
+def crop_boxes(spark, sf_dir):
+    """Pixel bounds of boxes made from line items."""
+    rows = table(spark, sf_dir, "lineitem")
+    box = F.when(F.col("l_linenumber") != 7, geometry.region(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 60, F.col("l_quantity") / 80))
+    cut = geometry.crop_box(F.col("l_quantity").cast("int") * 8 + 100, F.lit(640), box, F.lit(0.55))
+    return rows.select("l_orderkey", "l_linenumber", cut["top"].cast("long").alias("top"), cut["bottom"].cast("long").alias("bottom"), cut["left"].cast("long").alias("left"), cut["right"].cast("long").alias("right"))
+
+
+@query(sql.AUTO_CONFIG)
+def auto_config(spark, sf_dir):
+    """Settings of videos made from orders."""
+    o = table(spark, sf_dir, "orders")
+    mode = F.element_at(F.array(*[F.lit(x) for x in ("fast", "balanced", "accurate", "other")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    c = config.auto_config(mode, F.col("o_totalprice") / 100, (F.col("o_orderkey") % 1000 + 300).cast("double"), (F.col("o_custkey") % 900 + 200).cast("double"), F.when(F.col("o_custkey") % 3 == 0, F.lit(0.62)))
+    return o.select("o_orderkey", c["mode"].alias("mode"), c["fps"].alias("fps"), F.round(c["crop_bottom"], 6).alias("crop_bottom"), c["similarity"].alias("similarity"), c["ocr_batch_size"].cast("long").alias("batch"), c["frame_diff_threshold"].alias("threshold"))
+
+
+@query(sql.ENGINE_PLANS)
+def engine_plans(spark, sf_dir):
+    """Engine choices for sets of available engines."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    there = F.filter(F.array(*[F.when(F.floor(k / 2**i) % 2 == 1, F.lit(e)) for i, e in enumerate(config.ENGINE_ORDER)]), lambda e: e.isNotNull())
+    plan = config.engine_plan(F.when(k % 7 == 0, F.lit(" OpenVINO ")).otherwise(F.lit("auto")), F.when(k % 3 == 0, F.lit("fast")).otherwise(F.lit("balanced")), there)
+    return o.select("o_orderkey", plan["engine"].alias("engine"), plan["review_engine"].alias("review_engine"))
+
+
+@query(sql.LANGUAGE_NAMES)
+def language_names(spark, sf_dir):
+    """Language codes and providers of names."""
+    return table(spark, sf_dir, "documents").select("doc_id", config.language_code(F.upper("lang")).alias("language"), config.provider_name(F.when(F.col("doc_id") % 2 == 0, F.lit(" Ollama")).otherwise(F.col("lang"))).alias("provider"))
+
+
+# --- jobs and logs -----------------------------------------------------------------------------------------------
+
+
+@query(sql.RECENT_JOBS)
+def recent_jobs(spark, sf_dir):
+    """The thirty newest jobs."""
+    return jobs.recent(as_jobs(spark, sf_dir), "created_at", "id").select("id", "status", "created_at")
+
+
+@query(sql.RECOVERED_JOBS)
+def recovered_jobs(spark, sf_dir):
+    """Jobs after a restart."""
+    return jobs.recovered(as_jobs(spark, sf_dir)).select("id", "status", "phase", F.round("progress", 6).alias("progress"), "error")
+
+
+@query(sql.CANCELED_JOBS)
+def canceled_jobs(spark, sf_dir):
+    """Jobs after a request to cancel every third."""
+    return jobs.canceled(as_jobs(spark, sf_dir), F.col("id") % 3 == 0).select("id", "status", "message", "cancel_requested")
+
+
+@query(sql.PURGED_JOBS)
+def purged_jobs(spark, sf_dir):
+    """What stays after a purge, by status."""
+    return jobs.purged(as_jobs(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(sql.LATEST_STATE)
+def latest_state(spark, sf_dir):
+    """The last value and type of each user's events."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"))
+    return jobs.latest(events, "user_id", "event_id")
+
+
+@query(sql.PROGRESS)
+def progress(spark, sf_dir):
+    """Progress of each line of a document."""
+    return jobs.progress(lines(spark, sf_dir), ["doc_id"], ["pos"]).select("doc_id", "pos", F.round("progress", 9).alias("progress"))
+
+
+@query(sql.LOG_SUMMARY)
+def log_summary(spark, sf_dir):
+    """Counts of a log made from masks."""
+    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    log = rows.select(F.col("vec_id").cast("double").alias("timestamp"), F.when(F.col("vec_id") % 5 != 0, F.lit("x")).alias("text"), F.col("repeat").alias("reused"), (F.col("vec_id") % 7 == 0).alias("reviewed"), "diff")
+    return jobs.log_summary(jobs.log_rows(log, {"review_engine": "paddle", "crop_bottom": 0.55}))
+
+
+@query(sql.LOG_TAIL)
+def log_tail(spark, sf_dir):
+    """The last eighty events."""
+    return jobs.log_tail(table(spark, sf_dir, "events"), "event_id").select("event_id", "event_type")

@@ -1,0 +1,118 @@
+"""A Spark data source named ``srt``: ``spark.read.format("srt").load(folder)`` and ``df.write.format("srt")``.
+
+For files on storage that Python can open; caption contents already in a table go through sources.formats.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+SCHEMA = "job_id string, cue_no long, start double, end double, text string"
+TIMES = re.compile(r"(\d+):(\d+):(\d+),(\d+)\s*-->\s*(\d+):(\d+):(\d+),(\d+)")
+
+
+@dataclass
+class _File(InputPartition):
+    path: str
+
+
+@dataclass
+class _Wrote(WriterCommitMessage):
+    paths: list[str]
+
+
+def _clock(ms: int) -> str:
+    return f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}"
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        top = Path(self.path)
+        return [_File(str(p)) for p in ([top] if top.is_file() else sorted(top.rglob("*.srt")))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition is None:
+            return
+        name = Path(partition.path).stem.split("__")[0]
+        with open(partition.path, encoding="utf-8") as f:
+            number, times, lines = None, None, []
+            for line in [*f, "\n"]:
+                line = line.rstrip("\r\n")
+                if not line:
+                    if times and number is not None:
+                        yield name, number, times[0], times[1], "\n".join(lines)
+                    number, times, lines = None, None, []
+                elif times is None and number is None and line.strip().isdecimal():
+                    number = int(line)
+                elif times is None and (m := TIMES.search(line)):
+                    h = [int(x) for x in m.groups()]
+                    times = tuple((h[k] * 3_600_000 + h[k + 1] * 60_000 + h[k + 2] * 1000 + h[k + 3]) / 1000 for k in (0, 4))
+                else:
+                    lines.append(line)
+
+
+class _Writer(DataSourceWriter):
+    """Rows come sorted by job and start; each task writes a job's rows to a file of its own."""
+
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        top, done, out, job, n = Path(self.path), [], None, None, 0
+        top.mkdir(parents=True, exist_ok=True)
+        for r in rows:
+            if out is None or r.job_id != job:
+                if out:
+                    out.close()
+                job, n = r.job_id, 0
+                done.append(str(top / f"{job}__{uuid.uuid4().hex[:8]}.srt"))
+                out = open(done[-1], "w", encoding="utf-8")  # noqa: SIM115
+            n += 1
+            out.write(f"{n}\n{_clock(round(max(r.start, 0) * 1000))} --> {_clock(round(max(r.end, 0) * 1000))}\n{r.text}\n\n")
+        if out:
+            out.close()
+        return _Wrote(done)
+
+    def commit(self, messages: list) -> None:
+        if self.overwrite:
+            mine = {p for m in messages if m for p in m.paths}
+            for p in Path(self.path).glob("*.srt"):
+                if str(p) not in mine:
+                    p.unlink()
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            for p in m.paths if m else []:
+                Path(p).unlink(missing_ok=True)
+
+
+class SrtSource(DataSource):
+    """Caption files as rows of cues."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "srt"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"])
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session."""
+    spark.dataSource.register(SrtSource)
