@@ -10,7 +10,9 @@ end is cut at a grain and its rest is the next seed. What no neighbour fills, th
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +27,10 @@ from cuelake.llm.common import small_batches, staged, text_or_empty
 
 WINDOW, END, GRAIN, SHARD = 4096, 2, 32, 1024
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
-CACHE = 700_000
-#: Code points below this one need no composition and lower alike one by one or in context.
-PLAIN = "ɐ"
-ODD = frozenset(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x130, 0x149, 0x1F0]))
+CACHE = 1_000_000
+#: Texts with these go to the tokenizer whole: code points that compose or lower in context, and odd white space.
+BEYOND = re.compile("[\x85\xa0\u0130\u0149\u01f0\u0250-\U0010ffff]")
+CONTROLS = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
@@ -46,6 +48,30 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Packed ids of words; a word that isn't here yet is encoded and kept."""
+
+    pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    letters = _alphabet()
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokenizer = _load(path)
+        self.merge = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if "'" in word or "<|" in word:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif (low := word.lower()) != word:
+            ids = self[low]
+        elif word.isalpha() or len(parts := self.pieces.findall(word)) == 1:
+            ids = array("I", [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """The ids of whole texts by a tokenizer whose pieces never cross white space; words are looked up once.
 
@@ -53,36 +79,19 @@ class WordIds:
     Texts beyond the plain range, and words with apostrophes or special tokens, go to the tokenizer itself.
     """
 
-    _known: dict[str, dict[str, bytes]] = {}
-    _pieces = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    _letters = _alphabet()
+    _known: dict[str, _Words] = {}
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _load(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.known = WordIds._known.setdefault(path, {})
-
-    def word(self, word: str) -> bytes:
-        """The ids of a word, packed."""
-        if "'" in word or "<|" in word:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            low = word.lower()
-            parts = [low] if low.isalpha() else self._pieces.findall(low)
-            ids = [t.id for p in parts for t in self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self._letters))]
-        return np.array(ids, np.uint32).tobytes()
+        if path not in WordIds._known:
+            WordIds._known[path] = _Words(path)
+        self.known = WordIds._known[path]
 
     def __call__(self, text: str) -> np.ndarray:
-        if text and (max(text) >= PLAIN or not ODD.isdisjoint(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        known = self.known
-        words = text.split()
-        if len(known) > CACHE:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        if not text.isascii() and BEYOND.search(text) or CONTROLS.search(text):
+            return np.array(self.known.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), np.uint32)
 
 
 # --- checksums of pieces -----------------------------------------------------------------------------------------
