@@ -28,7 +28,7 @@ def _get(name: str, make: Callable[[], Recognizer]) -> Recognizer:
 
 def recognize(df: DataFrame, source: str, out: str, name: str, make: Callable[[], Recognizer], batch: int = 64) -> DataFrame:
     """df with the recognizer's text of the source column; batches bound what it holds."""
-    at = df.schema.add(out, "string")
+    at = df.select("*").schema.add(out, "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = _get(name, make)

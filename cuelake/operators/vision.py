@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions.geometry import refine_region
 from cuelake.operators.sequence import even_sample, true_runs
@@ -137,7 +138,7 @@ def signatures(frames: DataFrame, keys: list[str]) -> DataFrame:
             images = (pixels(d, h, w) for d, h, w in zip(b["data"], b["height"], b["width"], strict=True))
             yield b[keys].assign(signature=[None if x is None else signature(x).tolist() for x in images])
 
-    schema = frames.select(*keys).schema.add("signature", "array<int>")
+    schema = frames.select(*keys).schema.add("signature", T.ArrayType(T.IntegerType()))
     return frames.select(*keys, "height", "width", "data").mapInPandas(run, schema)
 
 
@@ -157,7 +158,7 @@ def row_profiles(frames: DataFrame, keys: list[str], order: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[*kept, "profile", "active"])
 
     sampled = even_sample(frames, keys, [order], SAMPLES).select(*kept, "height", "width", "data")
-    return sampled.mapInPandas(run, frames.select(*kept).schema.add("profile", "array<double>").add("active", "array<double>"))
+    return sampled.mapInPandas(run, frames.select(*kept).schema.add("profile", T.ArrayType(T.DoubleType())).add("active", T.ArrayType(T.DoubleType())))
 
 
 def smoothed(values: Column) -> Column:
