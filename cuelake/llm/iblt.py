@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text's paragraphs are its lines, long lines cut after every third sentence. Their 64-bit digests go into a sketch of 3
+A text's paragraphs are its lines, long lines cut after every second sentence, and after 160 letters without one. Their 64-bit digests go into a sketch of 3
 tables of 8 cells; a cell holds how many digests fell into it, their exclusive or, and that of the digests' check
 hashes. Two versions' sketches subtract cell by cell: what they share cancels. A cell left with one digest gives it
 up, which frees others, until nothing is left (the difference is known) or no cell is pure. Then the sketch is retried
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import staged, text_or_empty
 
 TABLES, CELLS, ROUNDS, LEVELS = 3, 8, 8, 32
-PARAGRAPH = r"(?:[^.!?\n]*+[.!?]++){1,3}|[^.!?\n]++"
+PARAGRAPH = r"(?:[^.!?\n]{0,160}+[.!?]++){1,2}|[^.!?\n]{1,160}+"
 BLOCK_BITS, GROUP_BITS, FEW = 5, 12, 10_000
 LEAST = -(1 << 63)
 

@@ -112,7 +112,7 @@ def test_join_by_unique_with_a_hot_key(spark):
 def test_iblt(spark, odd_docs, empty):
     got = iblt.fingerprints(frame(spark, odd_docs)).collect()
     ordered = sorted(((i, t or "") for i, t in odd_docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    parts = lambda t: {x.strip(" ") for x in re.findall(r"(?:[^.!?\n]*[.!?]+){1,3}|[^.!?\n]+", t)} - {""}
+    parts = lambda t: {x.strip(" ") for x in re.findall(iblt.PARAGRAPH, t)} - {""}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = []
     for k, (i, t) in enumerate(ordered):
