@@ -5,9 +5,9 @@ too many to sort, so only places that can repeat are. Every window of LENGTH byt
 least hash; equal windows have their anchors at equal places, with equal hashes. Windows in a row with one anchor
 make one stretch of text, kept if its anchor's hash stands at two places of the corpus or more.
 
-Stretches are range-partitioned by their anchors, with splitters that Spark samples. A bucket sorts the suffixes that
-start a window by multikey quicksort on 8-byte letters: tied runs alone go on to the next letter, single suffixes are
-new, and a run whose windows have one fingerprint repeats. Spark's ranges keep equal anchors together, so that no
+Stretches are range-partitioned by their anchors, with sampled splitters. A bucket sorts the suffixes that
+start a window by multikey quicksort on 8-byte letters: single suffixes are new, tied runs go on to the next letter, the last
+of which is the window's 64-bit fingerprint; what is tied then repeats. Ranges keep equal anchors together, so that no
 repeat crosses a bucket's boundary. An anchor at over MANY places doesn't meet in one bucket: its windows are
 counted by their 128-bit digests instead.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import join_by_unique, small_batches, staged, text_or_empty
 
-LENGTH, GRAM, LETTER = 400, 32, 8
-MANY, BUCKET_BYTES = 16_384, 4 << 20
+LENGTH, GRAM, LETTER, LETTERS = 400, 32, 8, 2
+MANY, BUCKET_BYTES, WHOLE = 16_384, 2 << 20, 4 << 20
 _PLACE_BITS = 20
 _PLACES = np.uint64((1 << _PLACE_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -81,27 +81,32 @@ def repeated(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
     begin = np.cumsum(sizes) - sizes
     b = np.frombuffer(b"".join(parts), np.uint8)
     at = np.concatenate([np.arange(s, s + n - length + 1) for s, n in zip(begin, sizes, strict=True)])
-    up, down = _power(int(sizes.max()))
-    inside = np.arange(len(b)) - np.repeat(begin, sizes)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * up[inside], dtype=np.uint64)])
-    finger = _mixed((total[at + length] - total[at]) * down[inside[at]])
-    padded = np.concatenate([b, np.zeros(LETTER, np.uint8)])
-    letters = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, LETTER)).view(">u8").ravel().astype(np.uint64)
+    if len(b) <= WHOLE:
+        up, down = _power(len(b))
+        base = down[at]
+    else:  # powers start anew in every part, so that their table stays small
+        up, down = _power(int(sizes.max()))
+        inside = np.arange(len(b)) - np.repeat(begin, sizes)
+        up, base = up[inside], down[inside[at]]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * up, dtype=np.uint64)])
+    finger = (total[at + length] - total[at]) * base
+    letters = np.ndarray((len(b),), ">u8", np.concatenate([b, np.zeros(LETTER, np.uint8)]), strides=(1,))
     found = np.zeros(len(at), bool)
     left, run = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for depth in range(0, length, LETTER):
-        key = letters[at[left] + min(depth, length - LETTER)]
-        order = np.lexsort((key, run)) if depth else np.argsort(key, kind="stable")
-        left, key, run = left[order], key[order], run[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (run[1:] != run[:-1])])
-        starts = np.flatnonzero(new)
+    for depth in range(LETTERS + 1):
+        key = letters[at[left] + depth * LETTER].astype(np.uint64) if depth < LETTERS else finger[left]
+        if depth:  # the letter's rank within all, so that run and letter sort as one number
+            order = np.argsort(key)
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+            key = run * (rank[order[-1]] + 1) + rank
+        order = np.argsort(key)
+        left, key = left[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(starts, len(left)))
-        f = finger[left]
-        same = np.minimum.reduceat(f, starts) == np.maximum.reduceat(f, starts)
-        run = np.repeat(np.arange(len(starts)), count)
-        found[left[(same & (count > 1))[run]]] = True
-        going = (~same)[run]
-        left, run = left[going], run[going]
+        tied = np.repeat(count > 1, count)
+        run = np.repeat(np.arange(len(starts)), count)[tied]
+        left = left[tied]
         if not len(left):
             return found
     found[left] = True
@@ -128,22 +133,33 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
     return lists.groupBy("tid").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("m", "first", "last", "lead")])
 
 
-def _stretch_rows(texts: DataFrame, length: int) -> DataFrame:
-    """One row a stretch with a repeated anchor: lead, many, tid, first, bytes."""
+def _splitters(common: DataFrame, parts: int) -> list[int]:
+    """Where the buckets of anchors part: even shares of a sample of them."""
+    share = min(1.0, parts * 200 / max(1, common.count()))
+    some = sorted(r[0] for r in common.where(~F.col("many")).sample(share, seed=7).select("lead").collect())
+    return [some[len(some) * k // parts] for k in range(1, parts)] if len(some) >= parts else []
+
+
+def _stretch_rows(texts: DataFrame, length: int, splitters: list[int]) -> DataFrame:
+    """One row a stretch with a repeated anchor: lead, its bucket (-1: very common), tid, first, bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array(splitters, np.int64)
         for b in batches:
             out: list[tuple] = []
             for tid, text, spots in zip(b.column("tid").to_pylist(), b.column("text").to_pylist(), b.column("spots").to_pylist(), strict=True):
                 raw = text.encode()
                 out += [(s["lead"], s["many"], tid, s["first"], raw[s["first"] : s["last"] + length]) for s in spots]
             for a in range(0, len(out), 5000):
-                cols = list(zip(*out[a : a + 5000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["lead", "many", "tid", "first", "part"])
+                lead, many, *rest = zip(*out[a : a + 5000], strict=True)
+                lead = np.array(lead, np.int64)
+                bucket = np.where(many, -1, np.searchsorted(edges, lead, side="right")).astype(np.int32)
+                cols = [pa.array(lead), pa.array(bucket), *[pa.array(c, k) for c, k in zip(rest, (pa.binary(), pa.int32(), pa.binary()), strict=True)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["lead", "bucket", "tid", "first", "part"])
 
-    return texts.mapInArrow(run, "lead long, many boolean, tid binary, first int, part binary")
+    return texts.mapInArrow(run, "lead long, bucket int, tid binary, first int, part binary")
 
 
-def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
+def _sorted_repeats(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """(tid, start, end) of what repeats, from stretches in buckets ordered by anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -170,7 +186,7 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield from settle()
 
-    ordered = rows.select("lead", "tid", "first", "part").repartitionByRange("lead").sortWithinPartitions("lead")
+    ordered = rows.repartitionById(buckets, "bucket").select("lead", "tid", "first", "part").sortWithinPartitions("lead")
     return ordered.mapInArrow(run, "tid binary, start int, end int")
 
 
@@ -205,10 +221,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     common = staged(places.groupBy("lead").count().where("count > 1").select("lead", (F.col("count") > many).alias("many")), "common-anchors")
     spots = places.join(common, "lead").groupBy("tid").agg(F.collect_list(F.struct("lead", "many", "first", "last")).alias("spots"))
     held = staged(rows.groupBy("tid").agg(F.first("text").alias("text")).join(spots, "tid"), "anchored-texts")
-    parts = _stretch_rows(held, length)
-    found = _sorted_repeats(parts.where("not many"), length)
+    splitters = _splitters(common, max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = _stretch_rows(held, length, splitters)
+    found = _sorted_repeats(parts.where("bucket >= 0"), length, len(splitters) + 1)
     if not common.where("many").isEmpty():
-        found = found.unionByName(_counted_repeats(parts.where("many"), length))
+        found = found.unionByName(_counted_repeats(_stretch_rows(held.withColumn("spots", F.filter("spots", lambda s: s.many)).where(F.size("spots") > 0), length, []), length))
     gone = found.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 A unit is a word without its punctuation, or a run of single letters joined ("i d i o t"). The kernel counts the common
 subsequences of three letters of two units, each gap at a price, so letters put in or left out lower it little.
-Sentences of labelled documents take their document's label. Units that stand out in toxic sentences, with and
-without inserted letters, are the positive examples and give half of the landmarks; units of clean sentences are
-the negatives. A document's margin is the largest of its units', its score a logistic curve fitted on training documents.
+Sentences of labelled documents take their document's label. Units that stand out in toxic sentences are the marks; marks
+with a common beginning have a stem. Units near a mark or stem, toxic or not, are the machine's examples, weighted by the
+sentences of either label that hold them, marks also with letters put in. So a stem's harmless forms are learned too. A
+document's score is a logistic curve over its three largest margins of different units, fitted on training documents.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from cuelake.llm.common import small_batches, staged, text_or_empty
 
 ORDER, DECAY, LONGEST = 3, 0.7, 24
 #: Labelled rows that the classifier is fitted on at most, and what of their units reaches the driver.
-SAMPLE, POSITIVES, NEGATIVES, LANDMARKS = 20_000, 48, 3000, 96
-CUT, CACHE = 0.7, 1_000_000
+SAMPLE, MARKS, EXAMPLES, LANDMARKS, TOP = 20_000, 64, 3000, 128, 3
+CUT, CACHE, KNOTS = 0.7, 1_000_000, (0.5, 1.0, 1.5)
 NOT_ALNUM = re.compile(r"[\W_]+")
 SINGLES = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -86,36 +88,51 @@ def unit(chunk: str) -> str:
     return chunk if chunk.isalnum() else NOT_ALNUM.sub("", chunk)
 
 
+def stems(marks: list[str], letters: int = 5, least: int = 3) -> list[str]:
+    """The marks, those of which at least three begin alike as what they have in common."""
+    groups: dict[str, list[str]] = {}
+    for m in marks:
+        groups.setdefault(m[:letters], []).append(m)
+    return sorted({commonprefix(g) if len(g) >= least else m for g in groups.values() for m in g})
+
+
+def near_pattern(marks: list[str]) -> str:
+    """What a unit must hold to be compared: a stem's letters in order with at most two between, or all but one of them."""
+    def gapped(s: str) -> str:
+        return ".{0,2}".join(map(re.escape, s))
+
+    found = stems(marks)
+    ways = {gapped(m) for m in found} | {gapped(m[:i] + m[i + 1 :]) for m in found if len(m) > 4 for i in range(len(m))}
+    return "|".join(sorted(ways))
+
+
+def bent(tops: np.ndarray) -> np.ndarray:
+    """The curve's inputs: the largest margins, what the first is over each knot, and one."""
+    first = tops[:, :1]
+    return np.hstack([tops, *[np.maximum(first - k, 0) for k in KNOTS], np.ones_like(first)])
+
+
 @dataclass
 class Model:
-    """Landmarks and the margin's weights over kernel values; marks are the positive landmarks."""
+    """Landmarks and the margin's weights over kernel values, and the curve's over the largest margins and one."""
 
     landmarks: list[str] = field(default_factory=list)
     marks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    slope: float = 0.0
-    level: float = -20.0
-
-    def near_mark(self) -> re.Pattern | None:
-        """What a unit must hold to be compared: a mark's letters in order with at most two between, or all but one of them."""
-        def gapped(s: str) -> str:
-            return ".{0,2}".join(map(re.escape, s))
-
-        ways = {gapped(m) for m in self.marks} | {gapped(m[:i] + m[i + 1 :]) for m in self.marks if len(m) > 4 for i in range(len(m))}
-        return re.compile("|".join(sorted(ways)), re.DOTALL) if ways else None
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + len(KNOTS)) + [-20.0]))
 
     def margins(self, units: list[str]) -> np.ndarray:
-        """The machine's margin of each unit."""
+        """The machine's margin of each unit, of long ones the largest of their windows'."""
         parts = [(k, w) for k, u in enumerate(units) for w in windows(u)]
         got = np.concatenate([string_kernel([w for _, w in parts[a : a + 512]], self.landmarks) @ self.weights + self.bias for a in range(0, len(parts), 512)] or [np.zeros(0)])
-        out = np.full(len(units), -1.0)
+        out = np.full(len(units), Scorer.FLOOR)
         np.maximum.at(out, [k for k, _ in parts], got)
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        """Margins as probabilities."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.level, -30, 30)))
+    def score(self, tops: np.ndarray) -> np.ndarray:
+        """Rows of largest margins as probabilities."""
+        return 1 / (1 + np.exp(-np.clip(bent(tops) @ self.curve, -30, 30)))
 
 
 class Scorer:
@@ -124,11 +141,13 @@ class Scorer:
     FLOOR = -1.0
 
     def __init__(self, model: Model) -> None:
-        self.model, self.near, self.known = model, model.near_mark(), {}
+        self.model, self.known = model, {}
+        self.near = re.compile(near_pattern(model.marks), re.DOTALL) if model.marks else None
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.full((len(texts), TOP), self.FLOOR)
         if self.near is None:
-            return np.full(len(texts), self.FLOOR)
+            return out
         if len(self.known) > CACHE:
             self.known.clear()
         all_units = [chunks(t) for t in texts]
@@ -136,27 +155,32 @@ class Scorer:
         for units in all_units:
             for c in units:
                 if c not in known:
-                    known[c] = self.FLOOR
+                    known[c] = None
                     if find(u := unit(c)):
                         close.setdefault(u, []).append(c)
         for u, m in zip(close, self.model.margins(list(close)), strict=True):
             for c in close[u]:
-                known[c] = max(self.FLOOR, float(m))
-        return np.array([max(map(known.__getitem__, units), default=self.FLOOR) for units in all_units])
+                known[c] = u, max(self.FLOOR, float(m))
+        for k, units in enumerate(all_units):
+            hits = dict(x for x in map(known.__getitem__, units) if x)
+            if hits:
+                best = sorted(hits.values(), reverse=True)[:TOP]
+                out[k, : len(best)] = best
+        return out
 
 
-def _margins(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text and what else they have) without the text, with margin."""
+def _tops(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (doc_id, text and what else they have) without the text, with their largest margins and score."""
     small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema if f.name != "text"]
+    kept = [f.name for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(scorer([t or "" for t in b.column("text").to_pylist()]), pa.float64())], names=[*[f.name for f in kept], "margin"])
+            tops = scorer([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(tops.tolist(), pa.list_(pa.float64())), pa.array(model.score(tops))], names=[*kept, "tops", "score"])
 
-    schema = docs.select(*[f.name for f in kept], F.lit(0.0).alias("margin")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select(*kept, F.array(F.lit(0.0)).alias("tops"), F.lit(0.0).alias("score")).schema)
 
 
 def _unit_counts(labelled: DataFrame) -> DataFrame:
@@ -186,7 +210,7 @@ def _variants(mark: str) -> list[str]:
     return [mark[:i] + c + mark[i:] for i in range(1, len(mark)) for c in ("x", mark[i - 1])]
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> np.ndarray:
     """Squared-hinge linear machine by Newton steps on its active rows; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -199,6 +223,24 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.
     return w
 
 
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights by damped Newton steps with a small ridge; the margins' weights are kept from falling below zero."""
+    w = np.zeros(x.shape[1])
+    ridge = 0.1
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * ridge * (w @ w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        w[:-1] = np.maximum(w[:-1], 0)
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return w
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the documents (doc_id, text) that labels (doc_id, toxic) mark.
 
@@ -212,39 +254,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = staged(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id"), "labelled")
     share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     base = min(max(share or 1e-6, 1e-6), 1 - 1e-6)
-    flat = Model(level=math.log(base / (1 - base)))
+    flat = Model(curve=np.array([0.0] * (TOP + len(KNOTS)) + [math.log(base / (1 - base))]))
     units = staged(_unit_counts(labelled), "toxic-units")
     n_pos, n_neg = units.agg(F.sum("pos"), F.sum("neg")).first()
     if not n_pos or not n_neg:
         return flat
     odds = F.log(((F.col("pos") + 0.1) / n_pos) / ((F.col("neg") + 0.1) / n_neg))
     strong = units.where(F.col("pos") >= 3).withColumn("strength", odds * F.sqrt("pos")).where((odds > 2.0) & (F.col("strength") > 6))
-    marks_ = [r[0] for r in strong.orderBy(F.desc("strength"), "unit").limit(POSITIVES).collect()]
-    if not marks_:
+    found = [r[0] for r in strong.orderBy(F.desc("strength"), "unit").limit(MARKS).collect()]
+    if not found:
         return flat
-    clean = [r[0] for r in units.where((F.col("neg") > 0) & ~F.col("unit").isin(marks_)).orderBy(F.desc("neg"), "unit").limit(NEGATIVES // 2).collect()]
-    other = units.where((F.col("neg") > 0) & ~F.col("unit").isin(marks_)).orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVES // 2)
-    clean = list(dict.fromkeys(clean + [r[0] for r in other.collect()]))
-    landmarks = marks_ + clean[:: max(1, len(clean) // max(1, LANDMARKS - len(marks_)))][: LANDMARKS - len(marks_)]
-    positive = list(dict.fromkeys(marks_ + [v for m in marks_ for v in _variants(m)]))
-    rows = positive + clean
-    y = np.array([1.0] * len(positive) + [-1.0] * len(clean))
+    near = units.where(F.col("unit").rlike("(?s)" + near_pattern(found))).orderBy(F.desc(F.col("pos") + F.col("neg")), "unit").limit(EXAMPLES).collect()
+    rows = [(r[0], 1.0, float(r[1])) for r in near if r[1]] + [(r[0], -1.0, float(r[2])) for r in near if r[2]]
+    counts = {r[0]: r[1] for r in near}
+    rows += [(v, 1.0, counts.get(m, 1) / (2 * len(m))) for m in found for v in _variants(m)]
+    harmless = [r[0] for r in sorted(near, key=lambda r: (-r[2], r[0])) if r[2] and r[0] not in found]
+    landmarks = (found + harmless)[:LANDMARKS]
     values, vectors = np.linalg.eigh(string_kernel(landmarks, landmarks).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    k = np.concatenate([string_kernel(rows[a : a + 512], landmarks) for a in range(0, len(rows), 512)]).astype(float)
-    w = _machine(np.hstack([k @ root, np.ones((len(rows), 1))]), y, np.where(y > 0, len(clean) / len(positive), 1.0) / len(rows) * 100)
-    model = Model(landmarks, marks_, root @ w[:-1], float(w[-1]))
-    got = _margins(labelled, model).groupBy(F.round("margin", 2).alias("m"), "toxic").count().collect()
-    m, t, n = (np.array([float(r[i]) for r in got]) for i in range(3))
-    a, b = 1.0, 0.0
-    for _ in range(100):  # the logistic curve, by Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([(n * (p - t) * m).sum() + 1e-3 * a, (n * (p - t)).sum() + 1e-3 * b])
-        q = n * p * (1 - p)
-        h = np.array([[(q * m * m).sum() + 1e-3, (q * m).sum()], [(q * m).sum(), q.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
-    model.slope, model.level = max(a, 0.0), b
+    texts, y, weight = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    k = np.concatenate([string_kernel(texts[a : a + 512], landmarks) for a in range(0, len(texts), 512)]).astype(float)
+    w = _machine(np.hstack([k @ root, np.ones((len(rows), 1))]), y, weight)
+    model = Model(landmarks, found, root @ w[:-1], float(w[-1]))
+    got = _tops(labelled, model).select("tops", "toxic").collect()
+    model.curve = _logistic(bent(np.array([r[0] for r in got])), np.array([float(r[1]) for r in got]))
     return model
 
 
@@ -253,9 +286,8 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     Repeated rows keep their rows, a null doc_id is kept, other columns are left out.
     """
-    rows = _margins(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), model)
-    s = 1 / (1 + F.exp(-F.greatest(F.least(model.slope * F.col("margin") + model.level, F.lit(30.0)), F.lit(-30.0))))
-    return rows.select("doc_id", s.alias("score")).select("doc_id", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    rows = _tops(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), model)
+    return rows.select("doc_id", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
