@@ -201,8 +201,8 @@ def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
 
     windows = rows.select("tid", "first", "part").mapInArrow(run, "w binary, tid binary, start int")
     place = F.struct("tid", "start")
-    twice = windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w")
-    return join_by_unique(windows, twice, "w", F.col("start"), "inner").select("tid", "start", (F.col("start") + length).alias("end"))
+    twice = staged(windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w"), "common-windows")
+    return windows.join(twice, "w", "left_semi").select("tid", "start", (F.col("start") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
