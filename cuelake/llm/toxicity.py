@@ -4,7 +4,8 @@ A unit is a word without its punctuation, or a run of single letters joined ("i
 subsequences of three letters of two units, each gap at a price, so letters put in or left out lower it little.
 Sentences of labelled documents take their document's label. Units that stand out in toxic sentences are the marks; marks
 with a common beginning have a stem. Units near a mark or stem, toxic or not, are the machine's examples, weighted by the
-sentences of either label that hold them, marks also with letters put in. So a stem's harmless forms are learned too. A
+documents of either label that hold them, each document one in all, marks also with letters put in. So a stem's
+harmless forms are learned too, and what one unit alone is worth. A
 document's score is a logistic curve over its three largest margins of different units, fitted on training documents.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import small_batches, staged, text_or_empty
 
-ORDER, DECAY, LONGEST = 3, 0.7, 24
+ORDER, DECAY, LONGEST = 3, 0.85, 24
 #: Labelled rows that the classifier is fitted on at most, and what of their units reaches the driver.
 SAMPLE, MARKS, EXAMPLES, LANDMARKS, TOP = 20_000, 64, 3000, 128, 3
 CUT, CACHE, KNOTS = 0.7, 1_000_000, (0.5, 1.0, 1.5)
@@ -107,7 +108,7 @@ def near_pattern(marks: list[str]) -> str:
 
 
 def bent(tops: np.ndarray) -> np.ndarray:
-    """The curve's inputs: the largest margins, what the first is over each knot, and one."""
+    """The curve's inputs: the largest margins and how many count, what the first is over each knot, and one."""
     first = tops[:, :1]
     return np.hstack([tops, *[np.maximum(first - k, 0) for k in KNOTS], np.ones_like(first)])
 
@@ -120,7 +121,7 @@ class Model:
     marks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + len(KNOTS)) + [-20.0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + 1 + len(KNOTS)) + [-20.0]))
 
     def margins(self, units: list[str]) -> np.ndarray:
         """The machine's margin of each unit, of long ones the largest of their windows'."""
@@ -136,7 +137,7 @@ class Model:
 
 
 class Scorer:
-    """Largest margins of texts; what is known of a word is kept between batches, up to a bound."""
+    """Largest margins of texts and the logarithm of how many count; what is known of a word is kept between batches, up to a bound."""
 
     FLOOR = -1.0
 
@@ -145,7 +146,8 @@ class Scorer:
         self.near = re.compile(near_pattern(model.marks), re.DOTALL) if model.marks else None
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.full((len(texts), TOP), self.FLOOR)
+        out = np.full((len(texts), TOP + 1), self.FLOOR)
+        out[:, TOP] = 0
         if self.near is None:
             return out
         if len(self.known) > CACHE:
@@ -166,6 +168,7 @@ class Scorer:
             if hits:
                 best = sorted(hits.values(), reverse=True)[:TOP]
                 out[k, : len(best)] = best
+                out[k, TOP] = math.log1p(sum(m > self.FLOOR / 2 for m in hits.values()))
         return out
 
 
@@ -205,6 +208,24 @@ def _unit_counts(labelled: DataFrame) -> DataFrame:
     return sentences.select("toxic", "sentence").mapInArrow(count, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _near_units(labelled: DataFrame, marks: list[str]) -> DataFrame:
+    """(unit, pos, neg): what the units near a mark weigh in documents of either label, each document one in all."""
+    pattern = near_pattern(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern, re.DOTALL).search
+        for b in batches:
+            n: tuple[Counter, Counter] = Counter(), Counter()
+            for y, t in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+                hits = {u for c in set(chunks(t)) if len(u := unit(c)) <= LONGEST and find(u)}
+                for u in hits:
+                    n[y][u] += 1 / len(hits)
+            names = list(n[0].keys() | n[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([float(n[1][u]) for u in names], pa.float64()), pa.array([float(n[0][u]) for u in names], pa.float64())], names=["unit", "pos", "neg"])
+
+    return labelled.select("toxic", "text").mapInArrow(run, "unit string, pos double, neg double").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def _variants(mark: str) -> list[str]:
     """A mark with a letter put in at each inner place."""
     return [mark[:i] + c + mark[i:] for i in range(1, len(mark)) for c in ("x", mark[i - 1])]
@@ -223,14 +244,13 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by damped Newton steps with a small ridge; the margins' weights are kept from falling below zero."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Logistic weights by damped Newton steps with a small ridge; all but the last are kept from falling below zero."""
     w = np.zeros(x.shape[1])
-    ridge = 0.1
-    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * ridge * (w @ w)
+    loss = lambda w: (weight * np.logaddexp(0, -(2 * y - 1) * (x @ w))).sum() + 0.5 * ridge * (w @ w)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
@@ -254,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = staged(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id"), "labelled")
     share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     base = min(max(share or 1e-6, 1e-6), 1 - 1e-6)
-    flat = Model(curve=np.array([0.0] * (TOP + len(KNOTS)) + [math.log(base / (1 - base))]))
+    flat = Model(curve=np.array([0.0] * (TOP + 1 + len(KNOTS)) + [math.log(base / (1 - base))]))
     units = staged(_unit_counts(labelled), "toxic-units")
     n_pos, n_neg = units.agg(F.sum("pos"), F.sum("neg")).first()
     if not n_pos or not n_neg:
@@ -264,20 +284,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = [r[0] for r in strong.orderBy(F.desc("strength"), "unit").limit(MARKS).collect()]
     if not found:
         return flat
-    near = units.where(F.col("unit").rlike("(?s)" + near_pattern(found))).orderBy(F.desc(F.col("pos") + F.col("neg")), "unit").limit(EXAMPLES).collect()
+    near = _near_units(labelled, found).orderBy(F.desc(F.round(F.col("pos") + F.col("neg"), 6)), "unit").limit(EXAMPLES).collect()
     rows = [(r[0], 1.0, float(r[1])) for r in near if r[1]] + [(r[0], -1.0, float(r[2])) for r in near if r[2]]
     counts = {r[0]: r[1] for r in near}
-    rows += [(v, 1.0, counts.get(m, 1) / (2 * len(m))) for m in found for v in _variants(m)]
+    alone = sorted(set(stems(found)) & {r[0] for r in near if r[0] in found and r[2] <= 0.05 * r[1]})  # toxic without exception
+    rows += [(v, 1.0, counts[m] / 4) for m in alone for v in _variants(m)]
     harmless = [r[0] for r in sorted(near, key=lambda r: (-r[2], r[0])) if r[2] and r[0] not in found]
     landmarks = (found + harmless)[:LANDMARKS]
     values, vectors = np.linalg.eigh(string_kernel(landmarks, landmarks).astype(float))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
     texts, y, weight = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     k = np.concatenate([string_kernel(texts[a : a + 512], landmarks) for a in range(0, len(texts), 512)]).astype(float)
     w = _machine(np.hstack([k @ root, np.ones((len(rows), 1))]), y, weight)
     model = Model(landmarks, found, root @ w[:-1], float(w[-1]))
     got = _tops(labelled, model).select("tops", "toxic").collect()
-    model.curve = _logistic(bent(np.array([r[0] for r in got])), np.array([float(r[1]) for r in got]))
+    tops, y = np.array([r[0] for r in got]), np.array([float(r[1]) for r in got])
+    alone = [v for m in alone for v in (m, *_variants(m))]  # one such unit is enough, also with letters put in
+    extra = np.full((len(alone), TOP + 1), Scorer.FLOOR)
+    extra[:, 0], extra[:, TOP] = model.margins(alone), math.log(2)
+    weight = np.concatenate([np.ones(len(y)), np.full(len(alone), 0.2 * y.sum() / max(1, len(alone)))])
+    model.curve = _logistic(bent(np.vstack([tops, extra])), np.concatenate([y, np.ones(len(alone))]), weight)
     return model
 
 
