@@ -169,6 +169,10 @@ def test_stable_region_and_signature(spark):
     assert r.x == 0 and r.w == 1 and 0.5 <= r.y <= 0.76 and 0.1 <= r.h <= 0.30
     sigs = {x.frame_index: x.signature for x in vision.signatures(frames, ["job", "frame_index"]).collect()}
     assert sigs[0] == sigs[1] and sigs[8] is None
+    crop = vision.estimated_crops(frames.where("frame_index < 8"), ["job"], "frame_index").first().crop_bottom
+    assert 0.35 <= crop <= 0.5
+    sheet = vision.preview_sheet(frames.where("frame_index < 8"), ["job"], "frame_index", F.struct(F.lit(100).alias("top"), F.lit(200).alias("bottom"), F.lit(0).alias("left"), F.lit(420).alias("right"))).first()
+    assert (sheet.height, sheet.width, len(sheet.sheet)) == (6 * 240, 420, 6 * 240 * 420 * 3)
     other = drawn()
     other[150:172] = 30
     other[150:172, 60:200:9] = 250
