@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 
@@ -62,7 +63,7 @@ def join_by_unique(left: DataFrame, right: DataFrame, key: str, spread: Column,
         return left.join(right, key, how)
     salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col(key)), F.lit(1)) if len(hot) < 200 else None
     if salts is None:
-        table = spark.createDataFrame(list(hot.items()), left.select(key).schema.add("__n", "int"))
+        table = spark.createDataFrame(list(hot.items()), left.select(key).schema.add("__n", T.IntegerType()))
         left = left.join(F.broadcast(table), key, "left")
         right = right.join(F.broadcast(table), key, "left")
         salts = F.coalesce(F.col("__n"), F.lit(1))

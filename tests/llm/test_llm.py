@@ -109,6 +109,13 @@ def test_join_by_unique_with_a_hot_key(spark):
     assert got.count() == 3000 and got.where("v <> 2 * k").count() == 0
 
 
+def test_join_by_unique_with_many_hot_keys(spark):
+    left = spark.range(21_000).withColumn("k", F.when(F.col("id") < 20_000, F.col("id") % 250))
+    right = left.select("k").where("k is not null").distinct().withColumn("v", F.col("k") * 2)
+    got = common.join_by_unique(left, right, "k", F.col("id"))
+    assert got.count() == 21_000 and got.where("v = 2 * k").count() == 20_000 and got.columns == ["k", "id", "v"]
+
+
 def test_iblt(spark, odd_docs, empty):
     got = iblt.fingerprints(frame(spark, odd_docs)).collect()
     ordered = sorted(((i, t or "") for i, t in odd_docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
