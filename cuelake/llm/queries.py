@@ -97,4 +97,9 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, h, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM q"""
+}

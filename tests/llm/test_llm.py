@@ -412,3 +412,18 @@ def test_pipeline(spark, tmp_path):
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def test_op3_gives_what_its_sql_says(spark):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from cuelake.llm.queries import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
+    got = QUERIES["op3_warc"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(SQL["op3_warc"]).fetchall())
