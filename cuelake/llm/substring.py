@@ -141,18 +141,18 @@ def _splitters(common: DataFrame, parts: int) -> list[int]:
 
 
 def _stretch_rows(texts: DataFrame, length: int, splitters: list[int]) -> DataFrame:
-    """One row a stretch with a repeated anchor: lead, its bucket (-1: very common), tid, first, bytes."""
+    """One row a stretch of the texts' spots: lead, its bucket, tid, first, bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(splitters, np.int64)
         for b in batches:
             out: list[tuple] = []
             for tid, text, spots in zip(b.column("tid").to_pylist(), b.column("text").to_pylist(), b.column("spots").to_pylist(), strict=True):
                 raw = text.encode()
-                out += [(s["lead"], s["many"], tid, s["first"], raw[s["first"] : s["last"] + length]) for s in spots]
+                out += [(s["lead"], tid, s["first"], raw[s["first"] : s["last"] + length]) for s in spots]
             for a in range(0, len(out), 5000):
-                lead, many, *rest = zip(*out[a : a + 5000], strict=True)
+                lead, *rest = zip(*out[a : a + 5000], strict=True)
                 lead = np.array(lead, np.int64)
-                bucket = np.where(many, -1, np.searchsorted(edges, lead, side="right")).astype(np.int32)
+                bucket = np.searchsorted(edges, lead, side="right").astype(np.int32)
                 cols = [pa.array(lead), pa.array(bucket), *[pa.array(c, k) for c, k in zip(rest, (pa.binary(), pa.int32(), pa.binary()), strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names=["lead", "bucket", "tid", "first", "part"])
 
@@ -222,10 +222,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     spots = places.join(common, "lead").groupBy("tid").agg(F.collect_list(F.struct("lead", "many", "first", "last")).alias("spots"))
     held = staged(rows.groupBy("tid").agg(F.first("text").alias("text")).join(spots, "tid"), "anchored-texts")
     splitters = _splitters(common, max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    parts = _stretch_rows(held, length, splitters)
-    found = _sorted_repeats(parts.where("bucket >= 0"), length, len(splitters) + 1)
+    some = lambda many: held.withColumn("spots", F.filter("spots", lambda s: s.many == many)).where(F.size("spots") > 0)
+    found = _sorted_repeats(_stretch_rows(some(False), length, splitters), length, len(splitters) + 1)
     if not common.where("many").isEmpty():
-        found = found.unionByName(_counted_repeats(_stretch_rows(held.withColumn("spots", F.filter("spots", lambda s: s.many)).where(F.size("spots") > 0), length, []), length))
+        found = found.unionByName(_counted_repeats(_stretch_rows(some(True), length, []), length))
     gone = found.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
