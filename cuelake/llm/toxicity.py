@@ -125,7 +125,7 @@ class Model:
 
     def margins(self, units: list[str]) -> np.ndarray:
         """The machine's margin of each unit, of long ones the largest of their windows'."""
-        parts = [(k, w) for k, u in enumerate(units) for w in windows(u)]
+        parts = sorted(((k, w) for k, u in enumerate(units) for w in windows(u)), key=lambda x: len(x[1]))  # like lengths share a batch
         got = np.concatenate([string_kernel([w for _, w in parts[a : a + 512]], self.landmarks) @ self.weights + self.bias for a in range(0, len(parts), 512)] or [np.zeros(0)])
         out = np.full(len(units), Scorer.FLOOR)
         np.maximum.at(out, [k for k, _ in parts], got)
