@@ -24,6 +24,9 @@ from cuelake.llm.common import connected_components, join_by_unique, small_batch
 
 SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 8, 64
 BLOCK = 1 << 16
+#: Links of the deduplicating stage: five-word similarity, its sketch's bytes, and the most bits between fingerprints.
+STAGE_SHINGLE, ALIKE, SKETCH, WIDE_BITS, STAGE_BITS = 5, 0.8, 256, 6, 12
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -96,12 +99,112 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def profile(text: str) -> tuple[int, bytes]:
+    """The fingerprint of a text's distinct words, and a sketch of its five-word shingles; 0 and nothing without words.
+
+    Two sketches agree in about the share of their bytes that is the shingle sets' similarity.
+    """
+    words = text.encode().lower().split()
+    if not words:
+        return 0, b""
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    distinct, ones = np.unique(h), np.zeros(64, np.int64)
+    for at in range(0, len(distinct), BLOCK):
+        ones += np.unpackbits(distinct[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    wide = int(np.packbits(ones * 2 > len(distinct), bitorder="little").view(np.uint64)[0])
+    n = max(1, len(h) - STAGE_SHINGLE + 1)
+    runs = np.zeros(n, np.uint64)
+    for i in range(min(STAGE_SHINGLE, len(h))):
+        runs = (runs ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, n, 1024):
+        np.minimum(least, (runs[at : at + 1024, None] * FACTORS).min(0), out=least)
+    return wide, (least >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, wide, sketch) of every row; a null text counts as empty."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fps = np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts))
+            more = [profile(t) for t in texts]
+            wide = np.fromiter((w for w, _ in more), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(wide.view(np.int64)), pa.array([x for _, x in more], pa.binary())], names=["doc_id", "fp", "wide", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long, wide long, sketch binary")
+
+
+def forest(t: pa.Table) -> pa.Table:
+    """Edges (a, b) that connect what the links between the rows (node, fp, wide, sketch) connect, one fewer than rows at most."""
+    node, fp, wide = (t.column(c).to_numpy() for c in ("node", "fp", "wide"))
+    fp, wide = fp.view(np.uint64), wide.view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
+    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    group, edges = np.arange(len(node)), []
+    for i in range(1, len(node)):
+        near = np.flatnonzero((np.bitwise_count(wide[:i] ^ wide[i]) <= WIDE_BITS) & (np.bitwise_count(fp[:i] ^ fp[i]) <= STAGE_BITS))
+        while len(near):
+            some, near = near[:16], near[16:]
+            for j in some[(sketches[some] == sketches[i]).sum(1) >= ALIKE * SKETCH]:
+                if group[j] != group[i]:
+                    edges.append((node[i], node[j]))
+                    group[group == group[j]] = group[i]
+            near = near[group[near] != group[i]]
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, fp, wide, sketch) whose texts have much in common.
+
+    Two are linked if their word fingerprints differ in at most WIDE_BITS bits, their fingerprints in at most
+    STAGE_BITS, and their sketches agree to ALIKE. At 6 bits some segment is equal and the two after it differ in at most
+    2 bits, so with one bit of those flipped on each side two rows meet at a key. Rows of a key that more than
+    ``bucket`` share meet in blocks, each of which gives a spanning forest in place of its pairs.
+    """
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(8, 24)])
+    ring = nodes.where(F.length("sketch") > 0).select("node", "fp", "wide", F.posexplode(F.array(*[turned(F.col("wide"), i).bitwiseAND(F.lit(0xFFFFFF)) for i in range(SEGMENTS)])).alias("segment", "part"))
+    ring = ring.select("node", "fp", "wide", (F.col("segment") * F.lit(1 << 24) + F.col("part")).alias("at"), F.explode(flips).alias("flip"))
+    ring = ring.select("node", "fp", "wide", F.col("at").bitwiseXOR(F.col("flip")).alias("key"))
+    sizes = staged(ring.groupBy("key").count().where("count > 1"), "wide-sizes")
+    shared = staged(ring.join(sizes, "key"), "wide-shared")
+    few = shared.where(F.col("count") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "fp", "wide")).alias("all"))
+    pairs = few.select("key", "all", F.explode("all").alias("x")).select("key", "x", F.explode("all").alias("y")).where("x.node < y.node")
+    differ = F.col("x.wide").bitwiseXOR(F.col("y.wide"))
+    chain = F.bit_count(turned(differ, F.shiftright("key", 24).cast("int")).bitwiseAND(F.lit((1 << 56) - 1)))
+    near = pairs.where((chain <= 5) & (F.bit_count(differ) <= WIDE_BITS) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= STAGE_BITS))
+    near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    sketches = nodes.select("node", "sketch")
+    near = near.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE * SKETCH))
+
+    near = near.mapInArrow(decide, "a long, b long")
+    many = shared.where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).join(sketches, "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    many = many.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "node", "fp", "wide", "sketch", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return near.unionByName(many.groupBy("key", "i", "j").applyInArrow(forest, "a long, b long")).distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least doc_id stays, of its repeats one.
 
-    Rows with a null doc_id have no class to name them and stay, one a text. Columns are unchanged.
+    Classes are those of ``near_duplicates``, joined where texts are linked as ``similar`` tells. Rows with a null
+    doc_id have no class to name them and stay, one a text. Columns are unchanged.
     """
-    chosen = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    found = staged(profiles(docs, shingle), "profiles")
+    nodes = staged(found.groupBy("fp", "wide", "sketch").agg(F.min("doc_id").alias("node")).where("node is not null"), "profile-nodes")
+    plain = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "simhash-nodes")
+    same = nodes.join(plain.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).where("a <> b")
+    comps = connected_components(links(plain, bucket).unionByName(same).unionByName(similar(nodes, bucket)))
+    chosen = nodes.join(comps, "node", "left").where("coalesce(component, node) = node").select(F.col("node").alias("doc_id"))
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(chosen, docs.doc_id == chosen.doc_id, "left_semi").withColumn("__again", again).where("__again = 1").drop("__again")
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -96,6 +96,38 @@ def test_keep_one(spark, odd_docs):
     assert kept.where("doc_id is null").count() == 2 and "fp" in kept.columns
 
 
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_similar_texts_link(spark, bucket):
+    rng, texts = random.Random(8), []
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    for edits in [1, 2, 3, 6, 12, 150] * 3:
+        words = [rng.choice(vocabulary) for _ in range(150)]
+        copy = list(words)
+        for at in rng.sample(range(150), edits):
+            copy[at] = rng.choice(vocabulary)
+        texts += [" ".join(words), " ".join(copy)]
+    told = [(i, simhash.simhash(t), *simhash.profile(t)) for i, t in enumerate(texts)]
+
+    def linked(x, y):
+        alike = sum(a == b for a, b in zip(x[3], y[3], strict=True))
+        return (x[2] ^ y[2]).bit_count() <= 6 and (x[1] ^ y[1]).bit_count() <= 12 and alike >= 0.8 * 256
+
+    want = {(x[0], y[0]) for x in told for y in told if x[0] < y[0] and linked(x, y)}
+    signed = [(i, *(v - (1 << 64) if v >> 63 else v for v in (fp, wide)), sketch) for i, fp, wide, sketch in told]
+    nodes = spark.createDataFrame(signed, "node long, fp long, wide long, sketch binary")
+    got = {(min(r), max(r)) for r in simhash.similar(nodes, bucket, block=1).collect()}
+    assert len(want) >= 4 and got == want  # no three texts are linked, so a forest holds every link
+    five = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    assert all(len(five[a] & five[b]) / len(five[a] | five[b]) > 0.7 for a, b in got)
+
+
+def test_forest_connects_what_links_connect():
+    rows = [(simhash.simhash(t), *simhash.profile(t)) for t in ["one two three four five six seven eight"] * 3 + ["quite another sentence about nothing at all here"] * 2]
+    t = simhash.pa.table({"node": list(range(5)), "fp": simhash.pa.array([0] * 5, "int64"), "wide": np.array([r[1] for r in rows], np.uint64).view(np.int64), "sketch": [r[2] for r in rows]})
+    edges = simhash.forest(t).to_pylist()
+    assert len(edges) == 3 and {frozenset(e.values()) <= {0, 1, 2} for e in edges} == {True, False}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(edges).collect()}
