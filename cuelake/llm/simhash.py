@@ -166,19 +166,20 @@ def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFr
     ``bucket`` share meet in blocks, each of which gives a spanning forest in place of its pairs.
     """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(8, 24)])
-    ring = nodes.where(F.length("sketch") > 0).select("node", "fp", "wide", F.posexplode(F.array(*[turned(F.col("wide"), i).bitwiseAND(F.lit(0xFFFFFF)) for i in range(SEGMENTS)])).alias("segment", "part"))
-    ring = ring.select("node", "fp", "wide", (F.col("segment") * F.lit(1 << 24) + F.col("part")).alias("at"), F.explode(flips).alias("flip"))
-    ring = ring.select("node", "fp", "wide", F.col("at").bitwiseXOR(F.col("flip")).alias("key"))
+    ring = nodes.where(F.length("sketch") > 0).select("node", "wide", F.posexplode(F.array(*[turned(F.col("wide"), i).bitwiseAND(F.lit(0xFFFFFF)) for i in range(SEGMENTS)])).alias("segment", "part"))
+    ring = ring.select("node", "wide", (F.col("segment") * F.lit(1 << 24) + F.col("part")).alias("at"), F.explode(flips).alias("flip"))
+    ring = ring.select("node", "wide", F.col("at").bitwiseXOR(F.col("flip")).alias("key"))
     sizes = staged(ring.groupBy("key").count().where("count > 1"), "wide-sizes")
     shared = staged(ring.join(sizes, "key"), "wide-shared")
-    few = shared.where(F.col("count") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "fp", "wide")).alias("all"))
+    few = shared.where(F.col("count") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "wide")).alias("all"))
     pairs = few.select("key", "all", F.explode("all").alias("x")).select("key", "x", F.explode("all").alias("y")).where("x.node < y.node")
     differ = F.col("x.wide").bitwiseXOR(F.col("y.wide"))
     chain = F.bit_count(turned(differ, F.shiftright("key", 24).cast("int")).bitwiseAND(F.lit((1 << 56) - 1)))
-    near = pairs.where((chain <= 5) & (F.bit_count(differ) <= WIDE_BITS) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= STAGE_BITS))
+    near = pairs.where((chain <= 5) & (F.bit_count(differ) <= WIDE_BITS))
     near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    sketches = nodes.select("node", "sketch")
-    near = near.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    sketches = nodes.select("node", "fp", "sketch")
+    near = near.join(sketches.toDF("a", "fp_a", "sketch_a"), "a").join(sketches.toDF("b", "fp_b", "sketch_b"), "b")
+    near = near.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= STAGE_BITS)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
