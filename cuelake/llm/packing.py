@@ -1,8 +1,9 @@
 """Lexical retrieval packing: documents fill windows of a fixed number of tokens with their BM25 neighbours.
 
 One pass tokenizes every document and keeps, in place of its ids, the checksums of their prefixes at every GRAIN ids and
-its term counts. Document frequencies come from all documents. The documents are dealt into shards of about
-SHARD documents; each shard builds an inverted index and packs: a seed document opens a window, its best
+its term counts. Document frequencies come from all documents. The documents are sorted by the terms of the highest
+weight that they share with others, best term first, and cut into shards of about SHARD documents, so that neighbours
+come to lie in one shard and a common key is split by its next terms. Each shard builds an inverted index and packs: a seed document opens a window, all its
 terms query the index, and unused neighbours fill the window, best first. The document that reaches over the
 end is cut at a grain and its rest is the next seed. What no neighbour fills, the next unused documents fill.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import small_batches, staged, text_or_empty
 
-WINDOW, END, GRAIN, SHARD = 4096, 2, 32, 1024
-K1, B, QUERY_TERMS = 1.2, 0.75, 16
+WINDOW, END, GRAIN, SHARD = 4096, 2, 32, 4096
+K1, B, KEY_TERMS = 1.2, 0.75, 16
 CACHE = 1_000_000
 #: Texts with these go to the tokenizer whole: code points that compose or lower in context, and odd white space.
 BEYOND = re.compile("[\x85\xa0\u0130\u0149\u01f0\u0250-\U0010ffff]")
@@ -178,6 +179,18 @@ def frequencies(rows: DataFrame) -> tuple[np.ndarray, int, float]:
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
+def weigh(tf: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean: float) -> np.ndarray:
+    """BM25 weights of terms in documents of some length."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def lexical_key(terms: np.ndarray, counts: np.ndarray, length: int, idf: np.ndarray, mean: float) -> bytes:
+    """What documents are dealt by: the terms of the highest weight, best first; terms without weight are left out."""
+    weight = weigh(counts.astype(np.float32), idf[terms], length, mean)
+    best = np.argsort(-weight, kind="stable")[:KEY_TERMS]
+    return terms[best[weight[best] > 0]].astype(">u4").tobytes()
+
+
 class Index:
     """An inverted index with BM25 weights over the documents of one shard."""
 
@@ -185,18 +198,16 @@ class Index:
         doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         term = np.concatenate([*terms, np.empty(0, np.uint32)]).astype(np.int64)
         tf = np.concatenate([*counts, np.empty(0, np.uint16)]).astype(np.float32)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+        weight = weigh(tf, idf[term], lengths[doc], mean)
         order = np.argsort(term, kind="stable")
         self.names, starts = np.unique(term[order], return_index=True)
         self.bounds = np.append(starts, len(term))
         self.docs, self.weights = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        ends = np.cumsum([len(t) for t in terms])
-        # a document's query: its terms of the highest weight
-        self.queries = [t[np.argsort(-weight[e - len(t) : e], kind="stable")[:QUERY_TERMS]].astype(np.int64) for t, e in zip(terms, ends, strict=True)]
+        self.queries = [t.astype(np.int64) for t in terms]
         self.size = len(terms)
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """Documents that share a query term, best first, ties by place."""
+        """Documents that share a term, best first, ties by place."""
         at = np.searchsorted(self.names, self.queries[doc])
         runs = [slice(self.bounds[k], self.bounds[k + 1]) for k in at]
         if not runs:
@@ -264,11 +275,22 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
     spark = docs.sparkSession
     rows = staged(tokenized(docs, path, grain), "packing-tokens")
     df, total, mean = frequencies(rows)
-    idf = spark.sparkContext.broadcast(np.log(1 + (total - df + 0.5) / (df + 0.5)).astype(np.float32))
+    # a term of one document has no weight, as it leads to no other
+    idf = spark.sparkContext.broadcast(np.where(df > 1, np.log(1 + (total - df + 0.5) / (df + 0.5)), 0).astype(np.float32))
     shards = max(1, round(total / shard))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row").reset_index(drop=True)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = zip(*(b.column(c).to_pylist() for c in ("terms", "counts", "tokens")), strict=True)
+            keys = [lexical_key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u2"), n, idf.value, mean) for t, c, n in told]
+            yield b.append_column("key", pa.array(keys, pa.binary()))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if held:
+            yield packed(pd.concat(held, ignore_index=True))
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
         terms = [np.frombuffer(x, "<u4") for x in part.terms]
         counts = [np.frombuffer(x, "<u2") for x in part.counts]
         lengths = part.tokens.to_numpy(np.int64)
@@ -277,7 +299,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
         crcs = [np.frombuffer(x, "<u4") for x in part.crcs]
         ends = found.start + found.length
         sums = [piece_crc(int(crcs[k][a // grain]), int(crcs[k][-1 if b == lengths[k] else b // grain]), 4 * (b - a)) for k, a, b in zip(found.k, found.start, ends, strict=True)]
-        return pd.DataFrame({"doc_id": part.doc_id.to_numpy()[found.k] if not part.doc_id.isna().any() else part.doc_id.astype("Int64").take(found.k).array, "start": found.start, "length": found.length, "ids_crc32": np.array(sums, np.int64), "doc_tokens": lengths[found.k], "sequence_id": key[0] * (1 << 32) + found.sequence, "offset": found.offset})
+        return pd.DataFrame({"doc_id": part.doc_id.to_numpy()[found.k] if not part.doc_id.isna().any() else part.doc_id.astype("Int64").take(found.k).array, "start": found.start, "length": found.length, "ids_crc32": np.array(sums, np.int64), "doc_tokens": lengths[found.k], "sequence_id": (int(part["shard"].iloc[0]) << 32) + found.sequence, "offset": found.offset})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long")).groupBy("shard").applyInPandas(run, schema)
+    dealt = rows.mapInArrow(keyed, "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary, key binary")
+    dealt = dealt.repartitionByRange(shards, "key", "row").sortWithinPartitions("key", "row").drop("key")
+    return dealt.withColumn("shard", F.spark_partition_id()).mapInPandas(run, schema)

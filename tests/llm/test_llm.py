@@ -271,6 +271,33 @@ def test_bm25_finds_the_like_document():
     assert [int(x) for x in index.neighbours(0) if x != 0] == [2]
 
 
+def test_neighbours_of_several_shards_share_windows(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path(), random.Random(5)
+    tokenizer = Tokenizer.from_file(path)
+    words = sorted(w for w in tokenizer.get_vocab() if w.isascii() and w.isalpha() and w.islower() and len(w) > 5)
+    words = [w for w in words if len(tokenizer.encode(w, add_special_tokens=False).ids) == 1][:240]
+    assert len(words) == 240
+    rows = []
+    for group in range(60):
+        own = words[4 * group : 4 * group + 4]
+        for _ in range(4):
+            text = own * rng.randint(2, 4) + [rng.choice(WORDS) for _ in range(rng.randint(300, 500))]
+            rng.shuffle(text)
+            rows.append((group, " ".join(text)))
+    rows = [(k, *row) for k, row in enumerate(rng.sample(rows, len(rows)))]
+    group_of = {i: group for i, group, _ in rows}
+    got = packing.pack(frame(spark, [(i, text) for i, _, text in rows]), path, shard=24).collect()
+    assert len({r.sequence_id >> 32 for r in got}) >= 8
+    windows, mates = {}, 0
+    for r in got:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+    for i in group_of:
+        mates += any(i in docs and any(j != i and group_of[j] == group_of[i] for j in docs) for docs in windows.values())
+    assert mates >= 0.8 * len(group_of)
+
+
 def distance(p, t):
     """Least edits of p to any part of t, by the plain table."""
     row = [0] * (len(t) + 1)
