@@ -26,6 +26,8 @@ SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 8, 64
 BLOCK = 1 << 16
 #: Links of the deduplicating stage: five-word similarity, its sketch's bytes, and the most bits between fingerprints.
 STAGE_SHINGLE, ALIKE, SKETCH, WIDE_BITS, STAGE_BITS = 5, 0.8, 256, 6, 12
+#: What sketches must agree to before the shingles themselves are compared: four errors of the sketch below ALIKE.
+MAYBE = 0.7
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -138,6 +140,32 @@ def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long, wide long, sketch binary")
 
 
+def shingle_set(text: str) -> frozenset[bytes]:
+    """The five-word shingles of a text; of a shorter one all its words."""
+    words = text.encode().lower().split()
+    return frozenset(b" ".join(words[i : i + STAGE_SHINGLE]) for i in range(max(1, len(words) - STAGE_SHINGLE + 1)))
+
+
+def alike(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The edges (a, b) whose texts' five-word shingles are alike to ALIKE, by the whole sets.
+
+    texts: (node, text), one row a node.
+    """
+    small_batches(edges.sparkSession, rows=200, size="16m")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(texts.join(ends, "node", "left_semi"), "alike-texts")
+    pairs = staged(join_by_unique(edges, texts.toDF("a", "text_a"), "a", F.col("b"), "inner"), "alike-pairs")
+    pairs = join_by_unique(pairs, texts.toDF("b", "text_b"), "b", F.col("a"), "inner")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            told = zip(t.column("text_a").to_pylist(), t.column("text_b").to_pylist(), strict=True)
+            sets = ((shingle_set(x), shingle_set(y)) for x, y in told)
+            yield t.select(["a", "b"]).filter(pa.array([len(x & y) >= ALIKE * len(x | y) for x, y in sets], pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
+
+
 def forest(t: pa.Table) -> pa.Table:
     """Edges (a, b) that connect what the links between the rows (node, fp, wide, sketch) connect, one fewer than rows at most."""
     node, fp, wide = (t.column(c).to_numpy() for c in ("node", "fp", "wide"))
@@ -157,14 +185,17 @@ def forest(t: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
+def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024, texts: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that connect the nodes (node, fp, wide, sketch) whose texts have much in common.
 
     Two are linked if their word fingerprints differ in at most WIDE_BITS bits, their fingerprints in at most
     STAGE_BITS, and their sketches agree to ALIKE. At 6 bits some segment is equal and the two after it differ in at most
     2 bits, so with one bit of those flipped on each side two rows meet at a key. Rows of a key that more than
     ``bucket`` share meet in blocks, each of which gives a spanning forest in place of its pairs.
-    """
+
+    With texts (node, text), listed pairs are linked by their whole shingle sets instead, whatever the bits of their
+    fingerprints, if their sketches agree to MAYBE; blocks still go by sketches.
+        """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(8, 24)])
     ring = nodes.where(F.length("sketch") > 0).select("node", "wide", F.posexplode(F.array(*[turned(F.col("wide"), i).bitwiseAND(F.lit(0xFFFFFF)) for i in range(SEGMENTS)])).alias("segment", "part"))
     ring = ring.select("node", "wide", (F.col("segment") * F.lit(1 << 24) + F.col("part")).alias("at"), F.explode(flips).alias("flip"))
@@ -179,14 +210,18 @@ def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFr
     near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     sketches = nodes.select("node", "fp", "sketch")
     near = near.join(sketches.toDF("a", "fp_a", "sketch_a"), "a").join(sketches.toDF("b", "fp_b", "sketch_b"), "b")
-    near = near.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= STAGE_BITS)
+    if texts is None:
+        near = near.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= STAGE_BITS)
+    least = (ALIKE if texts is None else MAYBE) * SKETCH
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE * SKETCH))
+            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
     near = near.mapInArrow(decide, "a long, b long")
+    if texts is not None:
+        near = alike(staged(near, "maybe-alike"), texts)
     many = shared.where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).join(sketches, "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     many = many.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -197,14 +232,16 @@ def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFr
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least doc_id stays, of its repeats one.
 
-    Classes are those of ``near_duplicates``, joined where texts are linked as ``similar`` tells. Rows with a null
+    Classes are texts linked as ``near_duplicates`` or ``similar`` tells, if their five-word shingles are alike to ALIKE. Rows with a null
     doc_id have no class to name them and stay, one a text. Columns are unchanged.
     """
     found = staged(profiles(docs, shingle), "profiles")
     nodes = staged(found.groupBy("fp", "wide", "sketch").agg(F.min("doc_id").alias("node")).where("node is not null"), "profile-nodes")
     plain = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "simhash-nodes")
     same = nodes.join(plain.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).where("a <> b")
-    comps = connected_components(links(plain, bucket).unionByName(same).unionByName(similar(nodes, bucket)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).where("node is not null").groupBy("node").agg(F.min("text").alias("text"))
+    fixed = alike(staged(links(plain, bucket).unionByName(same), "fixed-links"), texts)
+    comps = connected_components(fixed.unionByName(similar(nodes, bucket, texts=texts)))
     chosen = nodes.join(comps, "node", "left").where("coalesce(component, node) = node").select(F.col("node").alias("doc_id"))
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     named = docs.join(chosen, docs.doc_id == chosen.doc_id, "left_semi").withColumn("__again", again).where("__again = 1").drop("__again")

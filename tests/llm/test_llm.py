@@ -121,6 +121,25 @@ def test_similar_texts_link(spark, bucket):
     assert all(len(five[a] & five[b]) / len(five[a] | five[b]) > 0.7 for a, b in got)
 
 
+def test_keep_one_decides_by_whole_shingle_sets(spark):
+    rng, texts, vocabulary = random.Random(21), [], [f"{a}{b}" for a in WORDS for b in WORDS]
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        copy = list(words)
+        at = rng.randrange(0, 240)
+        copy[at : at + 25 + k % 20] = [rng.choice(vocabulary) for _ in range(25 + k % 20)]
+        texts += [" ".join(words), " ".join(copy)]
+    five = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    told = [simhash.profile(t) for t in texts]
+    at = range(0, len(texts), 2)
+    exact = {k for k in at if len(five[k] & five[k + 1]) >= 0.8 * len(five[k] | five[k + 1])}
+    reach = {k for k in at if (told[k][0] ^ told[k + 1][0]).bit_count() <= 6}
+    by_sketch = {k for k in reach if sum(a == b for a, b in zip(told[k][1], told[k + 1][1], strict=True)) >= 0.8 * 256}
+    assert by_sketch != exact & reach  # the sketch errs here
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, list(enumerate(texts)))).collect()}
+    assert set(range(len(texts))) - kept == {k + 1 for k in exact & reach}
+
+
 def test_forest_connects_what_links_connect():
     rows = [(simhash.simhash(t), *simhash.profile(t)) for t in ["one two three four five six seven eight"] * 3 + ["quite another sentence about nothing at all here"] * 2]
     t = simhash.pa.table({"node": list(range(5)), "fp": simhash.pa.array([0] * 5, "int64"), "wide": np.array([r[1] for r in rows], np.uint64).view(np.int64), "sketch": [r[2] for r in rows]})
