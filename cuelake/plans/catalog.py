@@ -112,6 +112,12 @@ def repair_lines(spark, sf_dir):
     return en.select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
 
 
+@query()
+def repair_all_lines(spark, sf_dir):
+    """Repaired lines of all documents, of any language and letters."""
+    return lines(spark, sf_dir).select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
+
+
 @query(sql.ENGLISH_WINDOW)
 def english_window(spark, sf_dir):
     """Whether the last twelve lines are mostly English."""
@@ -286,6 +292,14 @@ def llm_parse(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
 
 
+@query()
+def llm_parse_all(spark, sf_dir):
+    """Correction maps of replies made from all conversation turns; turn 0 is no index of a reply and gives an empty map."""
+    reply = F.concat(F.lit('```json\n{"items": ['), F.to_json(F.struct(F.col("turn").alias("i"), F.col("text").alias("text"))), F.lit("]}\n```"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", replies.correction_map(reply).alias("m"))
+    return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
+
+
 # --- times, boxes and settings -----------------------------------------------------------------------------------
 
 
