@@ -36,6 +36,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove a staged table that no later step reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
     """Bound what one Arrow batch holds, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -47,16 +55,17 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def join_by_unique(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+def join_by_unique(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", counted: str | None = None) -> DataFrame:
     """Join rows to a table with one row a key when a key may hold a third of the rows.
 
     Keys that hold at least a 2000th of the rows (so 2000 at most) get as many salts as their share of
     the shuffle partitions; only their single right row is repeated. The other keys join unsalted.
-    spread: a column that differs between the rows of a key.
+    spread: a column that differs between the rows of a key. counted: a column of right that says how many left rows its key has,
+    where that is known already.
     """
     spark = left.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = left.groupBy(key).count()
+    counts = right.select(key, F.col(counted).alias("count")) if counted else left.groupBy(key).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = {r[0]: 2 + 2 * r[1] * parts // total for r in counts.where(F.col("count") >= max(64, total // 2000)).collect() if r[0] is not None}
     if not hot:
@@ -75,12 +84,15 @@ def join_by_unique(left: DataFrame, right: DataFrame, key: str, spread: Column,
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge (a, b); component is the least node reachable.
 
-    Alternating large-star and small-star rounds, each a grouped minimum and a join, staged
-    so that a lost executor repeats one round at most.
+    Alternating large-star and small-star rounds, each a grouped minimum and a join that splits hubs, staged
+    so that a lost executor repeats one round at most. A round's tables go once the next one stands.
     """
+    spark = edges.sparkSession
+
     def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least, "u")
+        least = staged(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        old.append(least)
+        return join_by_unique(pairs, least, "u", F.col("v"), "inner", counted="n").drop("n")
 
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -89,10 +101,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen or not now[0]:
             nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
             return nodes.groupBy("node").agg(F.min("component").alias("component"))
-        seen = now
+        seen, old = now, [e]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = staged(star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
         pulled = star(large)
         small = pulled.select(F.col("u"), F.col("m").alias("v")).unionByName(pulled.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = staged(small, "edges")
+        for done in [*old, large]:
+            unstage(done)
     raise RuntimeError(f"components not settled after {most_rounds} rounds")

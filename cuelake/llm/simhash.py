@@ -8,11 +8,17 @@ chain of seven prunes them, and the full distance decides.
 A key shared by over BUCKET fingerprints doesn't list its pairs. Its fingerprints are linked through their
 one-bit neighbours instead: two that differ in at most 2 bits have one in common, all that
 have one in common differ in at most 2 bits, and at most 65 can. That is as exact, and linear.
+
+The stage that keeps one document of each class links five-word shingle sets alike to 0.8. There 64 SimHash bits differ in
+about 10, so no selective key of bits survives. Its ring has letters in place of bits: 64 least hashes of the
+shingles, of which such sets share about 51. Chains and budgets are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +30,13 @@ from cuelake.llm.common import connected_components, join_by_unique, small_batch
 
 SEED, SHINGLE, MOST_BITS, SEGMENTS, BUCKET = 42, 3, 2, 8, 64
 BLOCK = 1 << 16
-#: Links of the deduplicating stage: five-word similarity, its sketch's bytes, and the most bits between fingerprints.
-STAGE_SHINGLE, ALIKE, SKETCH, WIDE_BITS, STAGE_BITS = 5, 0.8, 256, 6, 12
-#: What sketches must agree to before the shingles themselves are compared: four errors of the sketch below ALIKE.
-MAYBE = 0.7
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: The deduplicating stage: words of a shingle, similarity, and sketches of 16 segments of 4 letters of 16 bits.
+STAGE_SHINGLE, ALIKE, PARTS, PART = 5, 0.8, 16, 4
+LETTERS = PARTS * PART
+#: Letters in which sketches agree before their texts are compared: 3.5 errors of the sketch below ALIKE.
+LIKELY = 40
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
+_word_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
 def simhash(text: str, shingle: int = SHINGLE) -> int:
@@ -101,49 +109,76 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def profile(text: str) -> tuple[int, bytes]:
-    """The fingerprint of a text's distinct words, and a sketch of its five-word shingles; 0 and nothing without words.
+# --- the deduplicating stage: five-word shingles alike to ALIKE -----------------------------------------------------
+
 
-    Two sketches agree in about the share of their bytes that is the shingle sets' similarity.
+def sketch(text: str) -> bytes:
+    """LETTERS letters of 16 bits: for each factor, bits of the least hash of a text's five-word shingles.
+
+    Two sketches agree in about the share of their letters that is the shingle sets' similarity. Texts without words have one sketch.
     """
     words = text.encode().lower().split()
     if not words:
-        return 0, b""
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    distinct, ones = np.unique(h), np.zeros(64, np.int64)
-    for at in range(0, len(distinct), BLOCK):
-        ones += np.unpackbits(distinct[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    wide = int(np.packbits(ones * 2 > len(distinct), bitorder="little").view(np.uint64)[0])
+        return b"\xff" * (2 * LETTERS)
+    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
     n = max(1, len(h) - STAGE_SHINGLE + 1)
     runs = np.zeros(n, np.uint64)
     for i in range(min(STAGE_SHINGLE, len(h))):
         runs = (runs ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         runs ^= runs >> np.uint64(29)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, n, 1024):
-        np.minimum(least, (runs[at : at + 1024, None] * FACTORS).min(0), out=least)
-    return wide, (least >> np.uint64(24)).astype(np.uint8).tobytes()
+    least = np.full(LETTERS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, n, 512):
+        np.minimum(least, (runs[at : at + 512, None] * FACTORS).min(0), out=least)
+    return (least >> np.uint64(16)).astype("<u2").tobytes()
+
 
+def agreement(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many letters the sketches of two columns agree, row by row."""
+    a, b = (np.frombuffer(b"".join(c), "<u2").reshape(-1, LETTERS) for c in (x, y))
+    return (a == b).sum(1)
 
-def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, wide, sketch) of every row; a null text counts as empty."""
+
+def text_nodes(docs: DataFrame) -> DataFrame:
+    """(node, digest, doc_id, sketch) of every different text: a number, its digest, the least doc_id that holds it."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            fps = np.fromiter((simhash(t, shingle) for t in texts), np.uint64, len(texts))
-            more = [profile(t) for t in texts]
-            wide = np.fromiter((w for w, _ in more), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(wide.view(np.int64)), pa.array([x for _, x in more], pa.binary())], names=["doc_id", "fp", "wide", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([sketch(t) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long, wide long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), text_or_empty().alias("text"))
+    told = rows.mapInArrow(run, "doc_id long, digest binary, sketch binary")
+    nodes = told.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    return staged(nodes.withColumn("node", F.monotonically_increasing_id()), "text-nodes")  # numbers hold once they are written
 
 
-def shingle_set(text: str) -> frozenset[bytes]:
-    """The five-word shingles of a text; of a shorter one all its words."""
-    words = text.encode().lower().split()
-    return frozenset(b" ".join(words[i : i + STAGE_SHINGLE]) for i in range(max(1, len(words) - STAGE_SHINGLE + 1)))
+def text_digest() -> Column:
+    """The digest that names a text; a null text counts as empty."""
+    return F.unhex(F.md5(text_or_empty()))
+
+
+def ring_keys(nodes: DataFrame) -> DataFrame:
+    """(key, segment, node): each segment of a sketch as a key."""
+    keys = [F.struct(F.lit(i).alias("segment"), F.xxhash64(F.substring("sketch", 2 * PART * i + 1, 2 * PART), F.lit(i)).alias("key")) for i in range(PARTS)]
+    return nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.segment", "node")
+
+
+def chained(hot: DataFrame, step: int) -> DataFrame:
+    """(key, segment, node) of rows (key, segment, node, sketch), keyed further by the segment that follows at a step.
+
+    A chain of step + 1 segments may hold step differences at most, so of the next segment's letters all but ``step`` are
+    alike: each choice of those left out gives a key, and what is in the chain's budget meets at one of them.
+    """
+    choices = [sorted(set(range(PART)) - set(left)) for left in combinations(range(PART), step)]
+    letter = lambda i: F.substring("sketch", 2 * (F.pmod(F.col("segment") + step, F.lit(PARTS)) * PART + i) + 1, F.lit(2))
+    keys = F.array(*[F.xxhash64("key", F.lit(c), *[letter(i) for i in some]) for c, some in enumerate(choices)])
+    return hot.select(F.explode(keys).alias("key"), "segment", "node")
+
+
+def shared_keys(ring: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n, hub) of keys that two nodes or more have, and the ring's rows (key, segment, node, n, hub) at them."""
+    sizes = staged(ring.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), f"{label}-sizes")
+    return sizes, staged(join_by_unique(ring, sizes, "key", F.col("node"), "inner", counted="n"), f"{label}-shared")
 
 
 def alike(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -152,8 +187,6 @@ def alike(edges: DataFrame, texts: DataFrame) -> DataFrame:
     texts: (node, text), one row a node.
     """
     small_batches(edges.sparkSession, rows=200, size="16m")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = staged(texts.join(ends, "node", "left_semi"), "alike-texts")
     pairs = staged(join_by_unique(edges, texts.toDF("a", "text_a"), "a", F.col("b"), "inner"), "alike-pairs")
     pairs = join_by_unique(pairs, texts.toDF("b", "text_b"), "b", F.col("a"), "inner")
 
@@ -166,83 +199,114 @@ def alike(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
 
 
-def forest(t: pa.Table) -> pa.Table:
-    """Edges (a, b) that connect what the links between the rows (node, fp, wide, sketch) connect, one fewer than rows at most."""
-    node, fp, wide = (t.column(c).to_numpy() for c in ("node", "fp", "wide"))
-    fp, wide = fp.view(np.uint64), wide.view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
-    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    group, edges = np.arange(len(node)), []
-    for i in range(1, len(node)):
-        near = np.flatnonzero((np.bitwise_count(wide[:i] ^ wide[i]) <= WIDE_BITS) & (np.bitwise_count(fp[:i] ^ fp[i]) <= STAGE_BITS))
-        while len(near):
-            some, near = near[:16], near[16:]
-            for j in some[(sketches[some] == sketches[i]).sum(1) >= ALIKE * SKETCH]:
-                if group[j] != group[i]:
-                    edges.append((node[i], node[j]))
-                    group[group == group[j]] = group[i]
-            near = near[group[near] != group[i]]
-    a, b = np.array(edges, np.int64).reshape(-1, 2).T
-    return pa.table({"a": a, "b": b})
-
-
-def similar(nodes: DataFrame, bucket: int = BUCKET, block: int = 1024, texts: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) that connect the nodes (node, fp, wide, sketch) whose texts have much in common.
-
-    Two are linked if their word fingerprints differ in at most WIDE_BITS bits, their fingerprints in at most
-    STAGE_BITS, and their sketches agree to ALIKE. At 6 bits some segment is equal and the two after it differ in at most
-    2 bits, so with one bit of those flipped on each side two rows meet at a key. Rows of a key that more than
-    ``bucket`` share meet in blocks, each of which gives a spanning forest in place of its pairs.
-
-    With texts (node, text), listed pairs are linked by their whole shingle sets instead, whatever the bits of their
-    fingerprints, if their sketches agree to MAYBE; blocks still go by sketches.
-        """
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(8, 24)])
-    ring = nodes.where(F.length("sketch") > 0).select("node", "wide", F.posexplode(F.array(*[turned(F.col("wide"), i).bitwiseAND(F.lit(0xFFFFFF)) for i in range(SEGMENTS)])).alias("segment", "part"))
-    ring = ring.select("node", "wide", (F.col("segment") * F.lit(1 << 24) + F.col("part")).alias("at"), F.explode(flips).alias("flip"))
-    ring = ring.select("node", "wide", F.col("at").bitwiseXOR(F.col("flip")).alias("key"))
-    sizes = staged(ring.groupBy("key").count().where("count > 1"), "wide-sizes")
-    shared = staged(ring.join(sizes, "key"), "wide-shared")
-    few = shared.where(F.col("count") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "wide")).alias("all"))
-    pairs = few.select("key", "all", F.explode("all").alias("x")).select("key", "x", F.explode("all").alias("y")).where("x.node < y.node")
-    differ = F.col("x.wide").bitwiseXOR(F.col("y.wide"))
-    chain = F.bit_count(turned(differ, F.shiftright("key", 24).cast("int")).bitwiseAND(F.lit((1 << 56) - 1)))
-    near = pairs.where((chain <= 5) & (F.bit_count(differ) <= WIDE_BITS))
-    near = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    sketches = nodes.select("node", "fp", "sketch")
-    near = near.join(sketches.toDF("a", "fp_a", "sketch_a"), "a").join(sketches.toDF("b", "fp_b", "sketch_b"), "b")
-    if texts is None:
-        near = near.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= STAGE_BITS)
-    least = (ALIKE if texts is None else MAYBE) * SKETCH
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-            yield t.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+def shingle_set(text: str) -> frozenset[bytes]:
+    """The five-word shingles of a text; of a shorter one all its words."""
+    words = text.encode().lower().split()
+    return frozenset(b" ".join(words[i : i + STAGE_SHINGLE]) for i in range(max(1, len(words) - STAGE_SHINGLE + 1)))
 
-    near = near.mapInArrow(decide, "a long, b long")
-    if texts is not None:
-        near = alike(staged(near, "maybe-alike"), texts)
-    many = shared.where(F.col("count") > bucket).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).join(sketches, "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    many = many.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", "node", "fp", "wide", "sketch", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return near.unionByName(many.groupBy("key", "i", "j").applyInArrow(forest, "a long, b long")).distinct()
 
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, agree) of the pairs (a, b) whose sketches agree in LIKELY letters or more."""
+    pairs, told = staged(pairs.distinct(), "ring-pairs"), nodes.select("node", "sketch")
+    both = join_by_unique(pairs, told.toDF("a", "x"), "a", F.col("b"), "inner")
+    both = join_by_unique(both, told.toDF("b", "y"), "b", F.col("a"), "inner")
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            agree = agreement(t.column("x").to_pylist(), t.column("y").to_pylist())
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"]).filter(pa.array(agree >= LIKELY))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, agree int")
+
+
+def _crossing(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """The shared rows with their component so far, at keys that still hold more than one."""
+    told = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    told = staged(told, "ring-components")
+    open_ = staged(told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m"), "ring-open")
+    return staged(join_by_unique(told, open_, "key", F.col("node"), "inner", counted="m"), "ring-crossing")
+
+
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    """(a, b) of different components at the keys of rows (key, node, comp), a few rows a key."""
+    all_ = rows.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("all"))
+    pairs = all_.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y")).where("x.node < y.node and x.comp <> y.comp")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _blocks_of(rows: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """The same, of sketches that agree in LIKELY letters, for keys of any size: blocks of rows meet in pairs."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        _, i, j = (k.as_py() for k in key)
+        node, comp, mine = (t.column(c).to_numpy() for c in ("node", "comp", "mine"))
+        x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, LETTERS)
+        left, right, found = np.flatnonzero(mine == i), np.flatnonzero(mine == j), []
+        for k in left:
+            near = right[((x[right] == x[k]).sum(1) >= LIKELY) & (comp[right] != comp[k])]
+            found += [(min(node[k], node[o]), max(node[k], node[o])) for o in near]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    many = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(nodes.select("node", "sketch"), "node")
+    many = many.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "node", "comp", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return many.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
+    """(node, component) of the nodes of ``text_nodes`` whose texts' five-word shingles are alike to ALIKE, through any chain of texts.
+
+    A sketch is a ring of PARTS segments of PART letters. Of two that differ in under a letter a segment, some segment is
+    equal and the chain from it on stays in its budget; at ALIKE an equal segment is nearly certain (all but one pair in five thousand).
+    First each text is compared to the most alike of the least ones at its keys. Then whatever else shares a key and isn't
+    linked so far is compared too: all pairs at keys of up to ``bucket`` texts; more are first dealt by the chain's next two segments, and
+    what still are more meet in blocks.
+    """
+    ring = ring_keys(nodes)
+    _, shared = shared_keys(ring, "ring")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).alias("row"), text_or_empty().alias("text"))
+    named = nodes.select(F.struct("doc_id", "digest").alias("row"), "node")
+
+    def decided(edges: DataFrame, label: str) -> DataFrame:
+        edges = staged(edges.select("a", "b"), f"{label}-likely")
+        ends = named.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        texts = staged(rows.join(ends, "row").select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
+        return staged(alike(edges, texts), f"{label}-edges")
+
+    hubs = likely(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes)
+    best = hubs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
+    first = decided(best.select("best.a", "b"), "hub")
+    comps = staged(connected_components(first), "hub-components")
+    open_ = _crossing(shared.drop("n", "hub"), comps)
+    found = _pairs_of(open_.where(F.col("m") <= bucket))
+    hot = open_.where(F.col("m") > bucket)
+    for step in (1, 2):
+        if hot.isEmpty():
+            break
+        wide = hot.select("key", "segment", "node").join(nodes.select("node", "sketch"), "node")
+        _, more = shared_keys(chained(wide, step), f"chain-{step}")
+        open_ = _crossing(more.drop("n", "hub"), comps)
+        found = found.unionByName(_pairs_of(open_.where(F.col("m") <= bucket)))
+        hot = open_.where(F.col("m") > bucket)
+    near = likely(found, nodes).select("a", "b")
+    if not hot.isEmpty():
+        near = near.unionByName(_blocks_of(hot, nodes, block)).distinct()
+    return connected_components(first.unionByName(decided(near, "rest")))
+
+
+def keep_one(docs: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least doc_id stays, of its repeats one.
 
-    Classes are texts linked as ``near_duplicates`` or ``similar`` tells, if their five-word shingles are alike to ALIKE. Rows with a null
-    doc_id have no class to name them and stay, one a text. Columns are unchanged.
+    Classes are texts whose whole five-word shingle sets are alike to ALIKE, through any chain of texts (``similar_texts``). Null texts count as
+    empty; texts without words are alike. Null ids come after all others, so a row with one stays only if no row of its
+    class has an id. Rows that share an id but not a text are judged each by its text. Columns are unchanged, whatever their names; an empty table
+    stays empty.
     """
-    found = staged(profiles(docs, shingle), "profiles")
-    nodes = staged(found.groupBy("fp", "wide", "sketch").agg(F.min("doc_id").alias("node")).where("node is not null"), "profile-nodes")
-    plain = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "simhash-nodes")
-    same = nodes.join(plain.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b")).where("a <> b")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty().alias("text")).where("node is not null").groupBy("node").agg(F.min("text").alias("text"))
-    fixed = alike(staged(links(plain, bucket).unionByName(same), "fixed-links"), texts)
-    comps = connected_components(fixed.unionByName(similar(nodes, bucket, texts=texts)))
-    chosen = nodes.join(comps, "node", "left").where("coalesce(component, node) = node").select(F.col("node").alias("doc_id"))
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(chosen, docs.doc_id == chosen.doc_id, "left_semi").withColumn("__again", again).where("__again = 1").drop("__again")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    nodes = text_nodes(docs)
+    comps = similar_texts(docs, nodes, bucket, block)
+    named = nodes.join(comps, "node", "left").select(F.coalesce("component", "node").alias("component"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row"))
+    chosen = named.groupBy("component").agg(F.min("row").alias("row")).select(F.struct("row.doc_id", "row.digest").alias("row"))
+    own = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("all")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).alias("row"), own)
+    kept = rows.join(chosen, "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*[F.col(f"all.c{k}").alias(c) for k, c in enumerate(docs.columns)])
