@@ -33,8 +33,8 @@ BLOCK = 1 << 16
 #: The deduplicating stage: words of a shingle, similarity, and sketches of 16 segments of 4 letters of 16 bits.
 STAGE_SHINGLE, ALIKE, PARTS, PART = 5, 0.8, 16, 4
 LETTERS = PARTS * PART
-#: Letters in which sketches agree before their texts are compared: 3.5 errors of the sketch below ALIKE.
-LIKELY = 40
+#: Letters in which sketches agree before their texts are compared; of pairs just at ALIKE 99 in 100 do.
+LIKELY = 44
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _word_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -175,10 +175,21 @@ def chained(hot: DataFrame, step: int) -> DataFrame:
     return hot.select(F.explode(keys).alias("key"), "segment", "node")
 
 
-def shared_keys(ring: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(key, n, hub) of keys that two nodes or more have, and the ring's rows (key, segment, node, n, hub) at them."""
-    sizes = staged(ring.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), f"{label}-sizes")
-    return sizes, staged(join_by_unique(ring, sizes, "key", F.col("node"), "inner", counted="n"), f"{label}-shared")
+def shared_keys(ring: DataFrame, label: str) -> DataFrame:
+    """The ring's rows (key, segment, node, n) at keys that n > 1 nodes have."""
+    sizes = staged(ring.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-sizes")
+    return staged(join_by_unique(ring, sizes, "key", F.col("node"), "inner", counted="n"), f"{label}-shared")
+
+
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each node b beside the hub a of its keys, the node that shares its keys with the most others.
+
+    An original shares all its keys with its edited copies, a copy only those that its edits spared.
+    """
+    known = shared.groupBy("node").agg(F.sum("n").alias("known"))
+    hubs = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node")).alias("best"), F.count("*").alias("n"))
+    hubs = staged(hubs.select("key", "n", F.col("best.node").alias("a")), "ring-hubs")
+    return join_by_unique(shared.select("key", F.col("node").alias("b")), hubs, "key", F.col("b"), "inner", counted="n").where("a <> b").select("a", "b")
 
 
 def alike(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -258,12 +269,11 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block
 
     A sketch is a ring of PARTS segments of PART letters. Of two that differ in under a letter a segment, some segment is
     equal and the chain from it on stays in its budget; at ALIKE an equal segment is nearly certain (all but one pair in five thousand).
-    First each text is compared to the most alike of the least ones at its keys. Then whatever else shares a key and isn't
+    First each text is compared to the most alike of the hubs of its keys. Then whatever else shares a key and isn't
     linked so far is compared too: all pairs at keys of up to ``bucket`` texts; more are first dealt by the chain's next two segments, and
     what still are more meet in blocks.
     """
-    ring = ring_keys(nodes)
-    _, shared = shared_keys(ring, "ring")
+    shared = shared_keys(ring_keys(nodes), "ring")
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).alias("row"), text_or_empty().alias("text"))
     named = nodes.select(F.struct("doc_id", "digest").alias("row"), "node")
 
@@ -273,19 +283,19 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block
         texts = staged(rows.join(ends, "row").select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
         return staged(alike(edges, texts), f"{label}-edges")
 
-    hubs = likely(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes)
+    hubs = likely(hub_pairs(shared), nodes)
     best = hubs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
     first = decided(best.select("best.a", "b"), "hub")
     comps = staged(connected_components(first), "hub-components")
-    open_ = _crossing(shared.drop("n", "hub"), comps)
+    open_ = _crossing(shared.drop("n"), comps)
     found = _pairs_of(open_.where(F.col("m") <= bucket))
     hot = open_.where(F.col("m") > bucket)
     for step in (1, 2):
         if hot.isEmpty():
             break
         wide = hot.select("key", "segment", "node").join(nodes.select("node", "sketch"), "node")
-        _, more = shared_keys(chained(wide, step), f"chain-{step}")
-        open_ = _crossing(more.drop("n", "hub"), comps)
+        more = shared_keys(chained(wide, step), f"chain-{step}")
+        open_ = _crossing(more.drop("n"), comps)
         found = found.unionByName(_pairs_of(open_.where(F.col("m") <= bucket)))
         hot = open_.where(F.col("m") > bucket)
     near = likely(found, nodes).select("a", "b")
