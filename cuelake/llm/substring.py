@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import join_by_unique, small_batches, staged, text_or_empty
 
 LENGTH, GRAM, TOKEN = 400, 32, 8
-MANY, SPLIT, BUCKET_BYTES = 8192, 8, 2 << 20
+MANY, SPLIT, BUCKET_BYTES = 2048, 8, 2 << 20
 _PLACE_BITS = 18
 _PLACES = np.uint64((1 << _PLACE_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
