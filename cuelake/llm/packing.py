@@ -147,7 +147,7 @@ def tokenized(docs: DataFrame, path: str, grain: int = GRAIN) -> DataFrame:
                     crc = zlib.crc32(raw[at : at + 4 * grain], crc)
                     crcs.append(crc)
                 terms, n = np.unique(ids[:-1], return_counts=True)
-                for column, v in zip(out, (row, len(ids), np.array(crcs, "<u4").tobytes(), terms.astype("<u4").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()), strict=True):
+                for column, v in zip(out, (row, len(ids), np.array(crcs, "<u4").tobytes(), terms.astype("<u4").tobytes(), n.astype("<u4").tobytes()), strict=True):
                     column.append(v)
                 row += 1
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -192,27 +192,41 @@ def lexical_key(terms: np.ndarray, counts: np.ndarray, length: int, idf: np.ndar
 
 
 class Index:
-    """An inverted index with BM25 weights over the documents of one shard."""
+    """An inverted index with BM25 weights over the documents of one shard.
+
+    Terms in an eighth of the documents or more keep their weights as rows of a table, the others as postings; a score is the sum of both.
+    """
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean: float) -> None:
         doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         term = np.concatenate([*terms, np.empty(0, np.uint32)]).astype(np.int64)
-        tf = np.concatenate([*counts, np.empty(0, np.uint16)]).astype(np.float32)
-        weight = weigh(tf, idf[term], lengths[doc], mean)
+        tf = np.concatenate([*counts, np.empty(0, np.uint32)]).astype(np.float32)
+        weight = weigh(tf, idf[term], lengths[doc], mean).astype(np.float32)
+        some = weight > 0
+        doc, term, weight = doc[some], term[some], weight[some]
         order = np.argsort(term, kind="stable")
         self.names, starts = np.unique(term[order], return_index=True)
         self.bounds = np.append(starts, len(term))
-        self.docs, self.weights = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        self.queries = [t.astype(np.int64) for t in terms]
+        self.docs, self.weights = doc[order], weight[order]
         self.size = len(terms)
+        common = np.flatnonzero(np.diff(self.bounds) * 8 >= self.size)
+        self.row = np.full(len(self.names), -1)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.size), np.float32)
+        for k, r in zip(common, range(len(common)), strict=True):
+            run = slice(self.bounds[k], self.bounds[k + 1])
+            self.table[r, self.docs[run]] = self.weights[run]
+        self.starts = np.searchsorted(doc, np.arange(self.size + 1))
+        self.queries = np.searchsorted(self.names, term)
 
     def neighbours(self, doc: int) -> np.ndarray:
         """Documents that share a term, best first, ties by place."""
-        at = np.searchsorted(self.names, self.queries[doc])
-        runs = [slice(self.bounds[k], self.bounds[k + 1]) for k in at]
-        if not runs:
-            return np.empty(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), self.size)
+        at = self.queries[self.starts[doc] : self.starts[doc + 1]]
+        rows = self.row[at]
+        score = self.table[rows[rows >= 0]].sum(0, dtype=np.float64)
+        runs = [slice(self.bounds[k], self.bounds[k + 1]) for k in at[rows < 0]]
+        if runs:
+            score += np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), self.size)
         hit = np.flatnonzero(score > 0)
         return hit[np.argsort(-score[hit], kind="stable")]
 
@@ -282,7 +296,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             told = zip(*(b.column(c).to_pylist() for c in ("terms", "counts", "tokens")), strict=True)
-            keys = [lexical_key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u2"), n, idf.value, mean) for t, c, n in told]
+            keys = [lexical_key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4"), n, idf.value, mean) for t, c, n in told]
             yield b.append_column("key", pa.array(keys, pa.binary()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,7 +306,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         terms = [np.frombuffer(x, "<u4") for x in part.terms]
-        counts = [np.frombuffer(x, "<u2") for x in part.counts]
+        counts = [np.frombuffer(x, "<u4") for x in part.counts]
         lengths = part.tokens.to_numpy(np.int64)
         index = Index(terms, counts, lengths, idf.value, mean)
         found = pd.DataFrame(fill(lengths, index.neighbours, window, grain), columns=["k", "start", "length", "sequence", "offset"])
