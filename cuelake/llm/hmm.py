@@ -5,8 +5,8 @@ class emits its words by their corpus counts, so that P(word | state) = P(class
 and the model stays of a fixed size whatever the vocabulary. Word counts come from the whole corpus; words outside the
 frequent list, whose table grows with the corpus, are looked up by a join.
 
-Each Baum-Welch round is one pass: partitions add up the expected counts of their documents, the sums are grouped
-by class, and the driver divides them. Scoring runs the scaled forward recursion over whole documents.
+Each Baum-Welch round is one pass: partitions add up the expected counts of their whole documents, the sums are grouped
+by class, and the driver divides them. Early rounds, in which the states part, take every eighth document; the later ones take all. Scoring runs the scaled forward recursion over whole documents.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import small_batches, staged, text_or_empty
 
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 6
 #: Frequent words that tasks hold in memory, those of them with a class of their own, and classes by ending.
 FREQUENT, OWN, ENDINGS, ENDING_BYTES = 150_000, 8192, 1024, 3
-#: First guess of the states: rounds over this many training documents, before the rounds over all of them.
-WARM_DOCS, WARM_ROUNDS, SEGMENT = 1500, 15, 128
+#: Rounds over one training document in EARLY, then over all until a round gains under SETTLED of the log likelihood, ROUNDS at most.
+EARLY, EARLY_ROUNDS, SETTLED = 8, 12, 0.001
+#: Tokens between kept forward states, and tokens that lie side by side.
+STRETCH, HELD = 128, 2_000_000
 ADD, FLUSH = 0.1, 400_000
 CLASSES = 1 + OWN + ENDINGS
 
@@ -88,45 +90,67 @@ def log_likelihood(sequences: list[np.ndarray], chain: Chain, most: int = 512) -
 
 
 class Expected:
-    """Expected counts of starts, moves and classes under a chain."""
+    """Expected counts of starts, moves and classes under a chain, and the log likelihood they come with."""
 
     def __init__(self, chain: Chain) -> None:
         k = len(chain.start)
-        self.chain, self.start, self.move, self.emit = chain, np.zeros(k), np.zeros((k, k)), np.zeros((len(chain.emit), k))
+        self.chain, self.start, self.move, self.emit, self.log = chain, np.zeros(k), np.zeros((k, k)), np.zeros((len(chain.emit), k)), 0.0
 
     def add(self, sequences: list[np.ndarray], most: int = 1024) -> None:
-        """Forward and backward over the sequences in segments of SEGMENT tokens."""
-        cut = [s[a : a + SEGMENT] for s in sequences for a in range(0, len(s), SEGMENT)]
-        cut.sort(key=len, reverse=True)
-        for at in range(0, len(cut), most):
-            self._part(cut[at : at + most])
+        """Forward and backward over whole sequences, many side by side."""
+        whole = sorted((s for s in sequences if len(s)), key=len, reverse=True)
+        for at in range(0, len(whole), most):
+            self._part(whole[at : at + most])
 
-    def _part(self, cut: list[np.ndarray]) -> None:
+    def _part(self, part: list[np.ndarray]) -> None:
+        """Forward keeps the state at every STRETCH tokens only; backward goes forward again from there, a stretch at a time."""
         start, move, emit = self.chain.start, self.chain.move, self.chain.emit
-        sizes = np.array([len(s) for s in cut])
-        live = [int(n) for n in len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")]
-        grid = np.zeros((sizes[0], len(cut)), np.int64)
-        for b, s in enumerate(cut):
-            grid[: len(s), b] = s
-        e = [emit[grid[t, :n]] for t, n in enumerate(live)]
-        alphas, scales = [], []
-        for t, n in enumerate(live):
-            a = e[t] * (start if not t else alphas[-1][:n] @ move)
-            c = a.sum(1)
-            alphas.append(a / c[:, None])
-            scales.append(c)
-        beta, moved, gammas = np.ones((len(cut), len(start))), np.zeros_like(move), [np.empty(0)] * len(live)
-        for t in range(len(live) - 1, -1, -1):
-            gammas[t] = alphas[t] * beta[: live[t]]
-            if t:
-                back = e[t] * beta[: live[t]] / scales[t][:, None]
-                moved += alphas[t - 1][: live[t]].T @ back
-                beta[: live[t]] = back @ move.T
+        sizes = np.array([len(s) for s in part])
+        live = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+
+        def classes(low: int) -> np.ndarray:
+            grid = np.zeros((min(low + STRETCH, len(live)) - low, int(live[low])), np.int64)
+            for b in range(grid.shape[1]):
+                s = part[b][low : low + STRETCH]
+                grid[: len(s), b] = s
+            return grid
+
+        def forward(low: int, grid: np.ndarray, before: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+            alphas, scales, told = [], [], []
+            for t, row in enumerate(grid):
+                n = int(live[low + t])
+                e = emit[row[:n]]
+                a = e * (start if before is None else before[:n] @ move)
+                c = a.sum(1)
+                before = a / c[:, None]
+                alphas.append(before)
+                scales.append(c)
+                told.append(e)
+            return alphas, scales, told
+
+        lows, ends = range(0, len(live), STRETCH), [None]
+        for low in lows:
+            alphas, scales, _ = forward(low, classes(low), ends[-1])
+            ends.append(alphas[-1])
+            self.log += sum(float(np.log(c).sum()) for c in scales)
+        beta, moved = np.ones((len(part), len(start))), np.zeros_like(move)
+        for k in range(len(lows) - 1, -1, -1):
+            low, grid = lows[k], classes(lows[k])
+            alphas, scales, told = forward(low, grid, ends[k])
+            gammas: list[np.ndarray] = []
+            for t in range(len(grid) - 1, -1, -1):
+                n = int(live[low + t])
+                gammas.append(alphas[t] * beta[:n])
+                before = alphas[t - 1] if t else ends[k]
+                if before is not None:
+                    back = told[t] * beta[:n] / scales[t][:, None]
+                    moved += before[:n].T @ back
+                    beta[:n] = back @ move.T
+            seen, g = np.concatenate([row[: int(live[low + t])] for t, row in enumerate(grid)]), np.concatenate(gammas[::-1])
+            for j in range(len(start)):
+                self.emit[:, j] += np.bincount(seen, g[:, j], len(self.emit))
+        self.start += gammas[-1].sum(0)
         self.move += moved * move
-        self.start += gammas[0].sum(0)
-        seen, g = np.concatenate([grid[t, :n] for t, n in enumerate(live)]), np.concatenate(gammas)
-        for k in range(len(start)):
-            self.emit[:, k] += np.bincount(seen, g[:, k], len(self.emit))
 
     def chain_of(self) -> Chain:
         """The chain that these counts make, with a little of each event added."""
@@ -147,6 +171,7 @@ class Vocabulary:
     total: int
     types: int
     ends: int
+    class_counts: np.ndarray
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -194,7 +219,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     c = np.array([c for _, c in top], float)
     log_all = math.log10(total + ADD * (types + 1))
     within = np.where(np.arange(len(top)) < OWN, 0.0, np.log10(c + ADD) - shared[classes] if len(top) else 0.0)
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, classes, np.log10(c + ADD) - log_all, within, shared, log_all, total, types, ends)
+    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, classes, np.log10(c + ADD) - log_all, within, shared, log_all, total, types, ends, np.concatenate([[ends], [x for _, x in top[:OWN]], np.zeros(OWN - len(top[:OWN])), n[1 + OWN :]]))
 
 
 def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -233,40 +258,45 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
-def baum_welch_round(train: DataFrame, chain: Chain) -> Chain:
-    """One round over all training sequences: counts by partition, summed by class."""
+def baum_welch_round(train: DataFrame, chain: Chain) -> tuple[Chain, float]:
+    """One round over all training sequences, and the log likelihood before it: counts by partition, summed by class."""
     held, k = train.sparkSession.sparkContext.broadcast(chain), len(chain.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Expected(held.value)
+        e, some, size = Expected(held.value), [], 0
         for b in batches:
-            e.add(_sequences(b.column("classes")))
-        rows = np.vstack([e.start, e.move, e.emit])
+            some += _sequences(b.column("classes"))
+            size += sum(map(len, some[-b.num_rows :]))
+            if size > HELD:
+                e.add(some)
+                some, size = [], 0
+        e.add(some)
+        rows = np.vstack([e.start, e.move, e.emit, np.full(k, e.log / k)])
         at = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(rows[at, j]) for j in range(k)]], names=["at", *[f"s{j}" for j in range(k)]])
 
     sums = train.select("classes").mapInArrow(run, "at long, " + ", ".join(f"s{j} double" for j in range(k)))
     found = sums.groupBy("at").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
-    rows = np.zeros((1 + k + len(chain.emit), k))
+    rows = np.zeros((2 + k + len(chain.emit), k))
     rows[found["at"]] = found[[f"s{j}" for j in range(k)]]
     e = Expected(chain)
-    e.start, e.move, e.emit = rows[0], rows[1 : 1 + k], rows[1 + k :]
-    return e.chain_of()
-
-
-def train_chain(train: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Chain:
-    """Warm rounds over about WARM_DOCS documents, picked by a hash of their place, settle the states, then rounds over all documents count."""
-    share = WARM_DOCS / max(1, train.count())
-    warm = train.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < share * (1 << 40)).select("classes").collect()
-    some = sorted((np.frombuffer(bytes(r[0]), "<u2") for r in warm), key=lambda x: x.tobytes())
-    seen = np.bincount(np.concatenate([*some, np.empty(0, np.int64)]).astype(np.int64), minlength=CLASSES).astype(float)
-    chain = first_guess(seen, states)
-    for _ in range(WARM_ROUNDS if some else 0):
-        e = Expected(chain)
-        e.add(some)
-        chain = e.chain_of()
+    e.start, e.move, e.emit = rows[0], rows[1 : 1 + k], rows[1 + k : -1]
+    held.unpersist()
+    return e.chain_of(), float(rows[-1].sum())
+
+
+def train_chain(train: DataFrame, class_counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Chain:
+    """Rounds from the corpus' class counts, early ones over every EARLY-th document by a hash of its place, then over all until they settle."""
+    chain, last = first_guess(class_counts, states), -math.inf
+    some = train.where(F.pmod(F.xxhash64("row"), F.lit(EARLY)) == 0)
+    some = staged(some.coalesce(max(1, some.rdd.getNumPartitions() // EARLY)), "early-classes")
+    for _ in range(EARLY_ROUNDS):
+        chain, _ = baum_welch_round(some, chain)
     for _ in range(rounds):
-        chain = baum_welch_round(train, chain)
+        chain, log = baum_welch_round(train, chain)
+        if log - last < SETTLED * abs(log):
+            break
+        last = log
     return chain
 
 
@@ -285,7 +315,7 @@ def language_scores(docs: DataFrame, held_out, states: int = STATES, rounds: int
     vocab = vocabulary(counts, train.count())
     docs_in = staged(encoded(rows, vocab), "word-classes")
     learned = docs_in.where(~F.col("held_out")).select("row", "classes")
-    chain = spark.sparkContext.broadcast(train_chain(learned, states, rounds))
+    chain = spark.sparkContext.broadcast(train_chain(learned, vocab.class_counts, states, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

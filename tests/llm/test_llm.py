@@ -237,13 +237,26 @@ def test_forward_is_exact_and_counts_add_up():
         assert ll == pytest.approx(total + math.log(a.sum()))
     e = hmm.Expected(chain)
     e.add(seqs)
-    assert e.emit.sum() == pytest.approx(sum(map(len, seqs)))
+    assert e.log == pytest.approx(got.sum()) and e.start.sum() == pytest.approx(len(seqs))
+    assert e.emit.sum() == pytest.approx(sum(map(len, seqs))) and e.move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
     assert np.allclose(e.emit.sum(1), np.bincount(np.concatenate(seqs), minlength=c))
-    short = [s for s in seqs if len(s) <= hmm.SEGMENT]
-    before = hmm.log_likelihood(short, chain).sum()
-    e = hmm.Expected(chain)
-    e.add(short)
-    assert hmm.log_likelihood(short, e.chain_of()).sum() > before
+    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
+    for s in seqs:  # forward and backward over whole sequences, one by one
+        alpha, beta = np.zeros((len(s), k)), np.ones((len(s), k))
+        for t, x in enumerate(s):
+            alpha[t] = chain.emit[x] * (chain.start if not t else alpha[t - 1] @ chain.move)
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = chain.move @ (chain.emit[s[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        for t, x in enumerate(s):
+            emit[x] += alpha[t] * beta[t] / (alpha[t] * beta[t]).sum()
+            if t:
+                both = alpha[t - 1][:, None] * chain.move * (chain.emit[x] * beta[t])
+                move += both / both.sum()
+        start += alpha[0] * beta[0] / (alpha[0] * beta[0]).sum()
+    assert np.allclose(e.emit, emit) and np.allclose(e.move, move) and np.allclose(e.start, start)
+    assert hmm.log_likelihood(seqs, e.chain_of()).sum() > got.sum()
 
 
 def test_warc(spark, tmp_path):
