@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ LEAST_REAL_SHARE = 0.55
 SENTENCE_MARKS = "[.?!,:;]"
 ASCII_LETTER = "[A-Za-zİK]"
 CJK = "[一-鿿]"
-GLUE_MARKERS = "itwhere itswhere whereour ourjourney journeybegins tomake theaspiration withinreach findyour thisisour isourmission effortlessconfidence".split()
+GLUE_MARKERS = ["itwhere", "itswhere", "whereour", "ourjourney", "journeybegins", "tomake", "theaspiration", "withinreach", "findyour", "thisisour", "isourmission", "effortlessconfidence"]
 NOISE_WORDS = ["TODAUT"]
 LEAST_SCORE = 0.82
 # Replaceable repair rules, in order; pattern and replacement, case ignored, whole words.
@@ -65,6 +66,15 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"(?U){SPACE}+", " "))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spoken(c: Column) -> Column:
+    return strip(F.coalesce(c, F.lit("")))
+
+
 def in_class(chars: str) -> str:
     """Characters as the inside of a regular expression's class."""
     return "".join("\\" + x if x in "[]\\^-&" else x for x in chars)
@@ -123,77 +133,102 @@ def _size_in(c: Column, low: int, high: int) -> Column:
     return F.length(c).between(low, high)
 
 
-def _caps_code(v: Column) -> Column:
-    """Short and all capitals with a digit, or shorter without sentence marks."""
-    c = compact(v)
-    caps = ~c.rlike("[a-z]")
-    return caps & ((_size_in(c, 2, 10) & c.rlike("[0-9]")) | (_size_in(c, 2, 5) & ~v.rlike(SENTENCE_MARKS)))
+def _caps_code(v: Column, k: Column) -> Column:
+    """Short and all capitals with a digit, or shorter without sentence marks; k: v's letters and digits."""
+    return _size_in(k, 2, 10) & ~k.rlike("[a-z]") & (k.rlike("[0-9]") | (_size_in(k, 2, 5) & ~v.rlike(SENTENCE_MARKS)))
 
 
 def is_hard_noise(c: Column) -> Column:
     """Text that can't be speech: codes, plate numbers, single mixed-case tokens, rows of short tokens."""
-    v = strip(F.coalesce(c, F.lit("")))
-    k, t = compact(v), tokens(v)
-    one = (F.size(t) == 1) & _size_in(k, 4, 12) & (((F.regexp_count(k, F.lit("[A-Z]")) >= 3) & k.rlike("[a-z]")) | F.upper(k).isin(NOISE_WORDS))
-    short = F.size(F.filter(t, lambda x: F.length(x) <= 3))
-    row = F.size(t).between(4, 12) & ~k.rlike("[a-z]") & k.rlike("[0-9]") & (short >= 0.75 * F.size(t))
-    return (v != "") & ((F.length(v) <= 2) | k.rlike("^[0-9]+$") | _caps_code(v) | one | row)
+    def told(v: Column, k: Column) -> Column:
+        n = F.regexp_count(v, F.lit("[A-Za-z0-9]+"))
+        short = n - F.regexp_count(v, F.lit("[A-Za-z0-9]{4,}"))
+        one = _size_in(k, 4, 12) & (n == 1) & ((k.rlike("[a-z]") & (F.regexp_count(k, F.lit("[A-Z]")) >= 3)) | F.upper(k).isin(NOISE_WORDS))
+        row = ~k.rlike("[a-z]") & k.rlike("[0-9]") & n.between(4, 12) & (short >= 0.75 * n)
+        return (v != "") & ((F.length(v) <= 2) | k.rlike("^[0-9]+$") | _caps_code(v, k) | one | row)
+
+    return let(_spoken(c), lambda v: let(compact(v), lambda k: told(v, k)))
+
+
+def _unspaced(c: Column, w: Column) -> Column:
+    letters = F.regexp_replace(c, "[^A-Za-z]", "")
+    spaced = lambda: c.contains(" ") & (F.size(F.filter(F.split(squeeze(c), " "), lambda x: x != "")) >= F.size(w))
+    capital = let(letters, lambda x: (F.length(x) >= 12) & (F.regexp_count(x, F.lit("[A-Z]")) >= 0.85 * F.length(x)))
+    return F.size(w).between(1, 4) & F.exists(w, lambda x: F.length(x) >= 7) & capital & ~spaced()
 
 
 def is_unspaced_uppercase(c: Column) -> Column:
     """One to four words of capitals with spaces missing."""
-    w, letters = words(c), F.regexp_replace(c, "[^A-Za-z]", "")
-    capitals = F.regexp_count(letters, F.lit("[A-Z]")) >= 0.85 * F.length(letters)
-    spaced = c.contains(" ") & (F.size(F.filter(F.split(squeeze(c), " "), lambda x: x != "")) >= F.size(w))
-    return F.size(w).between(1, 4) & (F.length(letters) >= 12) & capitals & ~spaced & F.exists(w, lambda x: F.length(x) >= 7)
+    return let(c, lambda x: let(words(x), lambda w: _unspaced(x, w)))
+
+
+def _glued(c: Column) -> Column:
+    marks = "|".join(GLUE_MARKERS)
+    long = lambda: c.rlike("[A-Za-z]{13,}")
+    return let(F.regexp_replace(c, "[^A-Za-z']", ""), lambda k: (F.length(k) >= 12) & (F.lower(k).rlike(marks) | (k.rlike("[a-z][A-Z]") & long())))
 
 
 def is_glued_english(c: Column) -> Column:
     """Words run together: a known pair, or a capital inside a word beside a long word."""
-    k = F.regexp_replace(c, "[^A-Za-z']", "")
-    camel = k.rlike("[a-z][A-Z]") & F.exists(words(c), lambda x: F.length(x) >= 13)
-    return (F.length(k) >= 12) & (F.lower(k).rlike("|".join(GLUE_MARKERS)) | camel)
+    return let(c, _glued)
 
 
 def _mixes_scripts(v: Column) -> Column:
     return v.rlike(CJK) & (F.regexp_count(v, F.lit(ASCII_LETTER)) >= 2)
 
 
+def _doubtful(v: Column) -> Column:
+    def told(w: Column, letters: Column) -> Column:
+        many = (F.size(w) >= 2) & ((letters >= 14 * F.size(w)) | _unspaced(v, w) | _glued(v))
+        return ((F.size(w) == 1) & (letters >= 18)) | many
+
+    length = lambda w: F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
+    by_words = let(words(v), lambda w: let(length(w), lambda letters: told(w, letters)))
+    return (F.length(v) <= 2) | let(compact(v), lambda k: _caps_code(v, k)) | by_words | _mixes_scripts(v)
+
+
 def needs_review(c: Column, has_reviewer: Column | bool = True) -> Column:
     """Whether a second recognizer should read this text."""
-    v = strip(F.coalesce(c, F.lit("")))
-    w = words(v)
-    letters = F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
-    many = (F.size(w) >= 2) & (is_unspaced_uppercase(v) | is_glued_english(v) | (letters >= 14 * F.size(w)))
-    one = (F.size(w) == 1) & (letters >= 18)
     reviewer = F.lit(has_reviewer) if isinstance(has_reviewer, bool) else has_reviewer
-    return reviewer & ((F.length(v) <= 2) | _caps_code(v) | one | many | _mixes_scripts(v))
+    return reviewer & let(_spoken(c), _doubtful)
 
 
 def prefers_review(primary: Column, review: Column, has_reviewer: Column | bool = True) -> Column:
     """Whether the second reading replaces the first."""
-    p, r = (strip(F.coalesce(x, F.lit(""))) for x in (primary, review))
-    longer = F.length(r) > 1.25 * F.length(p)
-    better = needs_review(p, has_reviewer) & (~needs_review(r, has_reviewer) | longer)
-    return (r != "") & ~is_hard_noise(r) & ((p == "") | better)
+    def told(p: Column, r: Column) -> Column:
+        better = needs_review(p, has_reviewer) & ((F.length(r) > 1.25 * F.length(p)) | ~needs_review(r, has_reviewer))
+        return (r != "") & ~is_hard_noise(r) & ((p == "") | better)
+
+    return let(_spoken(primary), lambda p: let(_spoken(review), lambda r: told(p, r)))
 
 
 def accepts_token(c: Column, score: Column, least: float = LEAST_SCORE) -> Column:
     """Whether a scored token of a recognizer counts; a null score passes."""
-    v = strip(F.coalesce(c, F.lit("")))
-    marked, w = v.rlike(SENTENCE_MARKS), words(v)
-    lone = (F.size(w) == 1) & (F.length(F.get(w, F.lit(0))) <= 6) & ~marked
-    return F.coalesce(score >= least, F.lit(True)) & (F.length(v) > 1) & ((F.length(v) > 3) | marked) & ~_caps_code(v) & ~F.coalesce(lone, F.lit(False)) & ~_mixes_scripts(v)
+    def told(v: Column) -> Column:
+        marked = v.rlike(SENTENCE_MARKS)
+        lone = let(words(v), lambda w: (F.size(w) == 1) & (F.length(F.get(w, F.lit(0))) <= 6)) & ~marked
+        return (F.length(v) > 1) & ((F.length(v) > 3) | marked) & ~let(compact(v), lambda k: _caps_code(v, k)) & ~F.coalesce(lone, F.lit(False)) & ~_mixes_scripts(v)
+
+    return F.coalesce(score >= least, F.lit(True)) & let(_spoken(c), told)
 
 
 def repair(c: Column, rules: list[tuple[str, str]] = REPAIRS) -> Column:
-    """Recognized text with known misreadings repaired; noise becomes empty."""
-    v = strip(F.coalesce(c, F.lit("")))
-    fixed = reduce(lambda x, r: F.regexp_replace(x, rf"(?iU)\b{r[0]}\b", r[1].replace("$", r"\$")), rules, v)
-    fixed = F.regexp_replace(fixed, r"(?U),(?=\S)", ", ")
-    fixed = F.regexp_replace(fixed, r"\.{2,}$", ".")
-    fixed = F.regexp_replace(fixed, r"(?U)^G Plug-in\b", "MG Plug-in")
-    fixed = F.regexp_replace(fixed, r"(?iU)^ah\s+\.\S+\s+", "")
-    lost = fixed.rlike(r"(?iU)\btechnol\b") & fixed.rlike(r"(?iU)\bti+me\b")
-    tail = F.when(F.size(words(fixed)) >= 3, strip(F.regexp_replace(fixed, r"(?U)\s+\d\s*$", ""))).otherwise(fixed)
-    return F.when((v == "") | is_hard_noise(v) | lost, F.lit("")).otherwise(tail)
+    """Recognized text with known misreadings repaired; noise becomes empty. Rules run only on texts that one of them fits."""
+    def ruled(v: Column) -> Column:
+        if not rules:
+            return v
+        fits = v.rlike(rf"(?iU)\b(?:{'|'.join(r[0] for r in rules)})\b")
+        return F.when(fits, reduce(lambda x, r: F.regexp_replace(x, rf"(?iU)\b{r[0]}\b", r[1].replace("$", r"\$")), rules, v)).otherwise(v)
+
+    def trimmed(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?U),(?=\S)", ", ")
+        x = F.regexp_replace(x, r"\.{2,}$", ".")
+        x = F.regexp_replace(x, r"(?U)^G Plug-in\b", "MG Plug-in")
+        return F.regexp_replace(x, r"(?iU)^ah\s+\.\S+\s+", "")
+
+    def told(x: Column) -> Column:
+        lost = x.rlike(r"(?iU)\btechnol\b") & x.rlike(r"(?iU)\bti+me\b")
+        tail = F.when(F.regexp_count(x, F.lit("[A-Za-z]+")) >= 3, strip(F.regexp_replace(x, r"(?U)\s+\d\s*$", ""))).otherwise(x)
+        return F.when(lost, F.lit("")).otherwise(tail)
+
+    return let(_spoken(c), lambda v: F.when((v == "") | is_hard_noise(v), F.lit("")).otherwise(let(trimmed(ruled(v)), told)))

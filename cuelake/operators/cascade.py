@@ -6,37 +6,55 @@ name, so that a model loads once. Nothing here needs a particular engine: pass y
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake.functions.text import accepts_token, is_hard_noise, needs_review, prefers_review
-from cuelake.operators.sequence import carry_forward, chunked, english_window
+from cuelake.operators.sequence import chunked, english_window
 
 Recognizer = Callable[[list], list]
-_loaded: dict[str, Recognizer] = {}
+_loaded: dict[tuple, Recognizer] = {}
 
 
-def _get(name: str, make: Callable[[], Recognizer]) -> Recognizer:
-    if name not in _loaded:
-        _loaded[name] = make()
-    return _loaded[name]
+def _key(name: str, make: Callable[[], Recognizer], language: str, batch: int) -> tuple:
+    """What a loaded recognizer is kept by: a name alone would hand one maker's or language's model to another."""
+    return name, language, batch, hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
 
 
-def recognize(df: DataFrame, source: str, out: str, name: str, make: Callable[[], Recognizer], batch: int = 64) -> DataFrame:
+def _get(key: tuple, make: Callable[[], Recognizer]) -> Recognizer:
+    if key not in _loaded:
+        _loaded[key] = make()
+    return _loaded[key]
+
+
+def recognize(df: DataFrame, source: str, out: str, name: str, make: Callable[[], Recognizer], batch: int = 64, language: str = "") -> DataFrame:
     """df with the recognizer's text of the source column; batches bound what it holds."""
-    at = df.select("*").schema.add(out, "string")
+    return _recognized(df, [source], out, None, name, make, batch, language)
+
+
+def _recognized(df: DataFrame, sources: list[str], out: str, only: str | None, name: str, make: Callable[[], Recognizer], batch: int, language: str) -> DataFrame:
+    """One pass: the first source's text of the rows that the column ``only`` allows, then each later source on rows still empty."""
+    at, key = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]), _key(name, make, language, batch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = _get(name, make)
+        call = _get(key, make)
         for b in batches:
-            texts: list = []
-            values = list(b[source])
-            for a in range(0, len(values), batch):
-                texts += call(values[a : a + batch])
+            texts: list = [None] * len(b)
+            for k, s in enumerate(sources):
+                values = list(b[s])
+                allowed = b[only] if only else [True] * len(b)
+                rows = [i for i, ok in enumerate(allowed) if (ok or (k == 0 and len(sources) > 1)) and (k == 0 or (not (texts[i] or "").strip() and values[i] is not None))]
+                for a in range(0, len(rows), batch):
+                    some = rows[a : a + batch]
+                    for i, t in zip(some, call([values[i] for i in some]), strict=True):
+                        texts[i] = t
             yield b.assign(**{out: texts})
 
     return df.mapInPandas(run, at)
@@ -49,25 +67,19 @@ def recognize_anchors(df: DataFrame, keys: list[str], order: list[str], source:
     return joined.withColumn("text", F.col("anchor_text")).drop("anchor_text")
 
 
-def recognize_with_retry(df: DataFrame, sources: list[str], name: str, make: Callable[[], Recognizer], eligible: Column | bool = True) -> DataFrame:
-    """text from the first source that gives one: each later crop is tried on rows still empty and eligible."""
-    allowed = F.lit(eligible) if isinstance(eligible, bool) else eligible
-    done, rest = [], recognize(df, sources[0], "text", name, make)
-    for s in sources[1:]:
-        empty = (F.trim(F.coalesce("text", F.lit(""))) == "") & allowed & F.col(s).isNotNull()
-        done.append(rest.where(~empty))
-        rest = recognize(rest.where(empty).drop("text"), s, "text", name, make)
-    for d in done:
-        rest = rest.unionByName(d)
-    return rest
+def recognize_with_retry(df: DataFrame, sources: list[str], name: str, make: Callable[[], Recognizer], eligible: Column | bool = True, batch: int = 64, language: str = "") -> DataFrame:
+    """text from the first source that gives one: each later crop is tried on rows still empty and eligible, in the same pass."""
+    allowed = F.lit(eligible) if isinstance(eligible, bool) else F.coalesce(eligible, F.lit(False))
+    return _recognized(df.withColumn("__eligible", allowed), sources, "text", "__eligible", name, make, batch, language).drop("__eligible")
 
 
-def review(df: DataFrame, text: str, source: str, name: str, make: Callable[[], Recognizer]) -> DataFrame:
-    """Second readings of suspicious texts; reviewed marks those that replace the first, hard noise else goes."""
-    doubtful = needs_review(F.col(text))
-    sure = df.where(~doubtful).withColumn("reviewed", F.lit(False))
-    read = recognize(df.where(doubtful), source, "second", name, make)
-    return sure.unionByName(chosen(read, text, "second").drop("second"))
+def review(df: DataFrame, text: str, source: str, name: str, make: Callable[[], Recognizer], batch: int = 64, language: str = "") -> DataFrame:
+    """Second readings of suspicious texts; reviewed marks those that replace the first, hard noise else goes. One pass over df."""
+    doubtful = df.withColumn("__doubtful", needs_review(F.col(text)))
+    read = _recognized(doubtful, [source], "__second", "__doubtful", name, make, batch, language)
+    better = F.col("__doubtful") & prefers_review(F.col(text), F.col("__second"))
+    kept = F.when(better, F.col("__second")).when(F.col("__doubtful") & is_hard_noise(F.col(text)), F.lit("")).otherwise(F.col(text))
+    return read.withColumn("reviewed", better).withColumn(text, kept).drop("__doubtful", "__second")
 
 
 def chosen(df: DataFrame, text: str, second: str) -> DataFrame:
@@ -140,8 +152,11 @@ def apply_corrections(cues: DataFrame, corrections: DataFrame, keys: list[str],
     return joined.withColumn("text", F.coalesce(F.try_element_at("found", F.col("i")), F.col("text"))).drop("found", "chunk", "i")
 
 
-def correct(cues: DataFrame, keys: list[str], client: Callable[[str], str] | None, size: int = 40) -> DataFrame:
-    """Cues corrected by a client from a block's JSON to a reply. No client: unchanged. A failing block: unchanged."""
+def correct(cues: DataFrame, keys: list[str], client: Callable[[str], str] | None, size: int = 40, replies_path: str | None = None) -> DataFrame:
+    """Cues corrected by a client from a block's JSON to a reply. No client: unchanged. A failing block: unchanged.
+
+    replies_path: a shared folder where replies are written and read again, so that no block is asked twice.
+    """
     if client is None:
         return cues
     from cuelake.functions.replies import correction_map
@@ -159,7 +174,10 @@ def correct(cues: DataFrame, keys: list[str], client: Callable[[str], str] | Non
             yield b.assign(reply=replies).drop(columns="request")
 
     answered = requests.mapInPandas(run, requests.drop("request").schema.add("reply", "string"))
+    if replies_path:
+        answered.write.parquet(replies_path)
+        answered = cues.sparkSession.read.schema(answered.schema).parquet(replies_path)
     return apply_corrections(cues, answered.select(*keys, "chunk", correction_map(F.col("reply")).alias("found")), keys, size)
 
 
-__all__ = ["accepted_text", "apply_corrections", "carry_forward", "chosen", "correct", "correction_requests", "engine_languages", "flattened", "recognize", "recognize_anchors", "recognize_with_retry", "review"]
+__all__ = ["accepted_text", "apply_corrections", "chosen", "correct", "correction_requests", "engine_languages", "flattened", "recognize", "recognize_anchors", "recognize_with_retry", "review"]

@@ -76,15 +76,20 @@ def sessions(samples: DataFrame, key: str, fps: float, similarity: float) -> Dat
         for b in batches:
             out = []
             for k, ts, text, norm in zip(b[key], b["ts"], b["clean"], b["norm"], strict=True):
-                if job is None or k != job:
+                if k != job:
                     out.append((job, cue.close()))
                     job = k
                 out.append((job, cue.take(ts, None if text is None or text != text else text, norm or "", span, similarity)))
             yield pd.DataFrame([(k, *c) for k, c in out if c], columns=[key, "text", "start", "end"])
         yield pd.DataFrame([(job, *c) for c in [cue.close()] if c], columns=[key, "text", "start", "end"])
 
-    rows = samples.where(F.col(key).isNotNull()).select(key, "ts", "clean", "norm").repartition(key).sortWithinPartitions(key, "ts")
-    return rows.mapInPandas(fold, f"{key} {dict(samples.dtypes)[key]}, {CUE}")
+    rows = samples.select(F.col(key).cast("string").alias(key), "ts", "clean", "norm").repartition(key).sortWithinPartitions(key, "ts")
+    return _keyed_as(rows.mapInPandas(fold, f"{key} string, {CUE}"), key, samples)
+
+
+def _keyed_as(cues: DataFrame, key: str, like: DataFrame) -> DataFrame:
+    """Cues whose key, text in the fold so that a null stays null, has its own type again."""
+    return cues.withColumn(key, F.col(key).cast(like.schema[key].dataType))
 
 
 def exact_sessions(samples: DataFrame, keys: list[str], fps: float) -> DataFrame:
@@ -124,8 +129,8 @@ def drop_contained(cues: DataFrame, key: str, share: float = 0.8) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "text", "start", "end"])
         yield pd.DataFrame([kept[:4]] if kept else [], columns=[key, "text", "start", "end"])
 
-    rows = cues.withColumn("norm", normalize(F.col("text"))).repartition(key).sortWithinPartitions(key, "start")
-    return rows.select(key, "text", "start", "end", "norm").mapInPandas(fold, f"{key} {dict(cues.dtypes)[key]}, {CUE}")
+    rows = cues.select(F.col(key).cast("string").alias(key), "text", "start", "end", normalize(F.col("text")).alias("norm")).repartition(key).sortWithinPartitions(key, "start")
+    return _keyed_as(rows.mapInPandas(fold, f"{key} string, {CUE}"), key, cues)
 
 
 def build_cues(samples: DataFrame, key: str, fps: float, min_length: int = 2, similarity: float = 0.72) -> DataFrame:
@@ -143,15 +148,17 @@ def caption_files(cues: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plain_text(srt: DataFrame, keys: list[str], content: str) -> DataFrame:
-    """(keys, plain): the lines of speech of caption files, blank runs as one blank line, tags off."""
-    lines = srt.select(*keys, F.posexplode(F.split(content, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("place", "raw"))
+    """(keys, plain): the lines of speech of caption files, blank runs as one blank line, tags off; empty for null contents. One file a key."""
+    lines = srt.select(*keys, F.posexplode_outer(F.split(content, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("place", "raw"))
     line = F.trim(F.regexp_replace("raw", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     bare = F.regexp_replace(line, "<[^>]+>", "")
     kind = F.when(line == "", F.lit("blank")).when(line.rlike(r"^[\p{Nd}²³¹⁰-⁹₀-₉]+$") | line.contains("-->") | (bare == ""), F.lit("skip")).otherwise(F.lit("keep"))
     rows = lines.select(*keys, "place", bare.alias("line"), kind.alias("kind"))
-    w = ordered(keys, ["place"])
-    blanks = F.sum((F.col("kind") == "blank").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("blanks", blanks).where("kind = 'keep'")
-    parted = F.when(F.lag("blanks").over(w) < F.col("blanks"), F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
-    pieces = kept.select(*keys, F.struct("place", parted.alias("line")).alias("row")).groupBy(*keys).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("row")), lambda r: r.line)).alias("plain"))
-    return srt.select(*keys).join(pieces, keys, "left").select(*keys, F.coalesce(F.concat("plain", F.lit("\n")), F.lit("")).alias("plain"))
+    before = ordered(keys, ["place"])
+    blanks = F.sum((F.col("kind") == "blank").cast("long")).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.withColumn("blanks", blanks).withColumn("said", F.col("kind") == "keep")
+    last = F.max(F.when(F.col("said"), F.col("blanks"))).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    parted = F.when(last < F.col("blanks"), F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    pieces = counted.select(*keys, F.when(F.col("said"), F.struct("place", parted.alias("line"))).alias("row"))
+    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("row")), lambda r: r.line))
+    return pieces.groupBy(*keys).agg(F.when(F.count("row") > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit("")).alias("plain"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TERMINAL = ["done", "failed", "canceled"]
 ACTIVE = ["queued", "running"]
 PHASES = {"detect": 0.03, "extract": 0.05, "load": 0.12, "region": 0.10, "merge": 0.93, "correct": 0.96, "done": 1.0}
-RECOVERED = {"message": "Interrupted by a restart", "error": "Server restarted while task was running."}
+RECOVERED = {"message": "服务重启，任务中断", "error": "Server restarted while task was running."}
 ARTIFACTS = {"srt": "output.srt", "txt": "output.txt", "preview": "preview.jpg", "ocr-log": "ocr_log.jsonl"}
 
 
@@ -91,6 +91,17 @@ def progress(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("progress", 0.12 + 0.78 * i / F.count("*").over(Window.partitionBy(*keys)))
 
 
+def rates(done: Column, total: Column, elapsed: Column) -> Column:
+    """struct(rate, remaining): rows a second so far, and the seconds that the others will take."""
+    rate = done / F.greatest(elapsed, F.lit(0.001))
+    return F.struct(rate.alias("rate"), F.when(rate > 0, (total - done) / rate).otherwise(F.lit(0.0)).alias("remaining"))
+
+
+def inserted(events: DataFrame, jobs: DataFrame, seq: Column) -> DataFrame:
+    """The event log with new jobs as first events; ``latest`` folds it into the job table."""
+    return events.unionByName(jobs.withColumn("seq", seq), allowMissingColumns=True)
+
+
 def log_rows(samples: DataFrame, options: dict) -> DataFrame:
     """Log rows of recognized samples (timestamp, text, reused, reviewed, diff), rounded half-even."""
     region = options.get("crop_region")
@@ -122,6 +133,20 @@ def log_tail(log: DataFrame, line: str, n: int = 80) -> DataFrame:
     return log.orderBy(F.desc(line)).limit(min(max(n, 1), 300)).orderBy(line)
 
 
+def bounded_options(options: DataFrame, bounds: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """Options given as text, bounds (low, high, default): what is no number takes the default, and all stay within bounds.
+
+    A whole default asks for whole numbers.
+    """
+    def kept(c: str) -> Column:
+        low, high, default = bounds[c]
+        kind = "bigint" if isinstance(default, int) else "double"
+        given = F.when(F.trim(c).rlike(r"^[+-]?\d+$") | F.lit(kind == "double"), F.trim(c)).try_cast(kind)
+        return F.least(F.greatest(F.coalesce(given, F.lit(default).cast(kind)), F.lit(low).cast(kind)), F.lit(high).cast(kind))
+
+    return options.withColumns({c: kept(c).alias(c) for c in bounds})
+
+
 def checked_options(options: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Options whose numbers must lie within bounds; a value outside stops the query."""
     bad = lambda c, low, high: F.when(F.col(c).isNull() | F.col(c).between(low, high), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be between {low} and {high}")).cast(dict(options.dtypes)[c]))

@@ -358,6 +358,82 @@ def language_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", config.language_code(F.upper("lang")).alias("language"), config.provider_name(F.when(F.col("doc_id") % 2 == 0, F.lit(" Ollama")).otherwise(F.col("lang"))).alias("provider"))
 
 
+def _box_rows(spark, sf_dir) -> DataFrame:
+    """Line items as parts of boxes."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("discount", "tax", "quantity")])
+
+
+@query(sql.REGIONS)
+def regions(spark, sf_dir):
+    """The box that counts of a manual and a found one, and which it is."""
+    manual = F.when(F.col("l_linenumber") % 3 == 0, geometry.region(F.col("discount"), F.col("tax"), F.lit(0.5), F.lit(0.25)))
+    auto = F.when(F.col("l_linenumber") % 2 == 0, geometry.region(F.col("tax"), F.col("discount"), F.lit(0.4), F.lit(0.2)))
+    box = geometry.active_region(manual, auto)
+    return _box_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", box["x"].alias("x"), box["w"].alias("w"), geometry.region_source(manual, auto).alias("source"))
+
+
+@query(sql.DRAG_BOXES)
+def drag_boxes(spark, sf_dir):
+    """Dragged boxes, fitted pictures and pointers in them."""
+    q = F.col("quantity")
+    box = geometry.drag_box(F.col("discount"), F.col("tax"), q / 60, q / 80)
+    fit = geometry.fitted(q * 10 + 100, F.col("l_linenumber") * 50.0 + 100, F.lit(640), F.lit(360))
+    point = geometry.point_in(F.lit(300.0), F.lit(200.0), fit)
+    told = {c: box[c] for c in "xywh"} | {"left": fit["left"], "top": fit["top"], "px": point["x"], "py": point["y"]}
+    return _box_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(c) for c, v in told.items()])
+
+
+@query(sql.REFINED_REGIONS)
+def refined_regions(spark, sf_dir):
+    """Caption bands fitted to active rows."""
+    got = geometry.refine_region(F.col("discount") * 8, F.col("quantity") / 60, F.col("tax"), 1 - F.col("discount") * 4, F.lit(0.1))
+    return _box_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(got["y"], 6).alias("y"), F.round(got["h"], 6).alias("h"))
+
+
+@query(sql.PROVIDER_SETTINGS)
+def provider_settings(spark, sf_dir):
+    """Models and addresses of providers, and which errors ask for a plain retry."""
+    c = F.col("o_custkey")
+    provider = F.element_at(F.array(*[F.lit(p) for p in config.PROVIDERS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    url = config.base_url(provider, F.when(c % 3 == 0, F.lit(" http://h/v1//")))
+    said = F.when(c % 5 == 0, F.lit("JSON mode is off")).otherwise(F.lit("timeout"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", config.model_name(provider, F.when(c % 2 == 0, F.lit(" m "))).alias("model"), url.alias("url"), config.joined_url(url, F.lit("/chat")).alias("address"), replies.wants_plain_retry(said).alias("plain_retry"))
+
+
+@query(sql.RESOURCE_PLANS)
+def resource_plans(spark, sf_dir):
+    """Threads and workers of machines."""
+    total = (F.col("o_custkey") % 64).cast("double")
+    plan = config.resource_plan(F.col("o_orderkey") % 32 + 1, total, F.when(F.col("o_custkey") % 2 == 0, total * 0.7))
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[plan[c].alias(c) for c in ("cpu_threads", "max_workers", "worker_count")])
+
+
+@query(sql.CODEC_NAMES)
+def codec_names(spark, sf_dir):
+    """Text codecs and video names."""
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), pick(".MP4", ".txt", ".mkv", ".ts.bak"))
+    return table(spark, sf_dir, "documents").select("doc_id", config.is_text_codec(pick("SubRip", "hdmv_pgs", "mov_text", "dvd_subtitle")).alias("is_text"), config.is_video_name(name).alias("is_video"))
+
+
+@query(sql.ENGINE_LANGUAGES)
+def engine_languages(spark, sf_dir):
+    """The engine's language from the first mostly English window on."""
+    return cascade.engine_languages(lines(spark, sf_dir), ["doc_id"], ["pos"], "line", F.lit("ch")).select("doc_id", "pos", "engine_language")
+
+
+@query(sql.REPLY_TEXTS)
+def reply_texts(spark, sf_dir):
+    """Texts and errors in answers of the providers' shapes."""
+    t = F.coalesce("text", F.lit(""))
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")))
+    local = F.to_json(F.struct(F.struct(t.alias("content")).alias("message")))
+    blocks = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content")))
+    error = F.to_json(F.struct(F.struct(t.alias("message")).alias("error")))
+    said = lambda provider, body: replies.reply_text(F.lit(provider), body)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said("openai", chat).alias("chat"), said("ollama", local).alias("local"), said("anthropic", blocks).alias("blocks"), replies.error_text(error).alias("error"))
+
+
 # --- jobs and logs -----------------------------------------------------------------------------------------------
 
 
@@ -410,3 +486,31 @@ def log_summary(spark, sf_dir):
 def log_tail(spark, sf_dir):
     """The last eighty events."""
     return jobs.log_tail(table(spark, sf_dir, "events"), "event_id").select("event_id", "event_type")
+
+
+@query(sql.LOG_ROWS)
+def log_rows(spark, sf_dir):
+    """Log rows made from masks."""
+    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    log = rows.select("vec_id", (F.col("vec_id") / 7).alias("timestamp"), F.when(F.col("vec_id") % 5 != 0, F.lit("x")).alias("text"), F.col("repeat").alias("reused"), (F.col("vec_id") % 7 == 0).alias("reviewed"), "diff")
+    return jobs.log_rows(log, {"review_engine": "paddle", "crop_bottom": 0.55}).drop("crop_bottom", "crop_region", "crop_region_source")
+
+
+@query(sql.JOB_TEXTS)
+def job_texts(spark, sf_dir):
+    """What jobs display, and where their captions lie."""
+    rows = as_jobs(spark, sf_dir).withColumn("cancel_requested", F.col("id") % 2 == 0).withColumn("message", F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.lit("ok")))
+    return rows.select("id", jobs.shown_message(rows).alias("shown"), jobs.artifact_path(F.concat(F.lit("/jobs/"), F.col("id").cast("string")), "srt").alias("path"))
+
+
+@query(sql.PURGE_TOTAL)
+def purge_total(spark, sf_dir):
+    """How many jobs a purge clears."""
+    return jobs.purge_count(as_jobs(spark, sf_dir))
+
+
+@query(sql.PROGRESS_RATES)
+def progress_rates(spark, sf_dir):
+    """Rows a second and seconds left of jobs at work."""
+    got = jobs.rates(F.col("o_orderkey") % 100, F.lit(100), (F.col("o_custkey") % 50).cast("double"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(got["rate"], 6).alias("rate"), F.round(got["remaining"], 6).alias("remaining"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.functions.config import ENGINE_ORDER
+from cuelake.functions.config import BASE_URLS, ENGINE_ORDER, MODELS, PROVIDERS
 from cuelake.functions.text import CJK, GLUE_MARKERS, NORMALIZE_DELETES, PUNCTUATION, REPAIRS, TRIM_CHARS, in_class
 
 FPS = "1.5"
@@ -213,3 +213,30 @@ LATEST_STATE = "SELECT user_id, arg_max(CASE WHEN event_id % 2 = 0 THEN event_ty
 PROGRESS = f"WITH {LINES} SELECT doc_id, pos, round(0.12 + 0.78 * row_number() OVER (PARTITION BY doc_id ORDER BY pos) / count(*) OVER (PARTITION BY doc_id)::DOUBLE, 9)::DOUBLE AS progress FROM lines"
 LOG_SUMMARY = f"""WITH {ISLANDS} SELECT count(*) AS rows, count_if(NOT repeat)::BIGINT AS recognized, count_if(repeat)::BIGINT AS reused, count_if(vec_id % 7 = 0)::BIGINT AS reviewed, count_if(vec_id % 5 = 0)::BIGINT AS empty FROM islands"""
 LOG_TAIL = "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 80"
+
+REGIONS = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_discount WHEN l_linenumber % 2 = 0 THEN l_tax END::DOUBLE AS x, CASE WHEN l_linenumber % 3 = 0 THEN 0.5 WHEN l_linenumber % 2 = 0 THEN 0.4 END::DOUBLE AS w,
+ CASE WHEN l_linenumber % 3 = 0 THEN 'manual' WHEN l_linenumber % 2 = 0 THEN 'auto' END AS source FROM lineitem"""
+DRAG_BOXES = """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS y1, l_quantity::DOUBLE / 60 AS x2, l_quantity::DOUBLE / 80 AS y2, l_quantity::DOUBLE * 10 + 100 AS fw, l_linenumber * 50.0 + 100 AS fh FROM lineitem),
+ f AS (SELECT *, least(640 / fw, 360 / fh) AS s FROM b), g AS (SELECT *, (640 - fw * s) / 2 AS l, (360 - fh * s) / 2 AS t FROM f)
+SELECT l_orderkey, l_linenumber, round(least(x1, x2), 6) AS x, round(least(y1, y2), 6) AS y, round(abs(x2 - x1), 6) AS w, round(abs(y2 - y1), 6) AS h, round(l, 6)::DOUBLE AS "left", round(t, 6)::DOUBLE AS top,
+ round(greatest(least((300 - l) / (fw * s), 1), 0), 6)::DOUBLE AS px, round(greatest(least((200 - t) / (fh * s), 1), 0), 6)::DOUBLE AS py FROM g"""
+REFINED_REGIONS = """WITH b AS (SELECT l_orderkey, l_linenumber, l_discount::DOUBLE * 8 AS y, l_quantity::DOUBLE / 60 AS h, l_tax::DOUBLE AS top, 1 - l_discount::DOUBLE * 4 AS bottom FROM lineitem), c AS (SELECT *, bottom - top AS a FROM b),
+ d AS (SELECT *, least(greatest(0.1, 0.42 * a), least(0.24, a)) AS high, CASE WHEN a <= 0 OR y + h <= top OR y >= bottom THEN 1 WHEN a <= 0.72 AND (h >= 0.62 * a OR (y <= top + 0.18 * a AND h >= greatest(0.18, 0.5 * a))) THEN 2
+  WHEN a <= 0.72 AND y + h < bottom - 0.12 * a THEN 3 WHEN h > 0.28 THEN 4 ELSE 1 END AS k FROM c)
+SELECT l_orderkey, l_linenumber, round(CASE k WHEN 1 THEN y WHEN 2 THEN greatest(0, bottom - high) WHEN 3 THEN greatest(0, bottom - h) ELSE greatest(0, y + h / 2 - 0.14) END, 6)::DOUBLE AS y, round(CASE k WHEN 2 THEN high WHEN 4 THEN 0.28 ELSE h END, 6)::DOUBLE AS h FROM d"""
+PROVIDER_SETTINGS = f"""WITH o AS (SELECT o_orderkey, [{', '.join(map(quoted, PROVIDERS))}][o_orderkey % 4 + 1] AS p, o_custkey % 2 = 0 AS named, o_custkey % 3 = 0 AS placed, CASE WHEN o_custkey % 5 = 0 THEN 'JSON mode is off' ELSE 'timeout' END AS said FROM orders),
+ u AS (SELECT *, CASE WHEN placed THEN 'http://h/v1' ELSE MAP {{{', '.join(f"{quoted(k)}: {quoted(v)}" for k, v in BASE_URLS.items())}}}[p] END AS url FROM o)
+SELECT o_orderkey, CASE WHEN named THEN 'm' ELSE MAP {{{', '.join(f"{quoted(k)}: {quoted(v)}" for k, v in MODELS.items())}}}[p] END AS model, url, url || '/chat' AS address, said LIKE 'JSON%' AS plain_retry FROM u"""
+RESOURCE_PLANS = """WITH o AS (SELECT o_orderkey, o_orderkey % 32 + 1 AS c, (o_custkey % 64)::DOUBLE AS t, CASE WHEN o_custkey % 2 = 0 THEN (o_custkey % 64) * 0.7::DOUBLE END AS v FROM orders),
+ p AS (SELECT *, least(greatest(c // 2, 4), 12) AS threads, CASE WHEN c >= 20 THEN 3 WHEN c >= 12 THEN 2 ELSE 1 END AS most, greatest(0, coalesce(v, t) - greatest(3.5, 0.15::DOUBLE * t)) AS usable FROM o)
+SELECT o_orderkey, threads::INT AS cpu_threads, most::INT AS max_workers, greatest(1, least(most, greatest(1, c // greatest(4, least(threads, 8))), greatest(1, floor(usable / 4.5))))::INT AS worker_count FROM p"""
+LOG_ROWS = f"""WITH {ISLANDS} SELECT vec_id, round_even(vec_id / 7::DOUBLE, 3) AS timestamp, CASE WHEN vec_id % 5 <> 0 THEN 'x' ELSE '' END AS text, vec_id % 5 = 0 AS empty, repeat AS reused, vec_id % 7 = 0 AS reviewed, CASE WHEN vec_id % 7 = 0 THEN 'paddle' END AS review_engine,
+ round_even(diff, 5) AS diff FROM islands"""
+ENGINE_LANGUAGES = f"""WITH e AS ({ENGLISH_WINDOW}) SELECT doc_id, pos, CASE WHEN coalesce(max(english::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'en' ELSE 'ch' END AS engine_language FROM e"""
+CODEC_NAMES = """SELECT doc_id, doc_id % 4 IN (0, 2) AS is_text, doc_id % 4 IN (0, 2) AS is_video FROM documents"""
+JOB_TEXTS = f"""WITH {JOBS}, s AS (SELECT *, id % 2 = 0 AS asked, CASE WHEN id % 3 = 0 THEN '' ELSE 'ok' END AS message FROM jobs)
+SELECT id, CASE WHEN asked AND status NOT IN ('done', 'failed', 'canceled') THEN 'stopping' WHEN message <> '' THEN message ELSE coalesce(phase, '') END AS shown, '/jobs/' || id || '/output.srt' AS path FROM s"""
+PURGE_TOTAL = f"WITH {JOBS} SELECT count_if(status = 'done')::BIGINT AS cleared FROM jobs"
+PROGRESS_RATES = """WITH o AS (SELECT o_orderkey, o_orderkey % 100 AS d, greatest(o_custkey % 50, 0.001)::DOUBLE AS e FROM orders)
+SELECT o_orderkey, round(d / e, 6) AS rate, round(CASE WHEN d > 0 THEN (100 - d) / (d / e) ELSE 0 END, 6)::DOUBLE AS remaining FROM o"""
+REPLY_TEXTS = "SELECT conv_id, turn, coalesce(text, '') AS chat, coalesce(text, '') AS local, coalesce(text, '') AS blocks, coalesce(text, '') AS error FROM conversations"

@@ -79,10 +79,10 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_captions(cues: DataFrame, key: str, path: str) -> None:
-    """Caption and text files of every job, in one folder a job and kind."""
+    """Caption and text files of every job, in one folder a job and kind; each ends in one line feed, which the writer adds."""
     both = caption_files(cues, [key])
     for kind in ("srt", "txt"):
-        both.select(key, F.col(kind).alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(f"{path}/{kind}")
+        both.select(key, F.regexp_replace(kind, r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(f"{path}/{kind}")
 
 
 def read_captions(files: DataFrame, keys: list[str], content: str) -> DataFrame:

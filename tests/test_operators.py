@@ -81,28 +81,65 @@ def test_stream_pick(spark):
     assert [(r.file, r.i) for r in got.collect()] == [("f", 2)]
 
 
+def called(df):
+    """How many passes of a recognizer a plan holds."""
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+
+
 def test_recognizer_runs_on_anchors_only(spark):
-    calls = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(1, i, i // 3, i % 3 != 0) for i in range(12)], "job int, i int, island int, repeat boolean").withColumn("image", F.col("island"))
 
     def make():
+        told = []
+
         def call(xs):
-            calls.add(len(xs))
-            return [f"t{x}" for x in xs]
+            told.extend(xs)
+            return [f"t{x}:{told.count(x)}" for x in xs]
 
         return call
 
-    rows = spark.createDataFrame([(1, i, i // 3, i % 3 != 0) for i in range(12)], "job int, i int, island int, repeat boolean").withColumn("image", F.col("island"))
-    got = cascade.recognize_anchors(rows, ["job"], ["i"], "image", "anchors", make).collect()
-    assert {(r.i, r.text) for r in got} == {(i, f"t{i // 3}") for i in range(12)}
-    assert calls.value == 4
+    got = cascade.recognize_anchors(rows.coalesce(1), ["job"], ["i"], "image", "anchors", make).collect()
+    assert {(r.i, r.text) for r in got} == {(i, f"t{i // 3}:1") for i in range(12)}  # no image was read twice
+
+
+def test_makers_and_languages_of_one_name(spark):
+    rows = spark.createDataFrame([(1, "x")], "i int, image string").coalesce(1)
+    says = lambda prefix: lambda: lambda xs: [prefix + x for x in xs]
+    read = lambda make, language="": cascade.recognize(rows, "image", "text", "one", make, language=language).first().text
+    assert [read(says("a")), read(says("b")), read(says("a"), "en")] == ["ax", "bx", "ax"]
 
 
 def test_review_and_retry(spark):
     rows = spark.createDataFrame([(0, "thewordthatdefinesthelimits.", "the word that defines the limits."), (1, "LA22WNP", "LA22 WNP"), (2, "plain words here", "never asked")], "i int, text string, image string")
-    got = {r.i: (r.text, r.reviewed) for r in cascade.review(rows, "text", "image", "echo", lambda: list).collect()}
-    assert got == {0: ("the word that defines the limits.", True), 1: ("", False), 2: ("plain words here", False)}
-    crops = spark.createDataFrame([(0, "", "second"), (1, "first", "second")], "i int, a string, b string")
-    assert {r.i: r.text for r in cascade.recognize_with_retry(crops, ["a", "b"], "echo", lambda: list).collect()} == {0: "second", 1: "first"}
+    reviewed = cascade.review(rows, "text", "image", "echo", lambda: list)
+    assert {r.i: (r.text, r.reviewed) for r in reviewed.collect()} == {0: ("the word that defines the limits.", True), 1: ("", False), 2: ("plain words here", False)}
+    first = cascade.recognize(rows, "image", "text2", "echo", lambda: list)
+    assert called(cascade.review(first, "text2", "image", "echo", lambda: list)) == 2
+    crops = spark.createDataFrame([(0, "", "second", "x"), (1, "first", "second", "x"), (2, None, None, "third"), (3, " ", "", "third")], "i int, a string, b string, c string")
+    tried = cascade.recognize_with_retry(crops, ["a", "b", "c"], "echo", lambda: list, F.col("i") != 3)
+    assert {r.i: r.text for r in tried.collect()} == {0: "second", 1: "first", 2: "third", 3: " "} and called(tried) == 1
+
+
+def test_null_keys_keep_their_cues(spark):
+    rows = spark.createDataFrame([(None, 0.0, "one line"), (2**60 + 1, 0.0, "one line"), (None, 1.0, "one line")], "job long, ts double, text string")
+    got = sorted((r.job is None, r.job, r.start, r.end) for r in cues.build_cues(rows, "job", 1.0).collect())
+    assert got == [(False, 2**60 + 1, 0.0, 1.0), (True, None, 0.0, 2.0)]
+
+
+def test_caption_files_end_in_one_line_feed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x y", 0.0, 1.0), ("a", "z w", 2.0, 3.0)], "job string, text string, start double, end double")
+    formats.write_captions(rows, "job", str(tmp_path / "c"))
+    read = {p.parts[-3]: p.read_text() for p in (tmp_path / "c").rglob("*.txt")}
+    assert read == {"srt": "1\n00:00:00,000 --> 00:00:01,000\nx y\n\n2\n00:00:02,000 --> 00:00:03,000\nz w\n", "txt": "x y\nz w\n"}
+
+
+def test_bounded_options_and_inserts(spark):
+    df = spark.createDataFrame([("3", "x"), ("2.5", " 0.5 "), (None, "-1"), ("99", "2")], "workers string, gb string")
+    got = jobs.bounded_options(df, {"workers": (1, 8, 2), "gb": (0.1, 64.0, 4.5)}).collect()
+    assert [tuple(r) for r in got] == [(3, 4.5), (2, 0.5), (2, 0.1), (8, 2.0)]
+    events = spark.createDataFrame([("a", 1, "queued", None)], "id string, seq long, status string, phase string")
+    log = jobs.inserted(events, spark.createDataFrame([("b", "queued")], "id string, status string"), F.lit(2).cast("long"))
+    assert {(r.id, r.status) for r in jobs.latest(log, "id", "seq").collect()} == {("a", "queued"), ("b", "queued")}
 
 
 def test_corrections(spark):
