@@ -219,16 +219,23 @@ class Index:
         self.starts = np.searchsorted(doc, np.arange(self.size + 1))
         self.queries = np.searchsorted(self.names, term)
 
-    def neighbours(self, doc: int) -> np.ndarray:
-        """Documents that share a term, best first, ties by place."""
+    def scores(self, doc: int) -> np.ndarray:
+        """The BM25 score of every document of the shard for one document's terms."""
         at = self.queries[self.starts[doc] : self.starts[doc + 1]]
         rows = self.row[at]
-        score = self.table[rows[rows >= 0]].sum(0, dtype=np.float64)
+        score = self.table[rows[rows >= 0]].sum(0)
         runs = [slice(self.bounds[k], self.bounds[k + 1]) for k in at[rows < 0]]
         if runs:
-            score += np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), self.size)
+            score = score + np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), self.size)
+        return score
+
+    def neighbours(self, doc: int, first: int = 64) -> Iterator[int]:
+        """Documents that share a term, best first, ties by place; those beyond the first are put in order once they are asked for."""
+        score = self.scores(doc)
         hit = np.flatnonzero(score > 0)
-        return hit[np.argsort(-score[hit], kind="stable")]
+        least = np.partition(score[hit], -first)[-first] if len(hit) > first else 0
+        for some in (hit[score[hit] >= least], hit[score[hit] < least]):
+            yield from some[np.argsort(-score[some], kind="stable")].tolist()
 
 
 def fill(lengths: np.ndarray, neighbours, window: int = WINDOW, grain: int = GRAIN) -> list[tuple[int, int, int, int, int]]:

@@ -311,6 +311,25 @@ def test_bm25_finds_the_like_document():
     assert [int(x) for x in index.neighbours(0) if x != 0] == [2]
 
 
+def test_scores_are_bm25():
+    rng = np.random.default_rng(3)
+    terms = [np.unique(np.minimum(rng.zipf(1.4, 40), 300)).astype(np.uint32) for _ in range(90)]
+    counts = [rng.integers(1, 6, len(t)).astype(np.uint32) for t in terms]
+    lengths, idf = rng.integers(20, 90, 90).astype(float), rng.random(301).astype(np.float32)
+    idf[7] = 0
+    index = packing.Index(terms, counts, lengths, idf, 50.0)
+    assert len(index.table) and (index.row < 0).any()
+    for k in (0, 17, 89):
+        want = np.zeros(90)
+        for d in range(90):
+            for t, n in zip(terms[d], counts[d], strict=True):
+                if t in terms[k]:
+                    want[d] += idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * lengths[d] / 50))
+        assert np.allclose(index.scores(k), want, rtol=1e-4)
+        got = list(index.neighbours(k, 8))
+        assert sorted(got) == np.flatnonzero(want > 0).tolist() and all(index.scores(k)[a] >= index.scores(k)[b] for a, b in zip(got, got[1:]))
+
+
 def test_neighbours_of_several_shards_share_windows(spark):
     from tokenizers import Tokenizer
 
