@@ -58,7 +58,8 @@ SPACE = r"[\s\x1c-\x1f]"
 
 def strip(c: Column) -> Column:
     """Without white space at either end; null stays null."""
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))  # most texts have nothing to strip, and a search takes long
+    return F.when(ends.rlike(f"(?U){SPACE}"), F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:
@@ -140,14 +141,20 @@ def _caps_code(v: Column, k: Column) -> Column:
 
 def is_hard_noise(c: Column) -> Column:
     """Text that can't be speech: codes, plate numbers, single mixed-case tokens, rows of short tokens."""
-    def told(v: Column, k: Column) -> Column:
+    def single(v: Column) -> Column:
+        mixed = lambda k: (k.rlike("[a-z]") & (F.regexp_count(k, F.lit("[A-Z]")) >= 3)) | F.upper(k).isin(NOISE_WORDS)
+        return v.rlike(r"^[^A-Za-z0-9]*[A-Za-z0-9]{4,12}[^A-Za-z0-9]*\z") & let(compact(v), mixed)
+
+    def capitals(v: Column, k: Column) -> Column:
         n = F.regexp_count(v, F.lit("[A-Za-z0-9]+"))
         short = n - F.regexp_count(v, F.lit("[A-Za-z0-9]{4,}"))
-        one = _size_in(k, 4, 12) & (n == 1) & ((k.rlike("[a-z]") & (F.regexp_count(k, F.lit("[A-Z]")) >= 3)) | F.upper(k).isin(NOISE_WORDS))
-        row = ~k.rlike("[a-z]") & k.rlike("[0-9]") & n.between(4, 12) & (short >= 0.75 * n)
-        return (v != "") & ((F.length(v) <= 2) | k.rlike("^[0-9]+$") | _caps_code(v, k) | one | row)
+        row = k.rlike("[0-9]") & n.between(4, 12) & (short >= 0.75 * n)
+        return k.rlike("^[0-9]+$") | _caps_code(v, k) | row
+
+    def told(v: Column) -> Column:
+        return (v != "") & ((F.length(v) <= 2) | single(v) | (~v.rlike("[a-z]") & let(compact(v), lambda k: capitals(v, k))))
 
-    return let(_spoken(c), lambda v: let(compact(v), lambda k: told(v, k)))
+    return let(_spoken(c), told)
 
 
 def _unspaced(c: Column, w: Column) -> Column:
@@ -163,9 +170,9 @@ def is_unspaced_uppercase(c: Column) -> Column:
 
 
 def _glued(c: Column) -> Column:
-    marks = "|".join(GLUE_MARKERS)
+    marked = lambda k: reduce(lambda x, y: x | y, [k.contains(m) for m in GLUE_MARKERS])
     long = lambda: c.rlike("[A-Za-z]{13,}")
-    return let(F.regexp_replace(c, "[^A-Za-z']", ""), lambda k: (F.length(k) >= 12) & (F.lower(k).rlike(marks) | (k.rlike("[a-z][A-Z]") & long())))
+    return let(F.regexp_replace(c, "[^A-Za-z']", ""), lambda k: (F.length(k) >= 12) & (let(F.lower(k), marked) | (k.rlike("[a-z][A-Z]") & long())))
 
 
 def is_glued_english(c: Column) -> Column:
@@ -184,7 +191,7 @@ def _doubtful(v: Column) -> Column:
 
     length = lambda w: F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
     by_words = let(words(v), lambda w: let(length(w), lambda letters: told(w, letters)))
-    return (F.length(v) <= 2) | let(compact(v), lambda k: _caps_code(v, k)) | by_words | _mixes_scripts(v)
+    return (F.length(v) <= 2) | (~v.rlike("[a-z]") & let(compact(v), lambda k: _caps_code(v, k))) | by_words | _mixes_scripts(v)
 
 
 def needs_review(c: Column, has_reviewer: Column | bool = True) -> Column:
