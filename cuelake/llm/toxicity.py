@@ -2,11 +2,12 @@
 
 A unit is a word without its punctuation, or a run of single letters joined ("i d i o t"). The kernel counts the common
 subsequences of three letters of two units, each gap at a price, so letters put in or left out lower it little.
-Sentences of labelled documents take their document's label. Units that stand out in toxic sentences are the marks; marks
-with a common beginning have a stem. Units near a mark or stem, toxic or not, are the machine's examples, weighted by the
+Sentences of labelled documents take their document's label. Units that stand out in toxic sentences by more than chance are the marks; marks
+with a common beginning have a stem, and each beginning has its mark before any has a second. Units near a mark or stem, toxic or not, are the machine's examples, weighted by the
 documents of either label that hold them, each document one in all, marks also with letters put in. So a stem's
 harmless forms are learned too, and what one unit alone is worth. A
-document's score is a logistic curve over its three largest margins of different units, fitted on training documents.
+document's score is a logistic curve over its three largest margins of different units, how many count and what they add up to,
+and how many units it has, as a long clean text holds more harmless forms than a short one; it is fitted on training documents.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import small_batches, staged, text_or_empty
 
 ORDER, DECAY, LONGEST = 3, 0.85, 24
 #: Labelled rows that the classifier is fitted on at most, and what of their units reaches the driver.
-SAMPLE, MARKS, EXAMPLES, LANDMARKS, TOP = 20_000, 64, 3000, 128, 3
+SAMPLE, MARKS, EXAMPLES, LANDMARKS, TOP = 20_000, 256, 3000, 128, 3
+#: How many units may pass for marks by chance, and how many letters a beginning has.
+CHANCE, BEGINNING = 12, 5
 CUT, CACHE, KNOTS = 0.7, 1_000_000, (0.5, 1.0, 1.5)
+WIDTH = TOP + 3
 NOT_ALNUM = re.compile(r"[\W_]+")
 SINGLES = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -89,7 +93,7 @@ def unit(chunk: str) -> str:
     return chunk if chunk.isalnum() else NOT_ALNUM.sub("", chunk)
 
 
-def stems(marks: list[str], letters: int = 5, least: int = 3) -> list[str]:
+def stems(marks: list[str], letters: int = BEGINNING, least: int = 3) -> list[str]:
     """The marks, those of which at least three begin alike as what they have in common."""
     groups: dict[str, list[str]] = {}
     for m in marks:
@@ -108,7 +112,7 @@ def near_pattern(marks: list[str]) -> str:
 
 
 def bent(tops: np.ndarray) -> np.ndarray:
-    """The curve's inputs: the largest margins and how many count, what the first is over each knot, and one."""
+    """The curve's inputs: a text's figures, what the first is over each knot, and one."""
     first = tops[:, :1]
     return np.hstack([tops, *[np.maximum(first - k, 0) for k in KNOTS], np.ones_like(first)])
 
@@ -121,7 +125,7 @@ class Model:
     marks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + 1 + len(KNOTS)) + [-20.0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (WIDTH + len(KNOTS)) + [-20.0]))
 
     def margins(self, units: list[str]) -> np.ndarray:
         """The machine's margin of each unit, of long ones the largest of their windows'."""
@@ -137,7 +141,7 @@ class Model:
 
 
 class Scorer:
-    """Largest margins of texts and the logarithm of how many count; what is known of a word is kept between batches, up to a bound."""
+    """Figures of texts: largest margins, logarithms of how many count and of their sum, and less that of the units; what is known of a word is kept between batches, up to a bound."""
 
     FLOOR = -1.0
 
@@ -146,8 +150,8 @@ class Scorer:
         self.near = re.compile(near_pattern(model.marks), re.DOTALL) if model.marks else None
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.full((len(texts), TOP + 1), self.FLOOR)
-        out[:, TOP] = 0
+        out = np.full((len(texts), WIDTH), self.FLOOR)
+        out[:, TOP:] = 0
         if self.near is None:
             return out
         if len(self.known) > CACHE:
@@ -164,11 +168,14 @@ class Scorer:
             for c in close[u]:
                 known[c] = u, max(self.FLOOR, float(m))
         for k, units in enumerate(all_units):
-            hits = dict(x for x in map(known.__getitem__, units) if x)
+            own = set(units)
+            out[k, TOP + 2] = -math.log1p(len(own))
+            hits = dict(x for x in map(known.__getitem__, own) if x)
             if hits:
                 best = sorted(hits.values(), reverse=True)[:TOP]
                 out[k, : len(best)] = best
-                out[k, TOP] = math.log1p(sum(m > self.FLOOR / 2 for m in hits.values()))
+                over = [m - self.FLOOR / 2 for m in hits.values() if m > self.FLOOR / 2]
+                out[k, TOP : TOP + 2] = math.log1p(len(over)), math.log1p(sum(over))
         return out
 
 
@@ -274,14 +281,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = staged(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id"), "labelled")
     share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     base = min(max(share or 1e-6, 1e-6), 1 - 1e-6)
-    flat = Model(curve=np.array([0.0] * (TOP + 1 + len(KNOTS)) + [math.log(base / (1 - base))]))
+    flat = Model(curve=np.array([0.0] * (WIDTH + len(KNOTS)) + [math.log(base / (1 - base))]))
     units = staged(_unit_counts(labelled), "toxic-units")
     n_pos, n_neg = units.agg(F.sum("pos"), F.sum("neg")).first()
     if not n_pos or not n_neg:
         return flat
     odds = F.log(((F.col("pos") + 0.1) / n_pos) / ((F.col("neg") + 0.1) / n_neg))
-    strong = units.where(F.col("pos") >= 3).withColumn("strength", odds * F.sqrt("pos")).where((odds > 2.0) & (F.col("strength") > 6))
-    found = [r[0] for r in strong.orderBy(F.desc("strength"), "unit").limit(MARKS).collect()]
+    kinds, whole = units.count(), n_pos + n_neg
+    of = lambda n, share: F.when(n > 0, n * F.log(n / (F.col("pos") + F.col("neg")) / share)).otherwise(0.0)
+    strong = units.withColumn("strength", of(F.col("pos"), n_pos / whole) + of(F.col("neg"), n_neg / whole)).where((F.col("pos") >= 3) & (odds > 2.0) & (F.col("strength") > math.log(max(1.0, kinds / CHANCE))))
+    place = F.row_number().over(Window.partitionBy(F.substring("unit", 1, BEGINNING)).orderBy(F.desc("strength"), "unit"))
+    found = [r[0] for r in strong.withColumn("place", place).orderBy("place", F.desc("strength"), "unit").limit(MARKS).collect()]
     if not found:
         return flat
     near = _near_units(labelled, found).orderBy(F.desc(F.round(F.col("pos") + F.col("neg"), 6)), "unit").limit(EXAMPLES).collect()
@@ -290,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     alone = sorted(set(stems(found)) & {r[0] for r in near if r[0] in found and r[2] <= 0.05 * r[1]})  # toxic without exception
     rows += [(v, 1.0, counts[m] / 4) for m in alone for v in _variants(m)]
     harmless = [r[0] for r in sorted(near, key=lambda r: (-r[2], r[0])) if r[2] and r[0] not in found]
-    landmarks = (found + harmless)[:LANDMARKS]
+    landmarks = (found[: LANDMARKS // 2] + harmless)[:LANDMARKS]
     values, vectors = np.linalg.eigh(string_kernel(landmarks, landmarks).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
     texts, y, weight = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
@@ -300,8 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = _tops(labelled, model).select("tops", "toxic").collect()
     tops, y = np.array([r[0] for r in got]), np.array([float(r[1]) for r in got])
     alone = [v for m in alone for v in (m, *_variants(m))]  # one such unit is enough, also with letters put in
-    extra = np.full((len(alone), TOP + 1), Scorer.FLOOR)
-    extra[:, 0], extra[:, TOP] = model.margins(alone), math.log(2)
+    extra = np.full((len(alone), WIDTH), Scorer.FLOOR)
+    extra[:, 0], extra[:, TOP], extra[:, TOP + 2] = model.margins(alone), math.log(2), tops[:, TOP + 2].mean()
+    extra[:, TOP + 1] = np.log1p(np.maximum(extra[:, 0] - Scorer.FLOOR / 2, 0))
     weight = np.concatenate([np.ones(len(y)), np.full(len(alone), 0.2 * y.sum() / max(1, len(alone)))])
     model.curve = _logistic(bent(np.vstack([tops, extra])), np.concatenate([y, np.ones(len(alone))]), weight)
     return model
