@@ -218,9 +218,18 @@ class Index:
             self.table[r, self.docs[run]] = self.weights[run]
         self.starts = np.searchsorted(doc, np.arange(self.size + 1))
         self.queries = np.searchsorted(self.names, term)
+        self.held = np.arange(self.size)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Take used documents out of the postings and the table; they can still be asked with."""
+        stays = unused[self.held]
+        some = stays[self.docs]
+        self.bounds = np.append(0, np.cumsum(some))[self.bounds]
+        self.docs, self.weights = (np.cumsum(stays) - 1)[self.docs[some]], self.weights[some]
+        self.table, self.held, self.size = self.table.compress(stays, axis=1), self.held[stays], int(stays.sum())
 
     def scores(self, doc: int) -> np.ndarray:
-        """The BM25 score of every document of the shard for one document's terms."""
+        """The BM25 score of every document held for one document's terms."""
         at = self.queries[self.starts[doc] : self.starts[doc + 1]]
         rows = self.row[at]
         score = self.table[rows[rows >= 0]].sum(0)
@@ -229,19 +238,24 @@ class Index:
             score = score + np.bincount(np.concatenate([self.docs[r] for r in runs]), np.concatenate([self.weights[r] for r in runs]), self.size)
         return score
 
-    def neighbours(self, doc: int, first: int = 64) -> Iterator[int]:
-        """Documents that share a term, best first, ties by place; those beyond the first are put in order once they are asked for."""
-        score = self.scores(doc)
-        hit = np.flatnonzero(score > 0)
+    def neighbours(self, doc: int, first: int = 64, unused: np.ndarray | None = None) -> Iterator[int]:
+        """Unused documents that share a term, best first, ties by place; those beyond the first are put in order once they are asked for.
+
+        Once a quarter of the documents held are used, the index is made smaller.
+        """
+        if unused is not None and 4 * np.count_nonzero(unused[self.held]) < 3 * self.size:
+            self.keep(unused)
+        score, held = self.scores(doc), self.held
+        hit = np.flatnonzero(score > 0 if unused is None else (score > 0) & unused[held])
         least = np.partition(score[hit], -first)[-first] if len(hit) > first else 0
         for some in (hit[score[hit] >= least], hit[score[hit] < least]):
-            yield from some[np.argsort(-score[some], kind="stable")].tolist()
+            yield from held[some[np.argsort(-score[some], kind="stable")]].tolist()
 
 
 def fill(lengths: np.ndarray, neighbours, window: int = WINDOW, grain: int = GRAIN) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold every token once.
 
-    Seeds go in order; a document's rest after a cut seeds the next window before any other.
+    neighbours: from a document, with unused telling which have tokens left, to those to take, best first. Seeds go in order; a document's rest after a cut seeds the next window before any other.
     """
     n = len(lengths)
     done, out, sequence, free = np.zeros(n, np.int64), [], 0, 0
@@ -265,7 +279,7 @@ def fill(lengths: np.ndarray, neighbours, window: int = WINDOW, grain: int = GRA
             return at + max(int(size), 0)
 
         at = put(seed, at, sequence)
-        more = iter(neighbours(seed)) if at < window and done[seed] == lengths[seed] else iter(())
+        more = iter(neighbours(seed, unused=done < lengths)) if at < window and done[seed] == lengths[seed] else iter(())
         spare = iter(range(free, len(left)))
         if done[seed] < lengths[seed]:
             rest = seed

@@ -330,6 +330,22 @@ def test_scores_are_bm25():
         assert sorted(got) == np.flatnonzero(want > 0).tolist() and all(index.scores(k)[a] >= index.scores(k)[b] for a, b in zip(got, got[1:]))
 
 
+def test_unused_neighbours_are_the_same_from_a_smaller_index():
+    rng = np.random.default_rng(8)
+    terms = [np.unique(np.minimum(rng.zipf(1.3, 60), 400)).astype(np.uint32) for _ in range(300)]
+    counts = [rng.integers(1, 6, len(t)).astype(np.uint32) for t in terms]
+    lengths, idf = rng.integers(1, 90, 300), rng.random(401).astype(np.float32)
+    whole, less = (packing.Index(terms, counts, lengths, idf, 50.0) for _ in range(2))
+    asked = []
+
+    def plain(k, unused):
+        asked.append(k)
+        return (d for d in whole.neighbours(k) if unused[d])
+
+    assert packing.fill(lengths, less.neighbours, window=128, grain=8) == packing.fill(lengths, plain, window=128, grain=8)
+    assert len(asked) > 50 and whole.size == 300 and less.size < 100
+
+
 def test_neighbours_of_several_shards_share_windows(spark):
     from tokenizers import Tokenizer
 
