@@ -2,7 +2,7 @@
 
 One pass tokenizes every document and keeps, in place of its ids, the checksums of their prefixes at every GRAIN ids and
 its term counts. Document frequencies come from all documents. The documents are sorted by the terms of the highest
-weight that they share with others, best term first, and cut into shards of about SHARD documents, so that neighbours
+weight that they share with others, best term first, and cut by sampled splitters into shards of about SHARD documents, so that neighbours
 come to lie in one shard and a common key is split by its next terms. Each shard builds an inverted index and packs: a seed document opens a window, all its
 terms query the index, and unused neighbours fill the window, best first. The document that reaches over the
 end is cut at a grain and its rest is the next seed. What no neighbour fills, the next unused documents fill.
@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ from cuelake.llm.common import small_batches, staged, text_or_empty
 
 WINDOW, END, GRAIN, SHARD = 4096, 2, 32, 4096
 K1, B, KEY_TERMS = 1.2, 0.75, 16
+#: Rows sampled a shard for the splitters, which only say where shards end: every row is dealt by them.
+PER_SHARD = 64
 CACHE = 1_000_000
 #: Texts with these go to the tokenizer whole: code points that compose or lower in context, and odd white space.
 BEYOND = re.compile("[\x85\xa0\u0130\u0149\u01f0\u0250-\U0010ffff]")
@@ -314,18 +317,20 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
     idf = spark.sparkContext.broadcast(np.where(df > 1, np.log(1 + (total - df + 0.5) / (df + 0.5)), 0).astype(np.float32))
     shards = max(1, round(total / shard))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(cuts: list[tuple[bytes, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = zip(*(b.column(c).to_pylist() for c in ("terms", "counts", "tokens")), strict=True)
-            keys = [lexical_key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4"), n, idf.value, mean) for t, c, n in told]
-            yield b.append_column("key", pa.array(keys, pa.binary()))
+            told = list(zip(*(b.column(c).to_pylist() for c in ("terms", "counts", "tokens", "row")), strict=True))
+            keys = [lexical_key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u4"), n, idf.value, mean) for t, c, n, _ in told]
+            dealt = [bisect_right(cuts, (key, x[3])) for key, x in zip(keys, told, strict=True)]
+            yield b.append_column("key", pa.array(keys, pa.binary())).append_column("shard", pa.array(dealt, pa.int64()))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [p for p in parts if len(p)]
-        if held:
-            yield packed(pd.concat(held, ignore_index=True))
+    narrow = rows.select("row", "tokens", "terms", "counts").sample(min(1.0, PER_SHARD / shard), seed=1)
+    told = narrow.mapInArrow(lambda x: keyed([], x), "row long, tokens long, terms binary, counts binary, key binary, shard long").select("key", "row").collect()
+    order = sorted((bytes(r["key"]), r["row"]) for r in told)
+    cuts = spark.sparkContext.broadcast([order[len(order) * k // shards] for k in range(1, shards)] if order else [])
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["key", "row"], ignore_index=True)
         terms = [np.frombuffer(x, "<u4") for x in part.terms]
         counts = [np.frombuffer(x, "<u4") for x in part.counts]
         lengths = part.tokens.to_numpy(np.int64)
@@ -337,6 +342,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, grain: int = GRAIN, s
         return pd.DataFrame({"doc_id": part.doc_id.to_numpy()[found.k] if not part.doc_id.isna().any() else part.doc_id.astype("Int64").take(found.k).array, "start": found.start, "length": found.length, "ids_crc32": np.array(sums, np.int64), "doc_tokens": lengths[found.k], "sequence_id": (int(part["shard"].iloc[0]) << 32) + found.sequence, "offset": found.offset})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    dealt = rows.mapInArrow(keyed, "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary, key binary")
-    dealt = dealt.repartitionByRange(shards, "key", "row").sortWithinPartitions("key", "row").drop("key")
-    return dealt.withColumn("shard", F.spark_partition_id()).mapInPandas(run, schema)
+    dealt = rows.mapInArrow(lambda x: keyed(cuts.value, x), "doc_id long, row long, tokens long, crcs binary, terms binary, counts binary, key binary, shard long")
+    return dealt.groupBy("shard").applyInPandas(packed, schema)
