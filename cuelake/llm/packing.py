@@ -68,6 +68,8 @@ class _Words(dict):
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         elif (low := word.lower()) != word:
             ids = self[low]
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
         elif word.isalpha() or len(parts := self.pieces.findall(word)) == 1:
             ids = array("I", [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
         else:
