@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, hmm, iblt, langid, packing, secret_scan, simhash, substring, toxicity, warc
+from cuelake.llm import decontaminate, hmm, iblt, langid, packing, resample, secret_scan, simhash, substring, toxicity, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -77,6 +77,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(3, rest=1).alias("held_out"), "score", "predicted")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and which are drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -96,10 +101,27 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_resample": op13_resample,
 }
 SQL: dict[str, str] = {
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, h, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS m FROM p)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
- CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM q"""
+ CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM q""",
+    "op13_resample": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ df AS (SELECT doc_id, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))))) AS f FROM d),
+ bf AS (SELECT unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))))) AS f FROM b),
+ dn AS (SELECT doc_id, f, count(*) AS n FROM df GROUP BY ALL), bn AS (SELECT f, count(*) AS n FROM bf GROUP BY ALL),
+ crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ names AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM (SELECT f FROM dn UNION ALL SELECT f FROM bn)),
+ bytes AS (SELECT f, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS x FROM names),
+ buckets AS (SELECT f, xor(list_reduce(list_prepend(4294967295, x), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM bytes, crc),
+ s AS (SELECT k, sum(n) AS s FROM dn JOIN buckets USING (f) GROUP BY k), t AS (SELECT k, sum(n) AS t FROM bn JOIN buckets USING (f) GROUP BY k),
+ g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM dn)::DOUBLE + 10000) / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM bn)::DOUBLE + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (k)),
+ w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM dn JOIN buckets USING (f) JOIN g USING (k) GROUP BY doc_id),
+ scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS enough,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY enough) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= n * 5 // 100 THEN r END AS rank FROM ranked""",
 }
