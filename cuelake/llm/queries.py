@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, hmm, iblt, langid, packing, resample, secret_scan, simhash, substring, toxicity, warc
+from cuelake.llm import decontaminate, hmm, iblt, langid, packing, resample, secret_scan, simhash, substring, toxicity, vectors, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -77,6 +77,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(3, rest=1).alias("held_out"), "score", "predicted")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings, with their errors and those of their labels."""
+    return vectors.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight towards the benchmark's texts, and which are drawn."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -101,9 +106,35 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_vector_codes": op12_vector_codes,
     "op13_resample": op13_resample,
 }
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The product codes in SQL: distances of all parts to all entries, by inner products that are exact in doubles."""
+    near = lambda k: f"SELECT p.vec_id, p.k, min((list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x))::BIGINT * 256 + b.e) AS found FROM p JOIN b{k} b USING (k) GROUP BY ALL"
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, label, k, v[k * len(v) // 4 + 1 : (k + 1) * len(v) // 4] AS x FROM v, range(4) r(k))",
+        "b0 AS MATERIALIZED (SELECT * FROM (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, x FROM p) WHERE e < 256)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"a{k} AS MATERIALIZED ({near(k)})",
+            f"m{k} AS (SELECT k, e, list(floor(s / n) ORDER BY i) AS x FROM (SELECT k, found % 256 AS e, i, sum(x[i]) AS s, count(*) AS n FROM p JOIN a{k} USING (vec_id, k), range(1, 1 + len(p.x)) r(i) GROUP BY ALL) GROUP BY k, e)",
+            f"b{k + 1} AS MATERIALIZED (SELECT k, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (k, e))",
+        ]
+    steps += [
+        f"z AS MATERIALIZED ({near(rounds)})",
+        "c AS (SELECT vec_id, string_agg(lpad(lower(to_hex(found % 256)), 2, '0'), '' ORDER BY k) AS code, sum(found // 256)::BIGINT AS error FROM z GROUP BY vec_id)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY k, e)) AS h FROM b{rounds})",
+    ]
+    return "WITH " + ", ".join(steps) + " SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT h FROM h) AS codebooks_sha256 FROM c JOIN v USING (vec_id)"
+
+
 SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, h, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS m FROM p)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, i // 4 * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
