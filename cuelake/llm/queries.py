@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import decontaminate, hmm, iblt, langid, packing, resample, secret_scan, simhash, substring, toxicity, vectors, warc
+from cuelake.llm import bestfit, decontaminate, hmm, iblt, langid, packing, resample, secret_scan, simhash, substring, toxicity, vectors, warc
 from cuelake.llm.common import new_path
 from cuelake.tables import table
 
@@ -77,6 +77,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(3, rest=1).alias("held_out"), "score", "predicted")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in as few sequences of 2048 as best fit finds."""
+    return bestfit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product codes of all embeddings, with their errors and those of their labels."""
     return vectors.compressed(table(spark, sf_dir, "embeddings"))
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_best_fit": op11_best_fit,
     "op12_vector_codes": op12_vector_codes,
     "op13_resample": op13_resample,
 }
