@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.text import clean_text, normalize
 from cuelake.functions.timecode import srt_timestamp
+from cuelake.operators import scan
 from cuelake.operators.sequence import ordered
 
 SAMPLE = "ts double, clean string, norm string"
@@ -93,23 +94,30 @@ def _keyed_as(cues: DataFrame, key: str, like: DataFrame) -> DataFrame:
 
 
 def exact_sessions(samples: DataFrame, keys: list[str], fps: float) -> DataFrame:
-    """The sessions of a threshold of one, where only equal forms match: windows alone, no Python."""
-    w = ordered(keys, ["ts"])
-    same = F.lag("norm").over(w).eqNullSafe(F.col("norm")) & (F.col("norm") != "") & F.lag("clean").over(w).isNotNull()
-    closes = F.when(F.lead("clean").over(w).isNull(), F.lead("ts").over(w))
-    flagged = samples.select(*keys, "ts", "clean", (F.col("clean").isNotNull() & ~F.coalesce(same, F.lit(False))).alias("opens"), closes.alias("closes"))
-    grouped = flagged.where("clean is not null").withColumn("session", F.sum(F.col("opens").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """The sessions of a threshold of one, where only equal forms match: windows alone, no Python.
+
+    Samples that ``scan.segmented`` has cut, by keys and ts, spread a huge job over many tasks; others are windows by job.
+    """
+    rows = samples if scan.CUTS in samples.columns else scan.whole(samples)
+    near = scan.beside(rows, keys, ["ts"], {"__norm": (-1, F.col("norm")), "__clean": (-1, F.col("clean")), "__next": (1, F.struct("clean", "ts"))})
+    same = F.col("__norm").eqNullSafe(F.col("norm")) & (F.col("norm") != "") & F.col("__clean").isNotNull()
+    closes = F.when(F.col("__next.clean").isNull(), F.col("__next.ts"))
+    marks = [c for c in (scan.SEGMENT, scan.CUTS) if c in near.columns]
+    flagged = near.select(*keys, "ts", "clean", (F.col("clean").isNotNull() & ~F.coalesce(same, F.lit(False))).cast("long").alias("opens"), closes.alias("closes"), *marks)
+    grouped = scan.running(flagged.where("clean is not null"), keys, ["ts"], {"session": ("sum", F.col("opens"))})
     end = F.max(F.greatest(F.col("ts") + 1.0 / fps, F.coalesce("closes", F.col("ts") + 1.0 / fps)))
     return grouped.groupBy(*keys, "session").agg(F.min_by("clean", "ts").alias("text"), F.min("ts").alias("start"), end.alias("end")).drop("session")
 
 
-def merge_identical(cues: DataFrame, keys: list[str], most_gap: float = 0.5) -> DataFrame:
-    """Neighbours with equal forms and a short gap become one cue, with the first's text and start and the last's end."""
-    w = ordered(keys, ["start"])
-    norm = normalize(F.col("text"))
-    joins = (F.lag(norm).over(w) == norm) & (F.col("start") - F.lag("end").over(w) <= most_gap)
-    flagged = cues.withColumn("opens", (~F.coalesce(joins, F.lit(False))).cast("long"))
-    runs = flagged.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_identical(cues: DataFrame, keys: list[str], most_gap: float = 0.5, cut: DataFrame | None = None) -> DataFrame:
+    """Neighbours with equal forms and a short gap become one cue, with the first's text and start and the last's end.
+
+    cut: what ``scan.cuts`` gave for the samples' keys and times; it cuts the cues of huge jobs alike.
+    """
+    rows = scan.whole(cues) if cut is None else scan.segmented(cues, keys, ["start"], cut=cut)
+    near = scan.beside(rows, keys, ["start"], {"__norm": (-1, normalize(F.col("text"))), "__end": (-1, F.col("end"))})
+    joins = (F.col("__norm") == normalize(F.col("text"))) & (F.col("start") - F.col("__end") <= most_gap)
+    runs = scan.running(near, keys, ["start"], {"run": ("sum", (~F.coalesce(joins, F.lit(False))).cast("long"))})
     return runs.groupBy(*keys, "run").agg(F.min_by("text", "start").alias("text"), F.min("start").alias("start"), F.max_by("end", "start").alias("end")).drop("run")
 
 

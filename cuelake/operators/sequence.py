@@ -1,4 +1,8 @@
-"""Ordered-stream operators as windows over (job, order): one shuffle by job serves a chain of them."""
+"""Ordered-stream operators over (job, order).
+
+Distances, islands, runs, trailing windows and budgets are segmented scans, so a job may hold any share of the rows; give
+rows that ``scan.segmented`` has cut to sample and shuffle once for a chain of them. The others are windows by job.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuelake.functions.text import CJK, strip
+from cuelake.operators import scan
 
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
@@ -27,39 +32,38 @@ def jaccard_distance(left: Column, right: Column) -> Column:
 
 def lag_distance(df: DataFrame, keys: list[str], order: list[str], signature: str, out: str = "diff") -> DataFrame:
     """The distance of each signature to the last one before it that could be read; unreadable rows (null) get null."""
-    before = F.last(signature, ignorenulls=True).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn(out, jaccard_distance(F.col(signature), before))
+    rows = scan.running(df, keys, order, {"__last": ("last", F.col(signature))}, "before")
+    return rows.withColumn(out, jaccard_distance(F.col(signature), F.col("__last"))).drop("__last")
 
 
 def reuse_islands(df: DataFrame, keys: list[str], order: list[str], diff: str, threshold: float, readable: Column | None = None) -> DataFrame:
     """repeat and island: a row repeats if its distance is within the threshold; every other row opens an island."""
     repeat = F.coalesce(F.col(diff) <= threshold, F.lit(False))
     opens = ~repeat if readable is None else readable & ~repeat
-    return df.withColumn("repeat", repeat).withColumn("island", F.sum(opens.cast("long")).over(so_far(keys, order)))
+    return scan.running(df.withColumn("repeat", repeat), keys, order, {"island": ("sum", opens.cast("long"))})
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """The value of each island's first row on all of its rows."""
-    return df.withColumn(out, F.first(value).over(ordered([*keys, "island"], order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.first_of_run(df, keys, order, "island", F.col(value), out)
 
 
 def true_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
     """keys, start, end: half-open row ranges in which the flag holds, places counted from 0 in each job."""
-    w = ordered(keys, order)
-    placed = df.select(*keys, *order, (F.row_number().over(w) - 1).cast("long").alias("place"), flag.alias("on"))
-    on = placed.where("on").withColumn("run", F.col("place") - F.row_number().over(w))
-    return on.groupBy(*keys, "run").agg(F.min("place").alias("start"), (F.max("place") + 1).alias("end")).drop("run")
+    one = F.lit(1).cast("long")
+    rows = scan.running(df.select(*[c for c in df.columns if c in {*keys, *order, scan.SEGMENT, scan.CUTS}], flag.alias("on")), keys, order, {"place": ("sum", one), "ons": ("sum", F.when(F.col("on"), one))})
+    on = rows.where("on").withColumn("run", F.col("place") - F.col("ons"))
+    return on.groupBy(*keys, "run").agg((F.min("place") - 1).alias("start"), F.max("place").alias("end")).drop("run")
 
 
 def english_window(df: DataFrame, keys: list[str], order: list[str], text: str, rows: int = 12) -> DataFrame:
     """english: whether the last rows' texts are mostly English, from four sums over a trailing frame."""
     t = strip(F.coalesce(F.col(text), F.lit("")))
-    w = ordered(keys, order).rowsBetween(1 - rows, 0)
-    total = lambda c: F.sum(c.cast("long")).over(w)
-    letters = total(F.regexp_count(t, F.lit(r"\p{L}")))
-    latin = total(F.regexp_count(t, F.lit("[A-Za-zİK]")))
-    cjk = total(F.regexp_count(t, F.lit(CJK)))
-    return df.withColumn("english", (total(t != "") >= 4) & (letters >= 20) & (latin >= 0.85 * letters) & (cjk <= 1))
+    counts = {"__rows": (t != "").cast("long"), "__letters": F.regexp_count(t, F.lit(r"\p{L}")), "__latin": F.regexp_count(t, F.lit("[A-Za-zİK]")), "__cjk": F.regexp_count(t, F.lit(CJK))}
+    c = {k: F.col(k) for k in counts}
+    summed = scan.trailing(df, keys, order, rows, {k: v.cast("long") for k, v in counts.items()})
+    english = (c["__rows"] >= 4) & (c["__letters"] >= 20) & (c["__latin"] >= 0.85 * c["__letters"]) & (c["__cjk"] <= 1)
+    return summed.withColumn("english", english).drop(*counts)
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -98,8 +102,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], size: int = 40) ->
 
 def within_budget(df: DataFrame, keys: list[str], order: list[str], size: str, limit: int) -> DataFrame:
     """received, the running size, and accepted: whether it is still within the limit."""
-    total = F.sum(size).over(so_far(keys, order))
-    return df.withColumn("received", total).withColumn("accepted", total <= limit)
+    return scan.running(df, keys, order, {"received": ("sum", F.col(size))}).withColumn("accepted", F.col("received") <= limit)
 
 
 def pick_stream(df: DataFrame, keys: list[str], index: str, codec: Column, language: Column, languages: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.operators import scan
+from cuelake.operators import cues, scan, sequence
 
 KEYS, ORDER = ["job"], ["at", "tie"]
 
@@ -72,3 +72,61 @@ def test_no_window_spans_a_job(spark):
     plan = scan.running(df, KEYS, ORDER, {"s": ("sum", F.col("v"))}, parts=20)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all(scan.SEGMENT in line or "__of" in line for line in windows)  # __of: the summaries, one row a segment
+
+
+def stream(spark, n=1200, seed=5):
+    """One job of nearly all rows, and its like as many jobs' worth of samples."""
+    rng = random.Random(seed)
+    rows = [("big" if k % 20 else f"j{k % 7}", float(k), rng.choice([None, "", "One line here", "one line here", "Another line is said", "words of the third"]), None if rng.random() < 0.2 else sorted(rng.sample(range(4), rng.randint(0, 3))), rng.randint(0, 40)) for k in range(n)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "job string, ts double, text string, sig array<int>, size long").repartition(5)
+
+
+def answers(df, f):
+    return sorted(map(str, f(df).drop(scan.SEGMENT, scan.CUTS).collect()))
+
+
+def islands(df):
+    rows = sequence.reuse_islands(sequence.lag_distance(df, KEYS, ["ts"], "sig"), KEYS, ["ts"], "diff", 0.5, F.col("sig").isNotNull())
+    return sequence.carry_forward(rows, KEYS, ["ts"], "size", "anchor").select("job", "ts", "diff", "repeat", "island", "anchor")
+
+
+CHAINS = {
+    "islands": islands,
+    "runs": lambda df: sequence.true_runs(df, KEYS, ["ts"], F.col("size") % 3 > 0).select("job", "start", "end"),
+    "budget": lambda df: sequence.within_budget(df, KEYS, ["ts"], "size", 500).select("job", "ts", "received", "accepted"),
+    "english": lambda df: sequence.english_window(df, KEYS, ["ts"], "text").select("job", "ts", "english"),
+    "sessions": lambda df: cues.exact_sessions(cues.prepared(df), KEYS, 1.0).select("job", "text", "start", "end"),
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_huge_jobs_give_the_same(spark, name):
+    df = stream(spark)
+    cut = scan.segmented(df, KEYS, ["ts"], 12)
+    assert cut.where(f"job = 'big' and {scan.SEGMENT} > 5").count() > 100
+    assert answers(cut, CHAINS[name]) == answers(scan.whole(df), CHAINS[name])
+
+
+def test_identical_cues_of_a_huge_job(spark):
+    df = stream(spark)
+    said = cues.prepared(df).where("clean is not null").select("job", F.col("clean").alias("text"), F.col("ts").alias("start"), (F.col("ts") + 1).alias("end"))
+    cut = scan.cuts(df, KEYS, ["ts"], 12)
+    assert answers(cues.merge_identical(said, KEYS, cut=cut), lambda x: x) == answers(cues.merge_identical(said, KEYS), lambda x: x)
+
+
+def test_neighbours(spark):
+    df = stream(spark)
+    got = {(r.job, r.ts): (r.a, r.b) for r in scan.beside(df, KEYS, ["ts"], {"a": (-1, F.col("text")), "b": (1, F.col("text"))}, parts=12).collect()}
+    for _, some in groupby(sorted(df.collect(), key=lambda r: (r.job, r.ts)), key=lambda r: r.job):
+        some = list(some)
+        for k, r in enumerate(some):
+            assert got[r.job, r.ts] == (some[k - 1].text if k else None, some[k + 1].text if k + 1 < len(some) else None)
+
+
+@pytest.mark.parametrize("name", ["islands", "runs", "budget", "sessions"])
+def test_one_job_of_all_rows_is_many_tasks(spark, name):
+    df = scan.segmented(stream(spark).withColumn("job", F.lit("all")), KEYS, ["ts"], 12)
+    plan = CHAINS[name](df)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all(scan.SEGMENT in line or "__of" in line for line in windows)
