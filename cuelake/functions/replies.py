@@ -49,10 +49,10 @@ def correction_map(c: Column) -> Column:
 def reply_text(provider: Column, body: Column) -> Column:
     """The text in a provider's answer; empty if there is none."""
     part = lambda path: F.get_json_object(body, path)
-    joined = lambda raw: F.array_join(F.transform(F.from_json(raw, "array<struct<text:string>>"), lambda x: F.coalesce(x.text, F.lit(""))), "")
+    joined = lambda raw, between="": F.array_join(F.transform(F.from_json(raw, "array<struct<text:string>>"), lambda x: F.coalesce(x.text, F.lit(""))), between)
     content = part("$.choices[0].message.content")
     chat = F.coalesce(F.when(content.startswith("[{"), joined(content)).otherwise(content), part("$.choices[0].text"), part("$.output_text"))
-    return F.coalesce(F.when(provider == "anthropic", joined(part("$.content"))).when(provider == "ollama", part("$.message.content")).otherwise(chat), F.lit(""))
+    return F.coalesce(F.when(provider == "anthropic", joined(part("$.content"), "\n")).when(provider == "ollama", part("$.message.content")).otherwise(chat), F.lit(""))
 
 
 def error_text(body: Column) -> Column:

@@ -7,8 +7,8 @@ name, so that a model loads once. Nothing here needs a particular engine: pass y
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.functions.config import provider_name
+from cuelake.functions.replies import correction_map
 from cuelake.functions.text import accepts_token, is_hard_noise, needs_review, prefers_review
+from cuelake.operators import asking, scan
 from cuelake.operators.sequence import chunked, english_window
+from cuelake.staging import new_path, staged
 
 Recognizer = Callable[[list], list]
 _loaded: dict[tuple, Recognizer] = {}
@@ -39,8 +43,8 @@ def recognize(df: DataFrame, source: str, out: str, name: str, make: Callable[[]
     return _recognized(df, [source], out, None, name, make, batch, language)
 
 
-def _recognized(df: DataFrame, sources: list[str], out: str, only: str | None, name: str, make: Callable[[], Recognizer], batch: int, language: str) -> DataFrame:
-    """One pass: the first source's text of the rows that the column ``only`` allows, then each later source on rows still empty."""
+def _recognized(df: DataFrame, sources: list[str], out: str, only: str | None, name: str, make: Callable[[], Recognizer], batch: int, language: str, first: bool = False) -> DataFrame:
+    """One pass: the first source's text of the rows that the column ``only`` allows (of all, if ``first``), then each later source on rows still empty."""
     at, key = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]), _key(name, make, language, batch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +54,7 @@ def _recognized(df: DataFrame, sources: list[str], out: str, only: str | None, n
             for k, s in enumerate(sources):
                 values = list(b[s])
                 allowed = b[only] if only else [True] * len(b)
-                rows = [i for i, ok in enumerate(allowed) if (ok or (k == 0 and len(sources) > 1)) and (k == 0 or (not (texts[i] or "").strip() and values[i] is not None))]
+                rows = [i for i, ok in enumerate(allowed) if (ok or (k == 0 and first)) and (k == 0 or (not (texts[i] or "").strip() and values[i] is not None))]
                 for a in range(0, len(rows), batch):
                     some = rows[a : a + batch]
                     for i, t in zip(some, call([values[i] for i in some]), strict=True):
@@ -61,16 +65,19 @@ def _recognized(df: DataFrame, sources: list[str], out: str, only: str | None, n
 
 
 def recognize_anchors(df: DataFrame, keys: list[str], order: list[str], source: str, name: str, make: Callable[[], Recognizer]) -> DataFrame:
-    """text for all rows with island and repeat: anchors are recognized, repeats carry their anchor's text."""
-    anchors = recognize(df.where("not repeat").select(*keys, "island", source), source, "anchor_text", name, make).drop(source)
-    joined = df.join(anchors, [*keys, "island"], "left")
-    return joined.withColumn("text", F.col("anchor_text")).drop("anchor_text")
+    """text for all rows with island and repeat: rows that don't repeat are recognized, repeats carry their island's first text.
+
+    One pass over df. Rows are dealt by island, so a huge job spreads; a null key is a job like any other.
+    """
+    read = _recognized(df.withColumn("__anchor", ~F.col("repeat")), [source], "__text", "__anchor", name, make, 64, "").drop("__anchor")
+    carried = scan.first_of_run(scan.whole(read), keys, order, "island", F.col("__text"), "text")
+    return carried.withColumn("text", F.when(F.col("repeat"), F.col("text")).otherwise(F.col("__text"))).drop("__text", scan.CUTS)
 
 
 def recognize_with_retry(df: DataFrame, sources: list[str], name: str, make: Callable[[], Recognizer], eligible: Column | bool = True, batch: int = 64, language: str = "") -> DataFrame:
-    """text from the first source that gives one: each later crop is tried on rows still empty and eligible, in the same pass."""
+    """text from the first source that gives one: the first is read on all rows, each later crop on rows still empty and eligible, in the same pass."""
     allowed = F.lit(eligible) if isinstance(eligible, bool) else F.coalesce(eligible, F.lit(False))
-    return _recognized(df.withColumn("__eligible", allowed), sources, "text", "__eligible", name, make, batch, language).drop("__eligible")
+    return _recognized(df.withColumn("__eligible", allowed), sources, "text", "__eligible", name, make, batch, language, first=True).drop("__eligible")
 
 
 def review(df: DataFrame, text: str, source: str, name: str, make: Callable[[], Recognizer], batch: int = 64, language: str = "") -> DataFrame:
@@ -126,16 +133,37 @@ def _number(x: object) -> float | None:
         return None
 
 
-def engine_languages(df: DataFrame, keys: list[str], order: list[str], text: str, language: Column) -> DataFrame:
-    """engine_language: English from the first row on whose trailing rows are mostly English, else the given one.
+def retry_eligible(mode: Column) -> Column:
+    """Whether empty readings are tried again: in accurate and manual mode only."""
+    return F.coalesce(mode.isin("accurate", "manual"), F.lit(False))
+
+
+def engine_languages(df: DataFrame, keys: list[str], order: list[str], text: str, language: Column, batch: int = 1) -> DataFrame:
+    """engine_language: English after the first row on whose trailing rows are mostly English, else the given one.
 
-    Time order decides, so the result doesn't depend on how rows were batched.
+    Time order decides, so the result doesn't depend on how Spark batches rows. batch: how many rows are read between two looks at
+    the trailing rows; the switch comes into force after such a block of rows.
     """
-    seen = english_window(df, keys, order, text)
-    from pyspark.sql import Window
+    seen = english_window(df if scan.CUTS in df.columns else scan.segmented(df, keys, order), keys, order, text)
+    if batch > 1:
+        seen = scan.placed(seen, keys, order, "__place").withColumn("english", F.col("english") & (F.col("__place") % batch == batch - 1)).drop("__place")
+    ever = scan.running(seen, keys, order, {"__ever": ("max", F.col("english").cast("int"))}, "before")
+    return ever.withColumn("engine_language", F.when(F.col("__ever") == 1, F.lit("en")).otherwise(language)).drop("__ever")
 
-    ever = F.max(F.col("english").cast("int")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return seen.withColumn("engine_language", F.when(F.coalesce(ever, F.lit(0)) == 1, F.lit("en")).otherwise(language))
+
+def recognize_switching(df: DataFrame, keys: list[str], order: list[str], source: str, name: str, make: Callable[[str], Recognizer], language: str = "ch", batch: int = 1) -> DataFrame:
+    """text and engine_language: rows are read in the given language, and those after a job's switch to English once more in English.
+
+    make gets a language and returns a recognizer. The first reading is written to the shared folder, as its texts decide
+    where each job switches; the second one meets only rows whose language changed. The texts are those of a loop that reads blocks of
+    ``batch`` rows in order and looks at the last rows after each.
+    """
+    read = staged(recognize(df, source, "text", name, partial(make, language), language=language), "first-reading")
+    if language == "en":
+        return read.withColumn("engine_language", F.lit("en"))
+    told = engine_languages(read, keys, order, "text", F.lit(language), batch).drop("english")
+    same, changed = told.where(F.col("engine_language") == language), told.where(F.col("engine_language") != language)
+    return same.unionByName(recognize(changed.drop("text"), source, "text", name, partial(make, "en"), language="en"))
 
 
 def correction_requests(cues: DataFrame, keys: list[str], size: int = 40) -> DataFrame:
@@ -146,38 +174,36 @@ def correction_requests(cues: DataFrame, keys: list[str], size: int = 40) -> Dat
 
 
 def apply_corrections(cues: DataFrame, corrections: DataFrame, keys: list[str], size: int = 40) -> DataFrame:
-    """cues with the texts that corrections (keys, chunk, found MAP<INT, STRING>) give; times never change."""
+    """cues with the texts that corrections (keys, chunk, found MAP<INT, STRING>) give; times never change. A null key is a job like any other."""
     rows = chunked(cues, keys, ["start"], size)
-    joined = rows.join(corrections, [*keys, "chunk"], "left")
-    return joined.withColumn("text", F.coalesce(F.try_element_at("found", F.col("i")), F.col("text"))).drop("found", "chunk", "i")
+    named = corrections.select(*[F.col(k).alias(f"__{k}") for k in [*keys, "chunk"]], "found")
+    joined = rows.join(named, [rows[k].eqNullSafe(named[f"__{k}"]) for k in [*keys, "chunk"]], "left")
+    return joined.withColumn("text", F.coalesce(F.try_element_at("found", F.col("i")), F.col("text"))).drop("found", "chunk", "i", *[f"__{k}" for k in [*keys, "chunk"]])
 
 
 def correct(cues: DataFrame, keys: list[str], client: Callable[[str], str] | None, size: int = 40, replies_path: str | None = None) -> DataFrame:
     """Cues corrected by a client from a block's JSON to a reply. No client: unchanged. A failing block: unchanged.
 
-    replies_path: a shared folder where replies are written and read again, so that no block is asked twice.
+    replies_path: a store of replies in a shared folder, which later calls read and add to, so that no block is asked twice; without
+    it a new one in the shared folder.
     """
     if client is None:
         return cues
-    from cuelake.functions.replies import correction_map
+    requests = correction_requests(cues, keys, size).withColumn("request_key", asking.request_key(F.lit(""), F.col("request")))
+    told = asking.answered(requests.select("request_key", F.lit("").alias("url"), F.col("request").alias("body")), lambda _, body: client(body), replies_path or new_path(cues.sparkSession, "replies"))
+    found = requests.join(told.where("error is null"), "request_key").select(*keys, "chunk", correction_map(F.col("reply")).alias("found"))
+    return apply_corrections(cues, found, keys, size)
 
-    requests = correction_requests(cues, keys, size)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            replies = []
-            for r in b["request"]:
-                try:
-                    replies.append(client(r))
-                except Exception:  # noqa: BLE001  a block without an answer stays as it is
-                    replies.append(json.dumps({"items": []}))
-            yield b.assign(reply=replies).drop(columns="request")
-
-    answered = requests.mapInPandas(run, requests.drop("request").schema.add("reply", "string"))
-    if replies_path:
-        answered.write.parquet(replies_path)
-        answered = cues.sparkSession.read.schema(answered.schema).parquet(replies_path)
-    return apply_corrections(cues, answered.select(*keys, "chunk", correction_map(F.col("reply")).alias("found")), keys, size)
-
-
-__all__ = ["accepted_text", "apply_corrections", "chosen", "correct", "correction_requests", "engine_languages", "flattened", "recognize", "recognize_anchors", "recognize_with_retry", "review"]
+def correct_by_service(cues: DataFrame, keys: list[str], client: asking.Client | None, replies_path: str, provider: Column, model: Column | None = None, url: Column | None = None, has_key: bool = True, size: int = 40, waves: int = 4) -> DataFrame:
+    """Cues corrected over one of three wire formats, provider a Column of correction_requests' keys or a literal.
+
+    client: from an address and a body to the answer's body. Without a client or, but for local services, a key, and for every
+    block whose answer is an error or no map of corrections, cues stay as they are.
+    """
+    if client is None:
+        return cues
+    none = F.lit(None).cast("string")
+    bodies = asking.wire_requests(correction_requests(cues, keys, size), provider_name(provider), none if model is None else model, none if url is None else url)
+    told = asking.replies(bodies if has_key else bodies.where("provider = 'ollama'"), client, replies_path, waves)
+    return apply_corrections(cues, told.where("text is not null").select(*keys, "chunk", correction_map(F.col("text")).alias("found")), keys, size)

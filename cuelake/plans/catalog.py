@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions import config, geometry, replies, text, timecode
-from cuelake.operators import cascade, cues, jobs, sequence
+from cuelake.operators import asking, cascade, cues, jobs, scan, sequence
 from cuelake.plans import sql
 from cuelake.sources import formats
+from cuelake.staging import new_path
 from cuelake.tables import table
 
 FPS = 1.5
@@ -150,7 +152,8 @@ def mask_diff(spark, sf_dir):
 @query(sql.REUSE_ISLANDS)
 def reuse_islands(spark, sf_dir):
     """Islands of unchanged masks, each row with its anchor."""
-    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    cut = scan.segmented(masks(spark, sf_dir), ["job"], ["vec_id"])
+    rows = sequence.reuse_islands(sequence.lag_distance(cut, ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
     return sequence.carry_forward(rows, ["job"], ["vec_id"], "vec_id", "anchor").select("job", "vec_id", "repeat", "island", "anchor")
 
 
@@ -300,6 +303,56 @@ def llm_parse_all(spark, sf_dir):
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
 
 
+def _turn_cues(spark, sf_dir) -> DataFrame:
+    """Conversation turns as cues."""
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _service() -> Column:
+    """A provider for each conversation."""
+    return F.element_at(F.array(*[F.lit(p) for p in config.PROVIDERS]), (F.col("conv_id") % 4 + 1).cast("int"))
+
+
+@query(sql.WIRE_BODIES)
+def wire_bodies(spark, sf_dir):
+    """Addresses and bodies of correction requests in the services' formats."""
+    blocks = cascade.correction_requests(_turn_cues(spark, sf_dir), ["conv_id"], 3)
+    rows = asking.wire_requests(blocks, _service(), F.when(F.col("conv_id") % 3 == 0, F.lit("m")), F.when(F.col("conv_id") % 5 == 0, F.lit("http://h/v1/")))
+    return rows.select("conv_id", "chunk", "provider", "url", F.md5("body").alias("body_md5"), F.md5("plain_body").alias("plain_md5"), asking.request_key(F.col("url"), F.col("body")).alias("request_key"))
+
+
+def echo_service(url: str, body: str) -> str:
+    """A service that puts a mark before each text, and knows no JSON mode for half of the requests."""
+    asked = json.loads(body)
+    said = asked["messages"][-1]["content"]
+    if "response_format" in asked and len(said) % 2:
+        return json.dumps({"error": {"message": "response_format is unsupported"}})
+    items = json.loads(said[said.index("\n") + 1 :])["items"]
+    reply = json.dumps({"items": [{"i": x["i"], "text": "> " + x["text"]} for x in items]})
+    if url.endswith("/messages"):
+        return json.dumps({"content": [{"type": "text", "text": reply}]})
+    return json.dumps({"message": {"content": reply}} if url.endswith("/chat") else {"choices": [{"message": {"content": reply}}]})
+
+
+@query(sql.SERVICE_CORRECTIONS)
+def service_corrections(spark, sf_dir):
+    """Conversation turns corrected over the wire formats, by a service that only marks them."""
+    out = cascade.correct_by_service(_turn_cues(spark, sf_dir), ["conv_id"], echo_service, new_path(spark, "replies"), _service(), size=3)
+    return out.select("conv_id", F.col("start").cast("long").alias("turn"), "text")
+
+
+def _marks(language: str) -> cascade.Recognizer:
+    """A reading that tells its language."""
+    return lambda xs: [None if x is None else x if language == "ch" else f"{language}: {x}" for x in xs]
+
+
+@query(sql.SWITCHED_READINGS)
+def switched_readings(spark, sf_dir):
+    """Lines read in blocks of four, in English from the block on after which the last lines are mostly English."""
+    out = cascade.recognize_switching(lines(spark, sf_dir), ["doc_id"], ["pos"], "line", "marks", _marks, batch=4)
+    return out.select("doc_id", "pos", "engine_language", F.md5("text").alias("text_md5"))
+
+
 # --- times, boxes and settings -----------------------------------------------------------------------------------
 
 
@@ -477,7 +530,8 @@ def progress(spark, sf_dir):
 @query(sql.LOG_SUMMARY)
 def log_summary(spark, sf_dir):
     """Counts of a log made from masks."""
-    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    cut = scan.segmented(masks(spark, sf_dir), ["job"], ["vec_id"])
+    rows = sequence.reuse_islands(sequence.lag_distance(cut, ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
     log = rows.select(F.col("vec_id").cast("double").alias("timestamp"), F.when(F.col("vec_id") % 5 != 0, F.lit("x")).alias("text"), F.col("repeat").alias("reused"), (F.col("vec_id") % 7 == 0).alias("reviewed"), "diff")
     return jobs.log_summary(jobs.log_rows(log, {"review_engine": "paddle", "crop_bottom": 0.55}))
 
@@ -491,7 +545,8 @@ def log_tail(spark, sf_dir):
 @query(sql.LOG_ROWS)
 def log_rows(spark, sf_dir):
     """Log rows made from masks."""
-    rows = sequence.reuse_islands(sequence.lag_distance(masks(spark, sf_dir), ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
+    cut = scan.segmented(masks(spark, sf_dir), ["job"], ["vec_id"])
+    rows = sequence.reuse_islands(sequence.lag_distance(cut, ["job"], ["vec_id"], "signature"), ["job"], ["vec_id"], "diff", 0.6)
     log = rows.select("vec_id", (F.col("vec_id") / 7).alias("timestamp"), F.when(F.col("vec_id") % 5 != 0, F.lit("x")).alias("text"), F.col("repeat").alias("reused"), (F.col("vec_id") % 7 == 0).alias("reviewed"), "diff")
     return jobs.log_rows(log, {"review_engine": "paddle", "crop_bottom": 0.55}).drop("crop_bottom", "crop_region", "crop_region_source")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cuelake.functions.config import BASE_URLS, ENGINE_ORDER, MODELS, PROVIDERS
 from cuelake.functions.text import CJK, GLUE_MARKERS, NORMALIZE_DELETES, PUNCTUATION, REPAIRS, TRIM_CHARS, in_class
+from cuelake.operators.asking import INSTRUCTION, MOST_TOKENS, PATHS, TASK
 
 FPS = "1.5"
 
@@ -240,3 +241,29 @@ PURGE_TOTAL = f"WITH {JOBS} SELECT count_if(status = 'done')::BIGINT AS cleared
 PROGRESS_RATES = """WITH o AS (SELECT o_orderkey, o_orderkey % 100 AS d, greatest(o_custkey % 50, 0.001)::DOUBLE AS e FROM orders)
 SELECT o_orderkey, round(d / e, 6) AS rate, round(CASE WHEN d > 0 THEN (100 - d) / (d / e) ELSE 0 END, 6)::DOUBLE AS remaining FROM o"""
 REPLY_TEXTS = "SELECT conv_id, turn, coalesce(text, '') AS chat, coalesce(text, '') AS local, coalesce(text, '') AS blocks, coalesce(text, '') AS error FROM conversations"
+
+
+def _wire() -> str:
+    said = f"{quoted(TASK)} || request"
+    both = f"[{{'role': 'system', 'content': {quoted(INSTRUCTION)}}}, {{'role': 'user', 'content': {said}}}]"
+    body = {
+        "blocks": f"{{'model': m, 'max_tokens': {MOST_TOKENS}, 'temperature': 0.0::DOUBLE, 'system': {quoted(INSTRUCTION)}, 'messages': [{{'role': 'user', 'content': {said}}}]}}",
+        "local": f"{{'model': m, 'messages': {both}, 'stream': false, 'format': 'json', 'options': {{'temperature': 0}}}}",
+        "chat": f"{{'model': m, 'messages': {both}, 'temperature': 0.0::DOUBLE, 'response_format': {{'type': 'json_object'}}}}",
+        "plain": f"{{'model': m, 'messages': {both}, 'temperature': 0.0::DOUBLE}}",
+    }
+    case = lambda table: "CASE provider " + " ".join(f"WHEN {quoted(k)} THEN {quoted(x)}" for k, x in table.items()) + " END"
+    return f"""WITH t AS (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+ r AS (SELECT conv_id, n // 3 AS chunk, to_json({{'items': list({{'i': n % 3 + 1, 'text': text}} ORDER BY n)}})::VARCHAR AS request FROM t GROUP BY ALL),
+ p AS (SELECT *, [{', '.join(map(quoted, PROVIDERS))}][conv_id % 4 + 1] AS provider FROM r),
+ w AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN 'm' ELSE {case(MODELS)} END AS m,
+  CASE WHEN conv_id % 5 = 0 THEN 'http://h/v1' ELSE {case(BASE_URLS)} END || CASE provider WHEN 'anthropic' THEN {quoted(PATHS['anthropic'])} WHEN 'ollama' THEN {quoted(PATHS['ollama'])} ELSE {quoted(PATHS['openai'])} END AS url FROM p),
+ b AS (SELECT conv_id, chunk, provider, url, CASE provider WHEN 'anthropic' THEN to_json({body['blocks']})::VARCHAR WHEN 'ollama' THEN to_json({body['local']})::VARCHAR ELSE to_json({body['chat']})::VARCHAR END AS body,
+  CASE WHEN provider NOT IN ('anthropic', 'ollama') THEN to_json({body['plain']})::VARCHAR END AS plain FROM w)
+SELECT conv_id, chunk, provider, url, md5(body) AS body_md5, md5(plain) AS plain_md5, sha256(url || chr(10) || body) AS request_key FROM b"""
+
+
+WIRE_BODIES = _wire()
+SERVICE_CORRECTIONS = f"""SELECT conv_id, turn, CASE WHEN {safe("'> ' || coalesce(text, '')")} THEN {squeezed("'> ' || coalesce(text, '')")} ELSE coalesce(text, '') END AS text FROM conversations"""
+SWITCHED_READINGS = f"""WITH {LINES}, e AS ({ENGLISH_WINDOW}), s AS (SELECT doc_id, pos, coalesce(max((english AND pos % 4 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS en FROM e)
+SELECT doc_id, pos, CASE WHEN en THEN 'en' ELSE 'ch' END AS engine_language, md5(CASE WHEN en THEN 'en: ' ELSE '' END || line) AS text_md5 FROM s JOIN lines USING (doc_id, pos)"""
