@@ -12,6 +12,7 @@ from cuelake.functions import config, geometry, replies, text, timecode
 from cuelake.operators import asking, cascade, cues, jobs, scan, sequence
 from cuelake.plans import sql
 from cuelake.sources import formats
+from cuelake.sources.jobstore import JobStore
 from cuelake.staging import new_path
 from cuelake.tables import table
 
@@ -569,3 +570,27 @@ def progress_rates(spark, sf_dir):
     """Rows a second and seconds left of jobs at work."""
     got = jobs.rates(F.col("o_orderkey") % 100, F.lit(100), (F.col("o_custkey") % 50).cast("double"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(got["rate"], 6).alias("rate"), F.round(got["remaining"], 6).alias("remaining"))
+
+
+@query(sql.STORED_JOBS)
+def stored_jobs(spark, sf_dir):
+    """Orders written to a job store, changed, compacted, changed again and partly removed, as the store reads them."""
+    store = JobStore(spark, new_path(spark, "jobs"), "id string, status string, phase string, progress double")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("phase"), "o_totalprice")
+    store.write(o)
+    store.write(o.where("o_orderkey % 3 = 0").select("id", F.lit("running").alias("status"), (F.col("o_totalprice") % 1).alias("progress")))
+    store.compact()
+    store.write(o.where("o_orderkey % 2 = 0").select("id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("phase")))
+    store.write(o.where("o_orderkey % 11 = 0"), removed=True)
+    store.compact()
+    store.write(o.where("o_orderkey % 55 = 0").select("id", F.lit("again").alias("status")))
+    return store.jobs().select("id", "status", "phase", F.round("progress", 6).alias("progress"))
+
+
+@query(sql.LOG_LINES)
+def log_lines(spark, sf_dir):
+    """Events written as a log of many files, its lines numbered over all of them, malformed ones kept."""
+    path = new_path(spark, "log")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("event_id").cast("double").alias("timestamp"), F.concat("event_type", F.lit("\u2028x")).alias("text")))).alias("value"))
+    e.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value").write.option("lineSep", "\n").text(path)
+    return formats.read_log(spark, path, by="name").select("line", "bad", F.col("row.timestamp").cast("long").alias("event_id"), F.col("row.text").alias("text"))

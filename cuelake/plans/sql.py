@@ -267,3 +267,6 @@ WIRE_BODIES = _wire()
 SERVICE_CORRECTIONS = f"""SELECT conv_id, turn, CASE WHEN {safe("'> ' || coalesce(text, '')")} THEN {squeezed("'> ' || coalesce(text, '')")} ELSE coalesce(text, '') END AS text FROM conversations"""
 SWITCHED_READINGS = f"""WITH {LINES}, e AS ({ENGLISH_WINDOW}), s AS (SELECT doc_id, pos, coalesce(max((english AND pos % 4 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS en FROM e)
 SELECT doc_id, pos, CASE WHEN en THEN 'en' ELSE 'ch' END AS engine_language, md5(CASE WHEN en THEN 'en: ' ELSE '' END || line) AS text_md5 FROM s JOIN lines USING (doc_id, pos)"""
+STORED_JOBS = """SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 55 = 0 THEN 'again' WHEN o_orderkey % 2 = 0 THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'running' ELSE o_orderstatus END AS status, o_orderpriority AS phase,
+ CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice % 1, 6) END AS progress FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 55 = 0"""
+LOG_LINES = """SELECT row_number() OVER (ORDER BY event_id) AS line, event_id % 7 = 0 AS bad, CASE WHEN event_id % 7 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 7 <> 0 THEN event_type || chr(8232) || 'x' END AS text FROM events"""

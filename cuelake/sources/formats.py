@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,11 +52,16 @@ def parse_banner(banners: DataFrame, keys: list[str], content: str) -> DataFrame
     return known.withColumn("subtitle_index", F.row_number().over(ordered(keys, ["place"])) - 1).select(*keys, "subtitle_index", "stream_id", "codec", "language", "title")
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """Job records in ``*/job.json``: broken files are skipped, a missing time is the file's, other fields are dropped."""
+def read_jobs(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """Job records in ``*/job.json``, with modified, the file's time: broken files are skipped, a missing created_at is the file's time, other fields are dropped.
+
+    In the order of the files' times. since: only files of this time or later are opened.
+    """
     raw = spark.read.schema(T.StructType([*JOB.fields, T.StructField("_bad", T.StringType())])).option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").json(f"{path}/*/job.json")
-    rows = raw.select(*JOB.fieldNames(), "_bad", F.unix_micros("_metadata.file_modification_time").alias("modified")).where("_bad is null and id is not null")
-    return rows.withColumn("created_at", F.coalesce("created_at", F.col("modified") / 1e6)).drop("_bad", "modified")
+    if since is not None:
+        raw = raw.where(F.col("_metadata.file_modification_time") >= since)
+    rows = raw.select(*JOB.fieldNames(), "_bad", F.col("_metadata.file_modification_time").alias("modified")).where("_bad is null and id is not null")
+    return rows.withColumn("created_at", F.coalesce("created_at", F.unix_micros("modified") / 1e6)).drop("_bad").orderBy("modified", "id")
 
 
 def write_jobs(jobs: DataFrame, path: str) -> None:
@@ -64,22 +69,38 @@ def write_jobs(jobs: DataFrame, path: str) -> None:
     without_secrets(jobs).withColumn("job", F.col("id")).write.partitionBy("job").mode("overwrite").json(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line, bad, row) of a JSON-lines log: lines end at a line feed only, malformed ones are kept and marked."""
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("line"))
+def numbered_lines(spark: SparkSession, path: str, by: str = "time") -> DataFrame:
+    """(line, value) of text files, line counted from 1 over all of them: files by time, then name, or by name alone.
+
+    A first pass counts the rows of each block of a file that a task reads at once; the sums of the blocks before are joined
+    back. Lines end at a line feed only, so other separators inside stay.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    block = [meta["file_path"].alias("file"), meta["file_block_start"].alias("from")]
+    rows = raw.select("value", *block, meta["file_modification_time"].alias("time"), F.monotonically_increasing_id().alias("id"))
+    counts = rows.groupBy("file", "from", "time").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    order = [*(["time"] if by == "time" else []), "file", "from"]
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a block
+    firsts = counts.select("file", "from", (before - F.col("least") + 1).alias("shift"))
+    return rows.join(firsts, ["file", "from"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def read_log(spark: SparkSession, path: str, by: str = "time") -> DataFrame:
+    """(line, bad, row) of a JSON-lines log, lines numbered over all files from 1; malformed ones are kept, counted and marked."""
+    lines = numbered_lines(spark, path, by)
     row = F.from_json("value", LOG)
     bad = row.isNull() | ~F.trim("value").startswith("{") | row["timestamp"].isNull()
     return lines.select("line", bad.alias("bad"), F.when(~bad, row).alias("row"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Add log rows as JSON lines; no file for no rows."""
-    if not rows.isEmpty():
-        rows.write.mode("append").json(path)
+    """Add log rows as JSON lines, without running their plan first to see whether there are any."""
+    rows.write.mode("append").json(path)
 
 
 def write_captions(cues: DataFrame, key: str, path: str) -> None:
-    """Caption and text files of every job, in one folder a job and kind; each ends in one line feed, which the writer adds."""
+    """Caption and text files of every job, in one folder a job and kind; each ends in one line feed, which the writer adds. A job without cues gets no file."""
     both = caption_files(cues, [key])
     for kind in ("srt", "txt"):
         both.select(key, F.regexp_replace(kind, r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(f"{path}/{kind}")
