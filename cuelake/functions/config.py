@@ -109,3 +109,53 @@ def is_text_codec(codec: Column) -> Column:
 def is_video_name(name: Column) -> Column:
     """Whether a file name ends as a video does."""
     return F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in VIDEO_SUFFIXES) + ")$")
+
+
+# --- a settings file ---------------------------------------------------------------------------------------------
+
+
+def settings_object(content: Column) -> Column:
+    """The members of a settings text as MAP<STRING, VARIANT>: empty for null, for what is no JSON and for what is no object."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(content), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def _is_set(v: Column) -> Column:
+    """Whether a member counts as true: true, numbers but zero, texts and lists with something in them, records."""
+    number = F.try_variant_get(v, "$", "double")
+    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    said = F.when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+    return F.coalesce(said.when(kind == "ARRAY", F.size(F.try_variant_get(v, "$", "array<variant>")) > 0).when(kind == "OBJECT", F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0).otherwise(number != 0), F.lit(False))
+
+
+def _said(settings: Column, name: str) -> Column:
+    """A member as text; empty if it is missing, false or zero."""
+    v = F.try_element_at(settings, F.lit(name))
+    return F.when(_is_set(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))).otherwise(F.lit(""))
+
+
+def corrector_settings(content: Column) -> Column:
+    """struct(enabled, provider, model, base_url, has_api_key, api_key) of a settings text; defaults for what is missing or broken."""
+    llm = F.coalesce(F.try_variant_get(F.try_element_at(settings_object(content), F.lit("llm")), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.get(F.transform(F.array(llm), lambda m: F.struct(
+        _is_set(F.try_element_at(m, F.lit("enabled"))).alias("enabled"), provider_name(_said(m, "provider")).alias("provider"), _said(m, "model").alias("model"),
+        _said(m, "base_url").alias("base_url"), (F.trim(_said(m, "api_key")) != "").alias("has_api_key"), _said(m, "api_key").alias("api_key"),
+    )), F.lit(0))
+
+
+def saved_settings(content: Column, payload: Column) -> Column:
+    """The settings text after a payload (JSON) is saved: a blank key keeps the old one, a missing provider the old provider, other members stay."""
+    given, old = settings_object(payload), corrector_settings(content)
+    llm = F.struct(
+        _is_set(F.try_element_at(given, F.lit("enabled"))).alias("enabled"),
+        provider_name(F.coalesce(F.nullif(_said(given, "provider"), F.lit("")), old["provider"])).alias("provider"),
+        F.trim(_said(given, "model")).alias("model"), F.trim(_said(given, "base_url")).alias("base_url"),
+        F.coalesce(F.nullif(F.trim(_said(given, "api_key")), F.lit("")), old["api_key"]).alias("api_key"),
+    )
+    others = F.map_filter(settings_object(content), lambda k, _: k != "llm")
+    return F.to_json(F.map_concat(others, F.create_map(F.lit("llm"), F.parse_json(F.to_json(llm)))))
+
+
+def reset_settings(content: Column) -> Column:
+    """The settings text without the corrector's; null, for no file, if nothing else is in it."""
+    others = F.map_filter(settings_object(content), lambda k, _: k != "llm")
+    return F.when(F.size(others) > 0, F.to_json(others))

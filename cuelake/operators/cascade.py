@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuelake.functions.config import provider_name
+from cuelake.functions.readings import ROW_SCORES, ROW_TEXTS
 from cuelake.functions.replies import correction_map
 from cuelake.functions.text import accepts_token, is_hard_noise, needs_review, prefers_review
 from cuelake.operators import asking, scan
@@ -102,27 +103,33 @@ def accepted_text(tokens: Column) -> Column:
 
 
 def flattened(result: object) -> list[dict]:
-    """Tokens (text, score) of a recognizer's nested answer: pairs, triples with a box, records or plain strings."""
-    texts = ("rec_texts", "texts", "txts")
-    scores = ("rec_scores", "scores")
+    """Tokens (text, score) of a recognizer's nested answer inside a worker: pairs, triples with a box, records or plain strings; blank texts go.
+
+    Answers that are kept as JSON are read by functions.readings in the JVM.
+    """
+    return [x for x in _flattened(result) if x["text"].strip()]
+
+
+def _flattened(result: object) -> list[dict]:
     if result is None:
         return []
     if isinstance(result, str):
         return [{"text": result, "score": None}]
     if isinstance(result, dict):
-        for t in texts:
+        for t in ("rec_texts", "texts", "txts"):
             if result.get(t) is not None:
-                found = next((result[s] for s in scores if result.get(s) is not None), [])
+                found = next((result[s] for s in ("rec_scores", "scores") if result.get(s) is not None), [])
                 return [{"text": str(x), "score": _number(found[k] if k < len(found) else None)} for k, x in enumerate(result[t])]
-        if "text" in result:
-            return [{"text": str(result["text"]), "score": _number(result.get("score"))}]
-        return [x for v in result.values() for x in flattened(v) if isinstance(v, (list, tuple, dict))]
+        text = next((result[t] for t in ROW_TEXTS if result.get(t)), None)
+        if text is not None:
+            return [{"text": str(text), "score": _number(next((result[s] for s in ROW_SCORES if result.get(s) is not None), None))}]
+        return [x for v in result.values() for x in _flattened(v) if isinstance(v, (list, tuple, dict))]
     if isinstance(result, (list, tuple)):
         if len(result) == 2 and isinstance(result[0], str) and _number(result[1]) is not None:
             return [{"text": result[0], "score": _number(result[1])}]
         if len(result) >= 3 and isinstance(result[1], str):
             return [{"text": result[1], "score": _number(result[2])}]
-        return [x for v in result if not isinstance(v, (int, float)) for x in flattened(v)]
+        return [x for v in result if not isinstance(v, (int, float)) for x in _flattened(v)]
     return []
 
 

@@ -131,15 +131,29 @@ def focused(image: np.ndarray) -> np.ndarray:
     return image[max(0, low - size) : low]
 
 
-def signatures(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, signature): positions of each frame's mask, null for frames that can't be read."""
+def signatures(frames: DataFrame, keys: list[str], box: Column | None = None, focus: Column | bool = False) -> DataFrame:
+    """(keys, signature): positions of each frame's mask, null for frames that can't be read and for empty crops.
+
+    box: struct(top, bottom, left, right) of pixels, as crop_box gives it; what is outside has no say. focus: whether the strip in which the
+    crop's text stands is taken. Cropping, focus and mask are one pass.
+    """
+    whole = F.struct(F.lit(0).alias("top"), F.col("height").alias("bottom"), F.lit(0).alias("left"), F.col("width").alias("right"))
+    bounds = F.col("__box") if box is not None else whole
+    edges = ["top", "bottom", "left", "right"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            images = (pixels(d, h, w) for d, h, w in zip(b["data"], b["height"], b["width"], strict=True))
-            yield b[keys].assign(signature=[None if x is None else signature(x).tolist() for x in images])
+            out = []
+            for d, h, w, near, top, bottom, left, right in zip(b["data"], b["height"], b["width"], b["__focus"], *(b[f"__{e}"] for e in edges), strict=True):
+                image = pixels(d, h, w)
+                image = None if image is None or top != top else image[max(0, int(top)) : int(bottom), max(0, int(left)) : int(right)]
+                out.append(None if image is None or not image.size else signature(focused(image) if near else image).tolist())
+            yield b[keys].assign(signature=out)
 
     schema = frames.select(*keys).schema.add("signature", T.ArrayType(T.IntegerType()))
-    return frames.select(*keys, "height", "width", "data").mapInPandas(run, schema)
+    rows = frames.withColumn("__box", box) if box is not None else frames
+    near = F.lit(focus) if isinstance(focus, bool) else F.coalesce(focus, F.lit(False))
+    return rows.select(*keys, "height", "width", "data", near.alias("__focus"), *[bounds[e].alias(f"__{e}") for e in edges]).mapInPandas(run, schema)
 
 
 def row_profiles(frames: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.functions import config, geometry, replies, text, timecode
+from cuelake.functions import config, geometry, readings, replies, text, timecode
 from cuelake.operators import asking, cascade, cues, jobs, scan, sequence
 from cuelake.plans import sql
 from cuelake.sources import formats
@@ -594,3 +594,40 @@ def log_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("event_id").cast("double").alias("timestamp"), F.concat("event_type", F.lit("\u2028x")).alias("text")))).alias("value"))
     e.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value").write.option("lineSep", "\n").text(path)
     return formats.read_log(spark, path, by="name").select("line", "bad", F.col("row.timestamp").cast("long").alias("event_id"), F.col("row.text").alias("text"))
+
+
+@query(sql.READING_ROWS)
+def reading_rows(spark, sf_dir):
+    """Tokens of recognizers' answers of seven shapes, made from conversation turns."""
+    t, r, k = F.coalesce("text", F.lit("")), F.col("role"), F.col("turn") % 7
+    quoted_text, quoted_role = (F.get(F.split(F.to_json(F.struct(c.alias("t"))), ":", 2), F.lit(1)) for c in (t, r))
+    said, who = F.regexp_replace(quoted_text, r"\}$", ""), F.regexp_replace(quoted_role, r"\}$", "")
+    shapes = [("[[[[0,0],[9,9]],", said, ",0.5],[[[1,1]],", who, ",1]]"), ("[[0,0],", said, ",0.75]"), ('{"txts":[', said, ',""," ",', who, "]}"), ('{"result":[],"res":[{"rec_text":', said, ',"confidence":0.25},{"txt":', who, ',"score":0,"rec_score":0.5},{"text":" "}]}'),
+              ("{broken", said), ("null",), ('{"rec_texts":"no list","result":[[null,', who, ",null]]}")]
+    answer = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in shape]) for shape in shapes]), (k + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(readings.scored_rows(answer)).alias("place", "token"))
+    return rows.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.col("token.text").alias("text"), F.col("token.score").alias("score"))
+
+
+@query(sql.PAGE_TEXTS)
+def page_texts(spark, sf_dir):
+    """Texts of answers in pages, made from conversation turns."""
+    t = F.coalesce("text", F.lit(""))
+    deep = F.to_json(F.array(F.struct(F.array(t, "role").alias("rec_texts"), F.struct(F.array("role").alias("rec_texts")).alias("res")), F.struct(F.array(F.lit("kept")).alias("rec_texts"), F.lit(None).cast("struct<rec_texts:array<string>>").alias("res"))))
+    flat = F.to_json(F.struct(F.struct(F.array("role", t).alias("rec_texts")).alias("res")))
+    answer = F.when(F.col("turn") % 3 == 0, deep).when(F.col("turn") % 3 == 1, flat).otherwise(F.concat(F.lit("["), t))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(readings.page_texts(answer), "|").alias("texts"))
+
+
+@query(sql.CORRECTOR_SETTINGS)
+def corrector_settings(spark, sf_dir):
+    """Settings read from texts that may be broken, and read again after a payload is saved and after a reset."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+    content = pick('{"llm":{"enabled":true,"provider":" Ollama","model":"m","api_key":"old"},"other":{"a":[1,2]}}', "[1,2]", "{broken", None, '{"llm":{"enabled":"","provider":"nobody","base_url":5,"api_key":"  "}}', '{"llm":[1],"other":1}', '{"llm":{"enabled":1,"model":null,"api_key":" k "}}')
+    payload = pick('{"enabled":1,"api_key":" ","model":" x "}', '{"provider":"anthropic","api_key":"new"}', "null", '{"enabled":false,"base_url":"http://h "}')
+    after = config.saved_settings(content, payload)
+    told = {"before": config.corrector_settings(content), "after": config.corrector_settings(after)}
+    fields = ["enabled", "provider", "model", "base_url", "has_api_key", "api_key"]
+    rows = o.select("o_orderkey", *[v.alias(c) for c, v in told.items()], F.size(config.settings_object(after)).cast("long").alias("members"), config.reset_settings(content).isNull().alias("gone"))
+    return rows.select("o_orderkey", *[F.col(c)[f].alias(f"{c}_{f}") for c in told for f in fields], "members", "gone")

@@ -270,3 +270,28 @@ SELECT doc_id, pos, CASE WHEN en THEN 'en' ELSE 'ch' END AS engine_language, md5
 STORED_JOBS = """SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 55 = 0 THEN 'again' WHEN o_orderkey % 2 = 0 THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'running' ELSE o_orderstatus END AS status, o_orderpriority AS phase,
  CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice % 1, 6) END AS progress FROM orders WHERE o_orderkey % 11 <> 0 OR o_orderkey % 55 = 0"""
 LOG_LINES = """SELECT row_number() OVER (ORDER BY event_id) AS line, event_id % 7 = 0 AS bad, CASE WHEN event_id % 7 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 7 <> 0 THEN event_type || chr(8232) || 'x' END AS text FROM events"""
+READING_ROWS = """WITH c AS (SELECT conv_id, turn, turn % 7 AS k, coalesce(text, '') AS t, role AS r FROM conversations),
+ w AS (SELECT conv_id, turn, list_filter(CASE k WHEN 0 THEN [{'t': t, 's': 0.5::DOUBLE}, {'t': r, 's': 1.0}] WHEN 1 THEN [{'t': t, 's': 0.75::DOUBLE}] WHEN 2 THEN [{'t': t, 's': NULL::DOUBLE}, {'t': r, 's': NULL}]
+  WHEN 3 THEN [{'t': t, 's': 0.25::DOUBLE}, {'t': r, 's': 0.5}] WHEN 6 THEN [{'t': r, 's': NULL::DOUBLE}] ELSE [] END, lambda x: regexp_matches(x.t, '\\S')) AS x FROM c)
+SELECT conv_id, turn, i - 1 AS place, x[i].t AS text, x[i].s AS score FROM w, unnest(range(1, len(x) + 1)) u(i)"""
+PAGE_TEXTS = """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN coalesce(text, '') || '|' || role || '|' || role || '|kept' WHEN 1 THEN role || '|' || coalesce(text, '') ELSE '' END AS texts FROM conversations"""
+
+
+def _settings() -> str:
+    m = lambda j, name: f"CASE WHEN json_extract_string({j}, '$.{name}') IS NULL OR json_extract_string({j}, '$.{name}') IN ('', 'false', '0') THEN '' ELSE json_extract_string({j}, '$.{name}') END"
+    provider = lambda x: f"CASE WHEN lower(trim({x})) IN ({', '.join(map(quoted, PROVIDERS))}) THEN lower(trim({x})) ELSE 'openai' END"
+    obj = lambda x: f"CASE WHEN json_valid({x}) THEN CASE WHEN json_type({x}) = 'OBJECT' THEN {x} ELSE '{{}}' END ELSE '{{}}' END"
+    texts = ['{"llm":{"enabled":true,"provider":" Ollama","model":"m","api_key":"old"},"other":{"a":[1,2]}}', "[1,2]", "{broken", None, '{"llm":{"enabled":"","provider":"nobody","base_url":5,"api_key":"  "}}', '{"llm":[1],"other":1}', '{"llm":{"enabled":1,"model":null,"api_key":" k "}}']
+    given = ['{"enabled":1,"api_key":" ","model":" x "}', '{"provider":"anthropic","api_key":"new"}', "null", '{"enabled":false,"base_url":"http://h "}']
+    listed = lambda v: "[" + ", ".join("NULL" if x is None else quoted(x) for x in v) + "]"
+    b = {"enabled": f"({m('l', 'enabled')}) <> ''", "provider": provider(m("l", "provider")), "model": m("l", "model"), "base_url": m("l", "base_url"), "api_key": m("l", "api_key")}
+    p = {"enabled": f"({m('p', 'enabled')}) <> ''", "provider": provider(f"coalesce(nullif({m('p', 'provider')}, ''), before_provider)"), "model": f"trim({m('p', 'model')})", "base_url": f"trim({m('p', 'base_url')})", "api_key": f"coalesce(nullif(trim({m('p', 'api_key')}), ''), before_api_key)"}
+    return f"""WITH o AS (SELECT o_orderkey, {listed(texts)}[o_orderkey % 7 + 1] AS c, {listed(given)}[o_orderkey % 4 + 1] AS q FROM orders),
+ j AS (SELECT o_orderkey, coalesce({obj('c')}, '{{}}') AS c, coalesce({obj('q')}, '{{}}') AS p FROM o),
+ l AS (SELECT *, CASE WHEN json_type(c, '$.llm') = 'OBJECT' THEN json_extract(c, '$.llm')::VARCHAR ELSE '{{}}' END AS l, list_filter(json_keys(c), lambda x: x <> 'llm') AS others FROM j),
+ b AS (SELECT *, {', '.join(f'{x} AS before_{k}' for k, x in b.items())} FROM l),
+ a AS (SELECT *, {', '.join(f'{x} AS after_{k}' for k, x in p.items())} FROM b)
+SELECT o_orderkey, {', '.join(f'{w}_{k}' for w in ('before', 'after') for k in b)}, trim(before_api_key) <> '' AS before_has_api_key, trim(after_api_key) <> '' AS after_has_api_key, len(others) + 1 AS members, len(others) = 0 AS gone FROM a"""
+
+
+CORRECTOR_SETTINGS = _settings()
