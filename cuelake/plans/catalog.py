@@ -110,15 +110,14 @@ def review_choice(spark, sf_dir):
 
 @query(sql.REPAIR)
 def repair_lines(spark, sf_dir):
-    """Repaired lines of the English documents."""
-    en = lines(spark, sf_dir).where("lang = 'en'").where(~F.col("line").rlike(r"[^\x00-\x7F]"))
-    return en.select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
+    """Repaired lines of all documents, of any language and letters."""
+    return lines(spark, sf_dir).select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
 
 
-@query()
+@query(sql.REPAIR)
 def repair_all_lines(spark, sf_dir):
-    """Repaired lines of all documents, of any language and letters."""
-    return lines(spark, sf_dir).select("doc_id", "pos", text.repair(F.col("line")).alias("fixed"))
+    """As repair_lines, which took a part of the lines once."""
+    return repair_lines(spark, sf_dir)
 
 
 @query(sql.ENGLISH_WINDOW)
@@ -290,18 +289,16 @@ def llm_apply(spark, sf_dir):
 
 @query(sql.LLM_PARSE)
 def llm_parse(spark, sf_dir):
-    """Correction maps of replies made from conversation turns."""
+    """Correction maps of replies made from all conversation turns; turn 0 is no index of a reply and gives an empty map."""
     reply = F.concat(F.lit('```json\n{"items": ['), F.to_json(F.struct(F.col("turn").alias("i"), F.col("text").alias("text"))), F.lit("]}\n```"))
-    rows = table(spark, sf_dir, "conversations").where("turn > 0").select("conv_id", "turn", replies.correction_map(reply).alias("m"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", replies.correction_map(reply).alias("m"))
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
 
 
-@query()
+@query(sql.LLM_PARSE)
 def llm_parse_all(spark, sf_dir):
-    """Correction maps of replies made from all conversation turns; turn 0 is no index of a reply and gives an empty map."""
-    reply = F.concat(F.lit('```json\n{"items": ['), F.to_json(F.struct(F.col("turn").alias("i"), F.col("text").alias("text"))), F.lit("]}\n```"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", replies.correction_map(reply).alias("m"))
-    return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.col("turn").cast("int")).alias("fixed"))
+    """As llm_parse, which took a part of the turns once."""
+    return llm_parse(spark, sf_dir)
 
 
 def _turn_cues(spark, sf_dir) -> DataFrame:

@@ -115,20 +115,29 @@ WORD_SHAPES = f"WITH {LINES}, w AS (SELECT lang, unnest(regexp_extract_all(line,
 REVIEW_CHOICE = f"WITH {LINES}, s AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM lines) SELECT doc_id, pos, {prefers('line', 'second')} AS second_wins FROM s"
 
 
+WORD, SPACE = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}", r"\s\x{0b}\x{85}\p{Z}"
+
+
+def bounded(p: str) -> str:
+    """A pattern between word boundaries, which RE2 knows for ASCII only: what stands around is taken along."""
+    return f"(^|[^{WORD}])(?:{p})($|[^{WORD}])"
+
+
 def _repair() -> str:
     x = v("line")
     for p, r in REPAIRS:
-        x = f"regexp_replace({x}, {quoted(chr(92) + 'b' + p + chr(92) + 'b')}, {quoted(r)}, 'gi')"
+        for _ in range(2):  # neighbours share what stands between them
+            x = f"regexp_replace({x}, {quoted(bounded(p))}, {quoted(chr(92) + '1' + r + chr(92) + '2')}, 'gi')"
     for _ in range(2):
-        x = rf"regexp_replace({x}, ',(\S)', ', \1', 'g')"
+        x = rf"regexp_replace({x}, ',([^{SPACE}])', ', \1', 'g')"
     x = rf"regexp_replace({x}, '\.{{2,}}$', '.')"
-    x = rf"regexp_replace({x}, '^G Plug-in\b', 'MG Plug-in')"
-    return rf"regexp_replace({x}, '^ah\s+\.\S+\s+', '', 'i')"
+    x = rf"regexp_replace({x}, '^G Plug-in($|[^{WORD}])', 'MG Plug-in\1')"
+    return rf"regexp_replace({x}, '^ah[{SPACE}]+\.[^{SPACE}]+[{SPACE}]+', '', 'i')"
 
 
-REPAIR = rf"""WITH {LINES}, r AS (SELECT doc_id, pos, line, {_repair()} AS x FROM lines WHERE lang = 'en' AND NOT regexp_matches(line, '[^\x00-\x7F]'))
-SELECT doc_id, pos, CASE WHEN {v('line')} = '' OR {noise('line')} OR (regexp_matches(x, '\btechnol\b', 'i') AND regexp_matches(x, '\bti+me\b', 'i')) THEN ''
- WHEN len({words('x')}) >= 3 THEN {v(r"regexp_replace(x, '\s+\d\s*$', '')")} ELSE x END AS fixed FROM r"""
+REPAIR = rf"""WITH {LINES}, r AS MATERIALIZED (SELECT doc_id, pos, line, CASE WHEN regexp_matches({v('line')}, {quoted(bounded('|'.join(p for p, _ in REPAIRS)) + f'|,[^{SPACE}]|[.][.]$|^G Plug-in|^[Aa][Hh]')}, 'i') THEN {_repair()} ELSE {v('line')} END AS x FROM lines)
+SELECT doc_id, pos, CASE WHEN {v('line')} = '' OR {noise('line')} OR (regexp_matches(x, {quoted(bounded('technol'))}, 'i') AND regexp_matches(x, {quoted(bounded('ti+me'))}, 'i')) THEN ''
+ WHEN len({words('x')}) >= 3 THEN {v(rf"regexp_replace(x, '[{SPACE}]+[0-9][{SPACE}]*$', '')")} ELSE x END AS fixed FROM r"""
 ENGLISH_WINDOW = rf"""WITH {LINES}, s AS (SELECT doc_id, pos, {v('line')} AS t FROM lines), c AS (SELECT doc_id, pos, (t <> '')::INT AS f, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS l,
  {n_of('t', 'A-Za-zİK')} AS a, {n_of('t', '一-鿿')} AS k FROM s)
 SELECT doc_id, pos, sum(f) OVER w >= 4 AND sum(l) OVER w >= 20 AND sum(a) OVER w >= 0.85 * sum(l) OVER w AND sum(k) OVER w <= 1 AS english FROM c
@@ -181,7 +190,7 @@ SRT_PLAIN = rf"""WITH {FILES}, kept AS (SELECT doc_id, list_filter(list_transfor
 SELECT doc_id, md5(CASE WHEN len(l) = 0 THEN '' ELSE array_to_string(l, chr(10) || chr(10)) || chr(10) END) AS plain_md5 FROM kept"""
 LLM_CHUNKS = f"WITH {SESSIONS}, num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS n FROM merged) SELECT doc_id, n // 40 AS chunk, count(*) AS n, max(n % 40 + 1) AS last_i FROM num GROUP BY doc_id, n // 40"
 LLM_APPLY = f"WITH {SESSIONS}, num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS n FROM merged) SELECT doc_id, round(start, 6) AS start, CASE WHEN n % 40 + 1 = 2 THEN '> ' || text ELSE text END AS text FROM num"
-LLM_PARSE = f"SELECT conv_id, turn, {safe('text')}::BIGINT AS n, CASE WHEN {safe('text')} THEN {squeezed('text')} END AS fixed FROM conversations WHERE turn > 0"
+LLM_PARSE = f"SELECT conv_id, turn, (turn > 0 AND {safe('text')})::BIGINT AS n, CASE WHEN turn > 0 AND {safe('text')} THEN {squeezed('text')} END AS fixed FROM conversations"
 
 TIME_TEXTS = f"""WITH s AS (SELECT event_id, value * 37.5 AS s, round_even(greatest(value * 37.5, 0), 0)::BIGINT AS r, floor(greatest(value * 37.5, 0) + 0.5)::BIGINT AS u FROM events)
 SELECT event_id, {stamp('s')} AS srt, CASE WHEN r < 60 THEN printf('%ds', r) WHEN r // 60 < 60 THEN printf('%dm %ds', r // 60, r % 60) ELSE printf('%dh %dm', r // 3600, r // 60 % 60) END AS duration, printf('%02d:%02d', u // 60, u % 60) AS clock FROM s"""
