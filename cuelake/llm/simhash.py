@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ STAGE_SHINGLE, ALIKE, PARTS, PART = 5, 0.8, 16, 4
 LETTERS = PARTS * PART
 #: Letters in which sketches agree before their texts are compared; of pairs just at ALIKE 99 in 100 do.
 LIKELY = 44
+#: Sketches of one key that meet in a task.
+MEET = 2048
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _word_hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -163,18 +164,6 @@ def ring_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.segment", "node")
 
 
-def chained(hot: DataFrame, step: int) -> DataFrame:
-    """(key, segment, node) of rows (key, segment, node, sketch), keyed further by the segment that follows at a step.
-
-    A chain of step + 1 segments may hold step differences at most, so of the next segment's letters all but ``step`` are
-    alike: each choice of those left out gives a key, and what is in the chain's budget meets at one of them.
-    """
-    choices = [sorted(set(range(PART)) - set(left)) for left in combinations(range(PART), step)]
-    letter = lambda i: F.substring("sketch", 2 * (F.pmod(F.col("segment") + step, F.lit(PARTS)) * PART + i) + 1, F.lit(2))
-    keys = F.array(*[F.xxhash64("key", F.lit(c), *[letter(i) for i in some]) for c, some in enumerate(choices)])
-    return hot.select(F.explode(keys).alias("key"), "segment", "node")
-
-
 def shared_keys(ring: DataFrame, label: str) -> DataFrame:
     """The ring's rows (key, segment, node, n) at keys that n > 1 nodes have."""
     sizes = staged(ring.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{label}-sizes")
@@ -245,43 +234,78 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _blocks_of(rows: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """The same, of sketches that agree in LIKELY letters, for keys of any size: blocks of rows meet in pairs."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's different five-word shingles."""
+    return np.unique(np.fromiter(map(_word_hash, shingle_set(text)), np.uint64))
+
+
+def _links_in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between components at keys of any size: blocks of rows meet in pairs inside a task, which gets each text once.
+
+    A pair must hold a chain: an equal segment, and at most one other letter in the next. It is looked at at the first such
+    segment alone, so once, however many keys it shares. Of sketches that agree in LIKELY letters, hashes of the shingles
+    are counted, and where they reach ALIKE the whole sets decide. What a task has linked so far is not compared again, so
+    no more links come out than components went in.
+    """
     def run(key: tuple, t: pa.Table) -> pa.Table:
         _, i, j = (k.as_py() for k in key)
         node, comp, mine = (t.column(c).to_numpy() for c in ("node", "comp", "mine"))
+        segment, text, found = t.column("segment")[0].as_py(), t.column("text"), []
         x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, LETTERS)
-        left, right, found = np.flatnonzero(mine == i), np.flatnonzero(mine == j), []
-        for k in left:
-            near = right[((x[right] == x[k]).sum(1) >= LIKELY) & (comp[right] != comp[k])]
-            found += [(min(node[k], node[o]), max(node[k], node[o])) for o in near]
+        comp = np.unique(comp, return_inverse=True)[1]
+        sets: dict[int, np.ndarray] = {}
+
+        def hashes(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_hashes(text[k].as_py())
+            return sets[k]
+
+        right = np.flatnonzero(mine == j)
+        for k in np.flatnonzero(mine == i).tolist():
+            near = right[(comp[right] != comp[k]) & ((node[right] > node[k]) | (i != j))]
+            near = near[(x[near] == x[k]).sum(1) >= LIKELY]
+            same = (x[near] == x[k]).reshape(-1, PARTS, PART).sum(2)
+            chain = (same == PART) & (np.roll(same, -1, axis=1) >= PART - 1)
+            for o in near[chain[:, segment] & (chain.argmax(1) == segment)].tolist():
+                if comp[o] == comp[k]:
+                    continue
+                p, q = hashes(k), hashes(o)
+                p, q = (p, q) if len(p) <= len(q) else (q, p)
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if both >= ALIKE * (len(p) + len(q) - both):
+                    one, other = shingle_set(text[k].as_py()), shingle_set(text[o].as_py())
+                    if len(one & other) >= ALIKE * len(one | other):
+                        found.append((int(node[k]), int(node[o])))
+                        comp[comp == comp[o]] = comp[k]
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    many = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(nodes.select("node", "sketch"), "node")
+    many = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).join(nodes.select("node", "sketch"), "node").join(texts, "node")
     many = many.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", "node", "comp", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    many = many.select("key", "segment", "node", "comp", "sketch", "text", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     return many.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
+def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block: int = MEET) -> DataFrame:
     """(node, component) of the nodes of ``text_nodes`` whose texts' five-word shingles are alike to ALIKE, through any chain of texts.
 
     A sketch is a ring of PARTS segments of PART letters. Of two that differ in under a letter a segment, some segment is
     equal and the chain from it on stays in its budget; at ALIKE an equal segment is nearly certain (all but one pair in five thousand).
     First each text is compared to the most alike of the hubs of its keys. Then whatever else shares a key and isn't
-    linked so far is compared too: all pairs at keys of up to ``bucket`` texts; more are first dealt by the chain's next two segments, and
-    what still are more meet in blocks.
+    linked so far is compared too: all pairs at keys of up to ``bucket`` texts; more meet in blocks, which hold each text
+    once, prune pairs by chains of two segments, and give links only.
     """
     shared = shared_keys(ring_keys(nodes), "ring")
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest")).alias("row"), text_or_empty().alias("text"))
     named = nodes.select(F.struct("doc_id", "digest").alias("row"), "node")
 
+    def texts_of(found: DataFrame, label: str) -> DataFrame:
+        ends = named.join(found.distinct(), "node", "left_semi")
+        return staged(rows.join(ends, "row").select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
+
     def decided(edges: DataFrame, label: str) -> DataFrame:
         edges = staged(edges.select("a", "b"), f"{label}-likely")
-        ends = named.join(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        texts = staged(rows.join(ends, "row").select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
-        return staged(alike(edges, texts), f"{label}-edges")
+        return staged(alike(edges, texts_of(edges.select(F.explode(F.array("a", "b")).alias("node")), label)), f"{label}-edges")
 
     hubs = likely(hub_pairs(shared), nodes)
     best = hubs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
@@ -290,21 +314,13 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block
     open_ = _crossing(shared.drop("n"), comps)
     found = _pairs_of(open_.where(F.col("m") <= bucket))
     hot = open_.where(F.col("m") > bucket)
-    for step in (1, 2):
-        if hot.isEmpty():
-            break
-        wide = hot.select("key", "segment", "node").join(nodes.select("node", "sketch"), "node")
-        more = shared_keys(chained(wide, step), f"chain-{step}")
-        open_ = _crossing(more.drop("n"), comps)
-        found = found.unionByName(_pairs_of(open_.where(F.col("m") <= bucket)))
-        hot = open_.where(F.col("m") > bucket)
-    near = likely(found, nodes).select("a", "b")
+    links = first.unionByName(decided(likely(found, nodes).select("a", "b"), "rest"))
     if not hot.isEmpty():
-        near = near.unionByName(_blocks_of(hot, nodes, block)).distinct()
-    return connected_components(first.unionByName(decided(near, "rest")))
+        links = links.unionByName(staged(_links_in_blocks(hot, nodes, texts_of(hot.select("node"), "hot"), block), "block-edges"))
+    return connected_components(links)
 
 
-def keep_one(docs: DataFrame, bucket: int = BUCKET, block: int = 1024) -> DataFrame:
+def keep_one(docs: DataFrame, bucket: int = BUCKET, block: int = MEET) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the least doc_id stays, of its repeats one.
 
     Classes are texts whose whole five-word shingle sets are alike to ALIKE, through any chain of texts (``similar_texts``). Null texts count as
