@@ -14,6 +14,7 @@ REVIEWER = "paddle"
 TEXT_CODECS = ["ass", "ssa", "subrip", "srt", "text", "webvtt", "mov_text"]
 LANGUAGE_ORDER = ["chi", "zho", "chs", "cht", "zh", "cn"]
 VIDEO_SUFFIXES = [".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".ts", ".flv", ".wmv", ".3gp", ".rmvb"]
+PICKED_SUFFIXES = [".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".ts"]
 MODELS = {"openai": "gpt-4.1-mini", "openai-compatible": "gpt-4.1-mini", "anthropic": "claude-3-5-haiku-latest", "ollama": "qwen2.5:7b"}
 BASE_URLS = {"openai": "https://api.openai.com/v1", "openai-compatible": "https://api.openai.com/v1", "anthropic": "https://api.anthropic.com", "ollama": "http://127.0.0.1:11434"}
 
@@ -111,6 +112,12 @@ def is_video_name(name: Column) -> Column:
     return F.lower(name).rlike("(" + "|".join(s.replace(".", r"\.") for s in VIDEO_SUFFIXES) + ")$")
 
 
+def is_video_file(name: Column, mime: Column) -> Column:
+    """Whether a picked file is a video, by its type or else its name."""
+    named = F.lower(F.coalesce(name, F.lit(""))).rlike("(" + "|".join(s.replace(".", r"\.") for s in PICKED_SUFFIXES) + ")$")
+    return F.coalesce(mime.startswith("video/"), F.lit(False)) | named
+
+
 # --- a settings file ---------------------------------------------------------------------------------------------
 
 

@@ -173,6 +173,68 @@ def recognize_switching(df: DataFrame, keys: list[str], order: list[str], source
     return same.unionByName(recognize(changed.drop("text"), source, "text", name, partial(make, "en"), language="en"))
 
 
+def flush_rows(df: DataFrame, keys: list[str], order: list[str], batch: int) -> DataFrame:
+    """df (keys, order, repeat) with flush: whether a batch of readings ends at a row.
+
+    A batch begins at a row that doesn't repeat and ends when it has ``batch`` rows, repeats among them; repeats outside a batch belong to none.
+    Rows are dealt by job, sorted, and folded with a count as the only state.
+    """
+    names = df.columns
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, pending = None, 0
+        for b in batches:
+            out = []
+            for k, repeat in zip(b["__job"], b["repeat"], strict=True):
+                if k != job:
+                    job, pending = k, 0
+                pending += bool(pending or not repeat)
+                out.append(pending >= batch)
+                pending = 0 if out[-1] else pending
+            yield b.assign(flush=out)[[*names, "flush"]]
+
+    if batch == 1:
+        return df.withColumn("flush", ~F.col("repeat"))
+    told = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = df.withColumn("__job", told).repartition("__job").sortWithinPartitions("__job", *order)
+    return rows.mapInPandas(fold, df.schema.add("flush", "boolean"))
+
+
+def recognize_jobs(df: DataFrame, keys: list[str], order: list[str], sources: list[str], read: Callable[[str], Recognizer], review_by: Callable[[str], Recognizer] | None = None, language: str = "ch", retry: bool = False, batch: int = 1, name: str = "job") -> DataFrame:
+    """text, reviewed and engine_language of rows with island and repeat: all that a job does between frames and samples.
+
+    Rows that don't repeat are read from the first of sources; with ``retry``, empty ones from the later sources; doubtful texts a
+    second time by review_by. Repeats take what their island's first row got. After the first batch of readings
+    that leaves the last rows mostly English, the readers are the English ones: such rows are read again, and no others.
+    read and review_by get a language and return a recognizer. The first phase is written to the shared folder.
+    """
+    def phase(rows: DataFrame, language: str) -> DataFrame:
+        out = recognize_with_retry(rows, sources, name, partial(read, language), retry, language=language)
+        if review_by is None:
+            return out.withColumn("reviewed", F.lit(False))
+        return review(out, "text", sources[0], f"{name}-review", partial(review_by, language), language=language)
+
+    def carried(anchors: DataFrame, repeats: DataFrame) -> DataFrame:
+        told = F.struct("text", "reviewed", "engine_language")
+        all_ = scan.whole(anchors.unionByName(repeats, allowMissingColumns=True))
+        rows = scan.first_of_run(all_, keys, order, "island", told, "__told").drop(scan.CUTS)
+        return rows.withColumns({c: F.when(F.col("repeat"), F.col(f"__told.{c}")).otherwise(F.col(c)) for c in ("text", "reviewed", "engine_language")}).drop("__told")
+
+    first = staged(phase(df.where("not repeat"), language), "first-phase").withColumn("engine_language", F.lit(language))
+    repeats = df.where("repeat")
+    if language == "en":
+        return carried(first, repeats)
+    seen = carried(first, repeats).select(*keys, *order, "repeat", "island", "text")
+    marked = english_window(scan.segmented(flush_rows(seen, keys, order, batch), keys, order), keys, order, "text")
+    ever = scan.running(marked.withColumn("__now", F.col("english") & F.col("flush")), keys, order, {"__ever": ("max", F.col("__now").cast("int"))}, "before")
+    at = ever.where("not repeat and __ever = 1").select(*[F.col(c).alias(f"__{c}") for c in [*keys, *order]])
+    same = [first[c].eqNullSafe(at[f"__{c}"]) for c in [*keys, *order]]
+    told = first.join(at.withColumn("__changed", F.lit(True)), same, "left").drop(*at.columns)
+    changed = told.where("__changed").drop("__changed", "text", "reviewed", "engine_language")
+    anchors = told.where("__changed is null").drop("__changed").unionByName(phase(changed, "en").withColumn("engine_language", F.lit("en")))
+    return carried(anchors, repeats)
+
+
 def correction_requests(cues: DataFrame, keys: list[str], size: int = 40) -> DataFrame:
     """(keys, chunk, request): each block of cues as the JSON that a corrector gets."""
     rows = chunked(cues, keys, ["start"], size)

@@ -628,3 +628,11 @@ def corrector_settings(spark, sf_dir):
     fields = ["enabled", "provider", "model", "base_url", "has_api_key", "api_key"]
     rows = o.select("o_orderkey", *[v.alias(c) for c, v in told.items()], F.size(config.settings_object(after)).cast("long").alias("members"), config.reset_settings(content).isNull().alias("gone"))
     return rows.select("o_orderkey", *[F.col(c)[f].alias(f"{c}_{f}") for c in told for f in fields], "members", "gone")
+
+
+@query(sql.VIDEO_FILES)
+def video_files(spark, sf_dir):
+    """Which picked files are videos, by type or name."""
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("page_id") % len(v) + 1).cast("int"))
+    name = F.concat("url", pick(".MP4", ".flv", "", ".ts"))
+    return table(spark, sf_dir, "pages").select("page_id", config.is_video_file(name, pick("video/x-flv", None, "text/html")).alias("is_video"))

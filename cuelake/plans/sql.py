@@ -304,3 +304,4 @@ SELECT o_orderkey, {', '.join(f'{w}_{k}' for w in ('before', 'after') for k in b
 
 
 CORRECTOR_SETTINGS = _settings()
+VIDEO_FILES = """SELECT page_id, page_id % 3 = 0 OR regexp_matches(lower(url || ['.MP4', '.flv', '', '.ts'][page_id % 4 + 1]), '[.](mp4|mkv|mov|avi|webm|m4v|ts)$') AS is_video FROM pages"""

@@ -155,3 +155,58 @@ def test_null_keys_and_one_source(spark):
     assert {r.i: r.text for r in tried.collect()} == {0: "first", 1: ""}
     modes = spark.createDataFrame([("accurate",), ("manual",), ("fast",), (None,)], "mode string")
     assert [r.e for r in modes.select(cascade.retry_eligible(F.col("mode")).alias("e")).collect()] == [True, True, False, False]
+
+
+def second(language):
+    return lambda xs: [None if x is None else f"reviewed {language} words here" for x in xs]
+
+
+def plain_job(rows, batch, retry):
+    """One job's rows (k, repeat, island, a, b) by a loop that reads, retries, reviews, flushes and switches."""
+    out, texts, pending, language, by_island = {}, [], [], "ch", {}
+
+    def read(a, b):
+        t = readers(language)([a])[0]
+        if retry and not (t or "").strip() and b is not None:
+            t = readers(language)([b])[0]
+        if t is not None and ("thewordthatdefines" in t or len(t.strip()) <= 2):  # doubtful
+            return second(language)([a])[0], True, language
+        return t, False, language
+
+    for k, repeat, island, a, b in rows:
+        if repeat and not pending:
+            out[k] = by_island.get(island, (None, None, None))
+            texts.append(out[k][0])
+            continue
+        pending.append((k, repeat, island, a, b))
+        if len(pending) >= batch:
+            for k2, r2, i2, a2, b2 in pending:
+                if not r2:
+                    by_island[i2] = read(a2, b2)
+                out[k2] = by_island[i2]
+                texts.append(out[k2][0])
+            pending = []
+            if language == "ch" and english(texts[-12:]):
+                language = "en"
+    for k2, r2, i2, a2, b2 in pending:
+        if not r2:
+            by_island[i2] = read(a2, b2)
+        out[k2] = by_island[i2]
+    return out
+
+
+@pytest.mark.parametrize(("batch", "retry"), [(1, False), (4, True)])
+def test_whole_jobs_are_a_loop(spark, batch, retry):
+    rng, rows, want = random.Random(batch), [], {}
+    for job in ("a", "b", None):
+        since, island, some = rng.randint(8, 20), 0, []
+        for k in range(50):
+            repeat = k > 0 and rng.random() < 0.4
+            island += not repeat
+            a = rng.choice(["plain words are here", "more of them follow", None, "", "thewordthatdefinesthelimits."]) if k >= since else rng.choice(["你好世界和平", "字幕说", None, ""])
+            some.append((k, repeat, island, a, rng.choice([None, "other source of it"])))
+        want |= {(job, k): v for k, v in plain_job(some, batch, retry).items()}
+        rows += [(job, *r) for r in some]
+    df = spark.createDataFrame(rows, "job string, k int, repeat boolean, island int, a string, b string").repartition(3)
+    got = cascade.recognize_jobs(df, ["job"], ["k"], ["a", "b"], readers, second, retry=retry, batch=batch)
+    assert {(r.job, r.k): (r.text, r.reviewed, r.engine_language) for r in got.collect()} == want

@@ -182,16 +182,6 @@ def test_job_scan_and_log(spark, tmp_path):
     assert [r.row.text for r in log.where("not bad").orderBy("line").collect()] == ["a b", "c"]
 
 
-def test_srt_source(spark, tmp_path):
-    from cuelake.sources import srt
-
-    srt.register(spark)
-    rows = spark.createDataFrame([("a", 1, 0.0, 1.25, "Hello"), ("a", 2, 2.0, 3.0, "two\nlines"), ("b", 1, 1.0, 2.0, "x")], "job_id string, cue_no long, start double, end double, text string")
-    rows.repartition("job_id").sortWithinPartitions("job_id", "start").write.format("srt").mode("append").save(str(tmp_path / "srt"))
-    back = spark.read.format("srt").load(str(tmp_path / "srt"))
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
-
-
 def drawn(height=240, width=420, top=150):
     image = np.full((height, width, 3), 30, np.uint8)
     for k in range(40, width - 40, 12):
