@@ -141,9 +141,65 @@ def drop_contained(cues: DataFrame, key: str, share: float = 0.8) -> DataFrame:
     return _keyed_as(rows.mapInPandas(fold, f"{key} string, {CUE}"), key, cues)
 
 
+class ClosedCues:
+    """The later passes over a job's closed cues, one by one: contained fragments extend the last cue kept, identical neighbours become one."""
+
+    def __init__(self, share: float = 0.8, most_gap: float = 0.5) -> None:
+        self.share, self.most_gap = share, most_gap
+        self.kept: list | None = None  # text, norm, start, end
+        self.run: list | None = None  # text, norm, start, end of the last one in it
+
+    def _joined(self, cue: list) -> list[tuple[str, float, float]]:
+        if self.run and self.run[1] == cue[1] and cue[2] - self.run[3] <= self.most_gap:
+            self.run[3] = cue[3]
+            return []
+        done, self.run = self.run, list(cue)
+        return [(done[0], done[2], done[3])] if done else []
+
+    def take(self, text: str, norm: str, start: float, end: float) -> list[tuple[str, float, float]]:
+        """Add a cue; returns those that are done."""
+        if self.kept and norm and norm in self.kept[1] and len(norm) <= len(self.kept[1]) * self.share:
+            self.kept[3] = max(self.kept[3], end)
+            return []
+        done, self.kept = self.kept, [text, norm, start, end]
+        return self._joined(done) if done else []
+
+    def close(self) -> list[tuple[str, float, float]]:
+        """What is left at a job's end."""
+        out = self._joined(self.kept) if self.kept else []
+        out += [(self.run[0], self.run[2], self.run[3])] if self.run else []
+        self.kept = self.run = None
+        return out
+
+
 def build_cues(samples: DataFrame, key: str, fps: float, min_length: int = 2, similarity: float = 0.72) -> DataFrame:
-    """All passes: sessions, then contained fragments, then identical neighbours."""
-    return merge_identical(drop_contained(sessions(prepared(samples, min_length), key, fps, similarity), key), [key])
+    """All passes: sessions, then contained fragments, then identical neighbours, in one fold over one shuffle by job.
+
+    It gives what ``sessions``, ``drop_contained`` and ``merge_identical`` give one after another.
+    """
+    span = 1.0 / fps
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, cue, later = None, OpenCue(), ClosedCues()
+
+        def ended() -> list:
+            norm, last = cue.norm, cue.close()
+            return (later.take(last[0], norm, *last[1:]) if last else []) + later.close()
+
+        for b in batches:
+            out = []
+            for k, ts, text, norm in zip(b[key], b["ts"], b["clean"], b["norm"], strict=True):
+                if k != job:
+                    out += [(job, *c) for c in ended()]
+                    job = k
+                before = cue.norm
+                if done := cue.take(ts, None if text is None or text != text else text, norm or "", span, similarity):
+                    out += [(job, *c) for c in later.take(done[0], before, *done[1:])]
+            yield pd.DataFrame(out, columns=[key, "text", "start", "end"])
+        yield pd.DataFrame([(job, *c) for c in ended()], columns=[key, "text", "start", "end"])
+
+    rows = prepared(samples, min_length).select(F.col(key).cast("string").alias(key), "ts", "clean", "norm").repartition(key).sortWithinPartitions(key, "ts")
+    return _keyed_as(rows.mapInPandas(fold, f"{key} string, {CUE}"), key, samples)
 
 
 def caption_files(cues: DataFrame, keys: list[str]) -> DataFrame:

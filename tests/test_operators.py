@@ -42,6 +42,18 @@ def test_exact_sessions_agree_with_the_fold(spark):
     assert fold == sorted(map(tuple, cues.exact_sessions(df, ["job"], 2.0).select("job", "text", "start", "end").collect()))
 
 
+def test_one_fold_is_three_passes(spark):
+    rng = random.Random(7)
+    said = [None, "", "...", "all driving scenarios and all climate conditions.", "scenarios and all climate conditions.", "climate conditions.", "Another line!", "another line", "another lime", "word"]
+    rows = [(rng.choice([f"j{j}", None]) if j == 3 else f"j{j}", t / 2, rng.choice(said)) for j in range(25) for t in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "job string, ts double, text string").dropDuplicates(["job", "ts"])
+    one = cues.build_cues(df, "job", 2.0)
+    three = cues.merge_identical(cues.drop_contained(cues.sessions(cues.prepared(df), "job", 2.0, 0.72), "job"), ["job"])
+    assert sorted(map(str, one.select("job", "text", "start", "end").collect())) == sorted(map(str, three.select("job", "text", "start", "end").collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION") == 1 and plan.count("MapInPandas") == 1
+
+
 def test_islands_match_a_loop(spark):
     rng = random.Random(2)
     rows = [(j, i, None if rng.random() < 0.2 else sorted(rng.sample(range(5), rng.randint(0, 3)))) for j in range(20) for i in range(12)]
