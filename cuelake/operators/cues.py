@@ -14,8 +14,10 @@ from cuelake.functions.text import clean_text, normalize
 from cuelake.functions.timecode import srt_timestamp
 from cuelake.operators import scan
 from cuelake.operators.sequence import ordered
+from cuelake.staging import staged
 
 SAMPLE = "ts double, clean string, norm string"
+CUE_COLUMNS = ["text", "start", "end"]
 CUE = "text string, start double, end double"
 
 
@@ -121,24 +123,67 @@ def merge_identical(cues: DataFrame, keys: list[str], most_gap: float = 0.5, cut
     return runs.groupBy(*keys, "run").agg(F.min_by("text", "start").alias("text"), F.min("start").alias("start"), F.max_by("end", "start").alias("end")).drop("run")
 
 
-def drop_contained(cues: DataFrame, key: str, share: float = 0.8) -> DataFrame:
-    """A cue whose form lies inside that of the last cue kept, and is clearly shorter, only extends it."""
+def drop_contained(cues: DataFrame, key: str, share: float = 0.8, cut: DataFrame | None = None) -> DataFrame:
+    """A cue whose form lies inside that of the last cue kept, and is clearly shorter, only extends it.
+
+    cut: what ``scan.cuts`` gave for the samples' keys and times; the cues of huge jobs are then folded in segments. A cue that a
+    segment's first cues lie in can only take a beginning of what the segment kept, so the segments' last cues decide the rest, in a few rounds over one row a segment.
+    """
+    by = [key] if cut is None else [key, scan.SEGMENT]
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job, kept = None, None
         for b in batches:
             out = []
-            for k, text, start, end, norm in zip(b[key], b["text"], b["start"], b["end"], b["norm"], strict=True):
-                if kept and k == job and norm and norm in kept[4] and len(norm) <= len(kept[4]) * share:
-                    kept[3] = max(kept[3], end)
+            for *k, text, start, end, norm in zip(*(b[c] for c in by), b["text"], b["start"], b["end"], b["norm"], strict=True):
+                if kept and k == job and norm and norm in kept[-1] and len(norm) <= len(kept[-1]) * share:
+                    kept[-2] = max(kept[-2], end)
                     continue
                 if kept:
-                    out.append(kept[:4])
-                job, kept = k, [k, text, start, end, norm]
-            yield pd.DataFrame(out, columns=[key, "text", "start", "end"])
-        yield pd.DataFrame([kept[:4]] if kept else [], columns=[key, "text", "start", "end"])
-
-    rows = cues.select(F.col(key).cast("string").alias(key), "text", "start", "end", normalize(F.col("text")).alias("norm")).repartition(key).sortWithinPartitions(key, "start")
-    return _keyed_as(rows.mapInPandas(fold, f"{key} string, {CUE}"), key, cues)
+                    out.append(kept)
+                job, kept = k, [*k, text, start, end, norm]
+            yield pd.DataFrame(out, columns=[*by, *CUE_COLUMNS, "norm"])
+        yield pd.DataFrame([kept] if kept else [], columns=[*by, *CUE_COLUMNS, "norm"])
+
+    rows = cues if cut is None else scan.segmented(cues, [key], ["start"], cut=cut)
+    if scan.SEGMENT not in rows.columns:
+        by = [key]
+    rows = rows.select(F.col(key).cast("string").alias(key), *by[1:], *CUE_COLUMNS, normalize(F.col("text")).alias("norm")).repartition(*by).sortWithinPartitions(*by, "start")
+    kept = rows.mapInPandas(fold, f"{key} string, {'' if len(by) == 1 else scan.SEGMENT + ' int, '}{CUE}, norm string")
+    if len(by) > 1:
+        kept = _across_segments(staged(kept, "kept-cues"), key, share)
+    return _keyed_as(kept.select(key, *CUE_COLUMNS), key, cues)
+
+
+def _across_segments(kept: DataFrame, key: str, share: float) -> DataFrame:
+    """Cues kept inside segments, after cues of earlier segments have taken the beginnings that lie in them."""
+    spark, part = kept.sparkSession, scan.SEGMENT
+    many = kept.groupBy(key).agg(F.max(part).alias("most")).where("most > 0").select(F.col(key).alias("__many"))  # jobs that were cut
+    cue = F.struct(F.col(part).alias("of"), "start", "norm")
+    lasts = [(r[0], r[1], tuple(r[2])) for r in kept.join(many, kept[key].eqNullSafe(many["__many"]), "left_semi").groupBy(key, part).agg(F.max_by(cue, "start")).orderBy(key, part).collect()]  # one row a segment
+    schema = "__key string, __part int, incoming struct<of: int, start: double, norm: string>"
+    own, before = {r[:2]: r[2] for r in lasts}, {b[:2]: a[:2] for a, b in zip(lasts, lasts[1:], strict=False) if a[0] == b[0]}
+    last = dict(own)
+    while True:
+        told = [(*at, last[prior]) for at, prior in before.items()]
+        sent = spark.createDataFrame(told, schema)
+        inside = F.coalesce((F.col("norm") != "") & F.contains("incoming.norm", "norm") & (F.length("norm") <= F.length("incoming.norm") * share), F.lit(False))
+        rows = kept.join(F.broadcast(sent), kept[key].eqNullSafe(sent["__key"]) & (kept[part] == sent["__part"]), "left").drop("__key", "__part").withColumn("inside", inside)
+        first = rows.where("incoming is not null").groupBy(key, part).agg(F.min(F.when(~F.col("inside"), F.col("start"))).alias("stays"))
+        whole = {(r[0], r[1]) for r in first.where("stays is null").select(key, part).collect()}
+        now = dict(own)
+        for at, prior in before.items():  # in order: what took a whole segment goes on to the next
+            now[at] = now[prior] if at in whole else own[at]
+        if now == last:
+            break
+        last = now
+    stays = first.select(F.col(key).alias("__key"), F.col(part).alias("__part"), F.coalesce("stays", F.lit(float("inf"))).alias("stays"))
+    at = rows.join(F.broadcast(stays), rows[key].eqNullSafe(stays["__key"]) & (rows[part] == stays["__part"]), "left").drop("__key", "__part")
+    at = at.withColumn("gone", F.coalesce(F.col("start") < F.col("stays"), F.lit(False)))
+    longer = at.where("gone").groupBy(F.col(key).alias("__key"), F.col("incoming.of").alias("__of"), F.col("incoming.start").alias("__start")).agg(F.max("end").alias("upto"))
+    own_rows = at.where("not gone")
+    both = own_rows.join(F.broadcast(longer), own_rows[key].eqNullSafe(longer["__key"]) & (own_rows[part] == longer["__of"]) & (own_rows["start"] == longer["__start"]), "left")
+    return both.withColumn("end", F.greatest("end", "upto"))
 
 
 class ClosedCues:

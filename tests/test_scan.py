@@ -130,3 +130,22 @@ def test_one_job_of_all_rows_is_many_tasks(spark, name):
     plan = CHAINS[name](df)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all(scan.SEGMENT in line or "__of" in line for line in windows)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_contained_cues_of_a_huge_job(spark, seed):
+    rng = random.Random(seed)
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    long = " ".join(words)
+    said = []
+    for k in range(700):
+        a = rng.randrange(12)
+        said.append(rng.choice([long, "...", "another cue of some length"]) if rng.random() < 0.02 else " ".join(words[a : a + rng.randint(1, 4)]))
+    said[100:420] = [" ".join(words[2:5])] * 320  # whole segments that an earlier cue takes
+    said[99] = long
+    big = None if seed == 3 else "big"
+    rows = [(big, float(k), k + (1.0 if k % 7 else 5.0), t) for k, t in enumerate(said)] + [(j, float(k), k + 1.0, said[k]) for j in ("a", "b") for k in range(20)]
+    df = spark.createDataFrame(rows, "job string, start double, end double, text string").repartition(4)
+    cut = scan.cuts(df, KEYS, ["start"], 11)
+    assert cut.first()[scan.CUTS] and len(cut.first()[scan.CUTS]) >= 5
+    assert answers(cues.drop_contained(df, "job", cut=cut), lambda x: x) == answers(cues.drop_contained(df, "job"), lambda x: x)
