@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Sampled rows a segment; with parts it bounds what the driver sees.
 PER_PART = 64
-SEGMENT, CUTS, WIDE = "__segment", "__cuts", 32
+SEGMENT, CUTS, COARSE, WIDE = "__segment", "__cuts", "__coarse", 32
 #: How each kind of value is folded over a window, and how what came before joins the value inside.
 FOLDS: dict[str, Callable[..., Column]] = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda v: F.last(v, ignorenulls=True), "first": lambda v: F.first(v, ignorenulls=True)}
 JOINS: dict[str, Callable[[Column, Column], Column]] = {
@@ -36,12 +36,13 @@ def _same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
 
 
 def cuts(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
-    """(__key0.., __cuts): where the jobs that hold over a parts-th of the rows are cut, at most about ``parts`` cuts in all."""
+    """(__key0.., __cuts, __coarse): where the jobs that hold over a parts-th of the rows are cut, at most about ``parts`` cuts in all, and every 32nd of them."""
     narrow = df.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.struct(*order).alias("__at"))
     share = PER_PART * parts / max(1, narrow.count())
     seen = narrow.sample(share, seed=7) if share < 1 else narrow
     placed = F.filter(F.array_sort(F.collect_list("__at")), lambda x, i: (i > 0) & (i % PER_PART == 0))
     hot = seen.groupBy(*narrow.columns[:-1]).agg(F.array_distinct(placed).alias(CUTS)).where(F.size(CUTS) > 0)
+    hot = hot.withColumn(COARSE, F.filter(CUTS, lambda _, i: i % WIDE == WIDE - 1))
     return df.sparkSession.createDataFrame(hot.collect(), hot.schema)  # fixed from here on: a second evaluation can't cut elsewhere
 
 
@@ -58,9 +59,9 @@ def segmented(df: DataFrame, keys: list[str], order: list[str], parts: int | Non
     names = {k: f"__key{i}" for i, k in enumerate(keys)}
     rows = df.join(F.broadcast(hot), _same(df, hot, names), "left").drop(*names.values())
     at, c = F.struct(*order), F.col(CUTS)
-    wide = F.filter(c, lambda x, i: (i % WIDE == WIDE - 1) & (x <= at))  # first among every 32nd, then in one stretch of 32
-    place = F.size(wide) * WIDE + F.size(F.filter(F.slice(c, F.size(wide) * WIDE + 1, WIDE), lambda x: x <= at))
-    return rows.withColumn(SEGMENT, F.when(c.isNull(), F.lit(0)).otherwise(place))
+    first = F.size(F.filter(COARSE, lambda x: x <= at)) * WIDE  # among every 32nd, then in one stretch of 32
+    place = first + F.size(F.filter(F.slice(c, first + 1, WIDE), lambda x: x <= at))
+    return rows.withColumn(SEGMENT, F.when(c.isNull(), F.lit(0)).otherwise(place)).drop(COARSE)
 
 
 def whole(df: DataFrame) -> DataFrame:
