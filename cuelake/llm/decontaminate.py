@@ -64,14 +64,14 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts; an item is an id and a text, so an id may have several."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
-        self.items, self.rate = {i: normal(t) for i, t in items if t and normal(t)}, rate
+        self.items, self.rate = list(dict.fromkeys((i, normal(t)) for i, t in items if t and normal(t))), rate
         places: dict[str, list[tuple[int, int]]] = {}
-        for i, t in self.items.items():
+        for k, (_, t) in enumerate(self.items):
             for at, p in pieces(t, rate):
-                places.setdefault(p, []).append((i, at))
+                places.setdefault(p, []).append((k, at))
         self.machine = ahocorasick.Automaton()
         for p, where in places.items():
             self.machine.add_word(p, (len(p), where))
@@ -88,8 +88,8 @@ class Matcher:
             for i, at in where:
                 spots.setdefault(i, []).append(end + 1 - size - at)
         found = []
-        for i, starts in spots.items():
-            item = self.items[i]
+        for place, starts in spots.items():
+            i, item = self.items[place]
             k, n = int(len(item) * self.rate), len(item)
             best, upto = None, None
             for s in sorted(starts):
@@ -112,11 +112,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
 
     docs: doc_id, text; benchmark: item_id, text. Null and blank texts match nothing. The items are a query set: they
     are searched in blocks of a fixed count, one pass over the documents a block, so an automaton has a proven bound.
-    Repeated documents repeat their rows, of repeated items one counts; other columns are left out.
+    Repeated documents repeat their rows. Equal items count once, each different text of an id counts alone, and items
+    with a null id have a null item_id, whatever the blocks. Items below 13 letters have no edits and match inside words
+    too. Empty tables give no rows; other columns are left out.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     schema = "doc_id long, item_id long, distance int, end long"
 
     def search(part: list[tuple[int, str]]) -> DataFrame:
@@ -143,9 +145,13 @@ def item_blocks(items: DataFrame, block: int) -> list[list[tuple[int, str]]]:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The documents that hold no item, whole rows; each row is judged by its own text, so ids may repeat or be null."""
+    """The documents that hold no item, whole rows; each row is judged by its own text, so ids may repeat or be null.
+
+    Null and blank texts hold none and stay. Items count by their texts, whatever their ids. Repeated rows stay or go
+    together. Empty tables change nothing; columns stay as they are, whatever their names.
+    """
     small_batches(docs.sparkSession)
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.lit(0).cast("long").alias("item_id"), "text").distinct()
 
     def keep(docs: DataFrame, part: list[tuple[int, str]]) -> DataFrame:
         at = docs.columns.index("text")
