@@ -22,17 +22,20 @@ Equal texts are one text throughout, however many documents hold it; of LENGTH b
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm.common import join_by_unique, small_batches, staged, text_or_empty
 
 LENGTH, GRAM, TOKEN = 400, 32, 8
+#: Rows sampled a bucket for the splitters, and how many of these are searched at once.
+SAMPLED, STEP = 64, 64
 MANY, SPLIT, BUCKET_BYTES = 2048, 8, 2 << 20
 _PLACE_BITS = 18
 _PLACES = np.uint64((1 << _PLACE_BITS) - 1)
@@ -176,11 +179,20 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
     return held.withColumn("o", F.monotonically_increasing_id())
 
 
-def _splitters(open_: DataFrame, parts: int) -> list[int]:
-    """Where the buckets of leading tokens part: even shares of a sample of them."""
-    share = min(1.0, parts * 200 / max(1, open_.count()))
-    some = sorted(r[0] for r in open_.sample(share, seed=7).select("token").collect())
-    return [some[len(some) * k // parts] for k in range(1, parts)] if len(some) >= parts else []
+def _splitters(open_: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Where the buckets part, as (leading token, gram): even shares of a sample, so a common token is cut between its grams."""
+    share = min(1.0, parts * SAMPLED / max(1, open_.count()))
+    some = sorted((r[0], r[1]) for r in open_.sample(share, seed=7).select("token", "lead").collect())
+    return sorted({some[len(some) * k // parts] for k in range(1, parts)}) if len(some) >= parts else []
+
+
+def _bucket(splitters: list[tuple[int, int]]) -> Column:
+    """How many splitters a row's (token, lead) has reached: among every STEP-th of them, then in one stretch."""
+    kind, at = "array<struct<t:bigint,l:bigint>>", F.struct(F.col("token").alias("t"), F.col("lead").alias("l"))
+    listed = lambda some: F.from_json(F.lit(json.dumps([{"t": t, "l": x} for t, x in some])), kind)  # noqa: E731  one literal in the plan
+    reached = lambda c: F.size(F.filter(c, lambda x: x <= at))
+    first = reached(listed(splitters[STEP - 1 :: STEP])) * STEP
+    return first + reached(F.slice(listed(splitters), first + 1, STEP))
 
 
 def _stretch_rows(held: DataFrame, hot: bool, length: int) -> DataFrame:
@@ -203,7 +215,7 @@ def _stretch_rows(held: DataFrame, hot: bool, length: int) -> DataFrame:
     return some.mapInArrow(run, "b long, lead long, token long, lo int, hi int, part binary")
 
 
-def _sorted_repeats(rows: DataFrame, splitters: list[int], length: int) -> DataFrame:
+def _sorted_repeats(rows: DataFrame, splitters: list[tuple[int, int]], length: int) -> DataFrame:
     """(b, start, end) of what repeats, from stretches in buckets of leading tokens; a bucket is sorted in slices between grams."""
     kinds = {"b": pa.int64(), "start": pa.int32(), "end": pa.int32()}
 
@@ -228,8 +240,7 @@ def _sorted_repeats(rows: DataFrame, splitters: list[int], length: int) -> DataF
         if held:
             yield from settle()
 
-    edges = F.array(*[F.lit(x) for x in splitters]).cast("array<long>")
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("token"))) if splitters else F.lit(0)
+    bucket = _bucket(splitters) if splitters else F.lit(0)
     ordered = rows.withColumn("bucket", bucket.cast("int")).repartitionById(len(splitters) + 1, "bucket").sortWithinPartitions("token", "lead")
     return ordered.select("b", "lead", "lo", "hi", "part").mapInArrow(run, "b long, start int, end int")
 
