@@ -99,5 +99,5 @@ def test_replies(spark):
     assert got == [{1: "Fixed"}, {}, {2: "two"}, {1: "just text"}, {3: "three"}, {1: "{}"}, {}, {4: "four"}]
     body = '{"choices":[{"message":{"content":"hi"}}]}'
     assert values(spark, [body, '{"output_text":"yo"}', "{}"], lambda c: replies.reply_text(F.lit("openai"), c)) == ["hi", "yo", ""]
-    assert values(spark, ['{"content":[{"text":"a"},{"text":"b"}]}'], lambda c: replies.reply_text(F.lit("anthropic"), c)) == ["ab"]
+    assert values(spark, ['{"content":[{"text":"a"},{"text":"b"}]}'], lambda c: replies.reply_text(F.lit("anthropic"), c)) == ["a\nb"]  # blocks are lines
     assert values(spark, ['{"error":"bad"}', '{"error":{"message":"m"}}', '{"ok":false,"message":"no"}', '{"message":"fine"}'], replies.error_text) == ["bad", "m", "no", ""]
