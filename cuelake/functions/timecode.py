@@ -30,11 +30,11 @@ def clock(seconds: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes in units of 1024, one decimal below ten but for bytes."""
+    """Bytes in units of 1024, one decimal below ten but for bytes; halves round to even."""
     units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB")])
     k = F.least(F.floor(F.log2(F.greatest(n, F.lit(1))) / 10), F.lit(3)).cast("int")
     value = n / F.pow(F.lit(1024.0), k)
-    return F.when(n > 0, F.concat(F.when((value >= 10) | (k == 0), F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value)), F.lit(" "), F.get(units, k))).otherwise(F.lit("0 B"))
+    return F.when(n > 0, F.concat(F.when((value >= 10) | (k == 0), F.format_string("%.0f", F.bround(value))).otherwise(F.format_string("%.1f", F.bround(value, 1))), F.lit(" "), F.get(units, k))).otherwise(F.lit("0 B"))
 
 
 def age_text(then: Column, now: Column) -> Column:
