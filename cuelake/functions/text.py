@@ -54,6 +54,8 @@ REPAIRS = [
 ]
 
 SPACE = r"[\s\x1c-\x1f]"
+# The same characters as (?U)SPACE finds, by number: a search in letters and digits is several times as fast.
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
@@ -64,7 +66,12 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Stripped, with every white-space run as one space."""
-    return strip(F.regexp_replace(c, f"(?U){SPACE}+", " "))
+    return strip(_single_spaces(c))
+
+
+def _single_spaces(c: Column) -> Column:
+    """Every white-space run as one space; a single space is no match, so most texts are only searched."""
+    return F.regexp_replace(c, f"[{BLANKS}&&[^ ]][{BLANKS}]*| [{BLANKS}]+", " ")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,21 +88,29 @@ def in_class(chars: str) -> str:
     return "".join("\\" + x if x in "[]\\^-&" else x for x in chars)
 
 
+def _by_halves(chars: str) -> tuple[str, str]:
+    """The ASCII characters as the inside of a class, and a class of the others that looks at its range first."""
+    wide = sorted(x for x in chars if x > "\x7f")
+    return in_class("".join(x for x in chars if x <= "\x7f")), f"[{wide[0]}-{wide[-1]}&&[{in_class(''.join(wide))}]]"
+
+
 def real_share(c: Column) -> Column:
     """Share of letters, digits and known punctuation."""
-    kept = F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{in_class(PUNCTUATION)}]", "")
-    return F.length(kept) / F.greatest(F.length(c), F.lit(1))
+    plain, wide = _by_halves(PUNCTUATION)
+    other = F.regexp_replace(c, rf"[A-Za-z0-9{plain}]+|\p{{L}}|\p{{N}}|{wide}", "")
+    return (F.length(c) - F.length(other)) / F.greatest(F.length(c), F.lit(1))
 
 
 def clean_text(c: Column, min_length: Column | int = 2) -> Column:
     """Squeezed and trimmed text; null if it is short or mostly symbols."""
-    t = F.btrim(squeeze(c), F.lit(TRIM_CHARS))
-    return F.when((c != "") & (F.length(t) >= min_length) & (real_share(t) >= LEAST_REAL_SHARE), t)
+    told = lambda t: F.when((F.length(t) >= min_length) & (real_share(t) >= LEAST_REAL_SHARE), t)
+    return F.when(c != "", let(F.btrim(_single_spaces(c), F.lit(TRIM_CHARS)), told))  # TRIM_CHARS has the space
 
 
 def normalize(c: Column) -> Column:
     """Lower case without punctuation and ASCII white space: the form that similarity compares."""
-    return F.translate(F.lower(c), NORMALIZE_DELETES, "")
+    plain, wide = _by_halves(NORMALIZE_DELETES)
+    return F.regexp_replace(F.lower(c), f"[{plain}]+|{wide}", "")
 
 
 def compact(c: Column) -> Column:

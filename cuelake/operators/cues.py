@@ -22,8 +22,12 @@ CUE = "text string, start double, end double"
 
 
 def prepared(samples: DataFrame, min_length: int = 2, text: str = "text") -> DataFrame:
-    """The samples with clean, their cleaned text (null: none), and norm, its compared form."""
-    return samples.withColumn("clean", clean_text(F.col(text), min_length)).withColumn("norm", normalize(F.col("clean")))
+    """The samples with clean, their cleaned text (null: none), and norm, its compared form.
+
+    Texts are cleaned once a row: no filter on ``clean`` is pushed through the explode of one element, where it would clean them again.
+    """
+    once = samples.withColumn("__once", F.explode_outer(F.array(F.struct(clean_text(F.col(text), min_length).alias("clean")))))
+    return once.withColumn("clean", F.col("__once.clean")).drop("__once").withColumn("norm", normalize(F.col("clean")))
 
 
 def similar(left: str, right: str, threshold: float) -> bool:

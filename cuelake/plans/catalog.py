@@ -39,6 +39,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", F.col("pos").cast("long").alias("pos"), (F.col("pos") / FPS).alias("ts"), "line")
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt by document before they are cleaned, so that all tasks share that work in whatever few pieces the table is stored."""
+    return cues.prepared(lines(spark, sf_dir).withColumnRenamed("line", "text").repartition("doc_id"))
+
+
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as position sets of their positive parts, eight sequences by vec_id."""
     rows = table(spark, sf_dir, "embeddings")
@@ -209,8 +214,7 @@ def stream_parse(spark, sf_dir):
 
 
 def _exact(spark, sf_dir) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumnRenamed("line", "text")
-    return cues.merge_identical(cues.exact_sessions(cues.prepared(rows), ["doc_id"], FPS), ["doc_id"])
+    return cues.merge_identical(cues.exact_sessions(samples(spark, sf_dir), ["doc_id"], FPS), ["doc_id"])
 
 
 @query(sql.CUES_EXACT)
@@ -223,7 +227,7 @@ def cues_exact(spark, sf_dir):
 @query(sql.CUES_IDENTICAL)
 def cues_identical(spark, sf_dir):
     """Lines as cues, identical neighbours merged."""
-    rows = cues.prepared(lines(spark, sf_dir).withColumnRenamed("line", "text")).where("clean is not null")
+    rows = samples(spark, sf_dir).where("clean is not null")
     as_cues = rows.select("doc_id", F.col("clean").alias("text"), F.col("ts").alias("start"), (F.col("ts") + 1 / FPS).alias("end"))
     out = cues.merge_identical(as_cues, ["doc_id"])
     return out.select("doc_id", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
@@ -232,7 +236,7 @@ def cues_identical(spark, sf_dir):
 @query(sql.CUES_CONTAINED)
 def cues_contained(spark, sf_dir):
     """Lines as cues, fragments of the cue before dropped."""
-    rows = cues.prepared(lines(spark, sf_dir).withColumnRenamed("line", "text")).where("clean is not null")
+    rows = samples(spark, sf_dir).where("clean is not null")
     as_cues = rows.select("doc_id", F.col("clean").alias("text"), F.col("ts").alias("start"), (F.col("ts") + 1 / FPS).alias("end"))
     out = cues.drop_contained(as_cues, "doc_id")
     return out.select("doc_id", "text", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))

@@ -1,7 +1,9 @@
 """Costly text expressions are evaluated once: of a row, or of a word."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from cuelake.functions import text
 from cuelake.plans import catalog
 
 
@@ -22,3 +24,18 @@ def test_words_are_counted_before_they_are_judged(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, df.collect()), key=str) == sorted(con.execute(catalog.SQL["word_shapes"]).fetchall(), key=str)
+
+
+def test_a_line_is_cleaned_once(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["One line\nOne\n\n two  lines ", None])
+    for name in ("cues_contained", "cues_identical"):
+        assert plan_of(catalog.QUERIES[name](spark, sf)).count(text.TRIM_CHARS) == 1
+    assert [r.text for r in catalog.cues_contained(spark, sf).orderBy("start").collect()] == ["One line", "two lines"]
+
+
+def test_classes_by_number_are_the_classes_by_name(spark):
+    rows = spark.range(1, 0x110000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    c = F.concat(F.lit("aB "), "c", "c", F.lit(" ,"), "c")
+    share = F.length(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{text.in_class(text.PUNCTUATION)}]", "")) / F.greatest(F.length(c), F.lit(1))
+    same = (text.strip(F.regexp_replace(c, f"(?U){text.SPACE}+", " ")) == text.squeeze(c)) & (share == text.real_share(c)) & (F.translate(F.lower(c), text.NORMALIZE_DELETES, "") == text.normalize(c))
+    assert rows.count() == 0x10FFFF - 2048 and rows.where(~same).count() == 0
