@@ -121,8 +121,9 @@ def merge_identical(cues: DataFrame, keys: list[str], most_gap: float = 0.5, cut
     cut: what ``scan.cuts`` gave for the samples' keys and times; it cuts the cues of huge jobs alike.
     """
     rows = scan.whole(cues) if cut is None else scan.segmented(cues, keys, ["start"], cut=cut)
-    near = scan.beside(rows, keys, ["start"], {"__norm": (-1, normalize(F.col("text"))), "__end": (-1, F.col("end"))})
-    joins = (F.col("__norm") == normalize(F.col("text"))) & (F.col("start") - F.col("__end") <= most_gap)
+    rows = rows.withColumn("__form", normalize(F.col("text")))
+    near = scan.beside(rows, keys, ["start"], {"__norm": (-1, F.col("__form")), "__end": (-1, F.col("end"))})
+    joins = (F.col("__norm") == F.col("__form")) & (F.col("start") - F.col("__end") <= most_gap)
     runs = scan.running(near, keys, ["start"], {"run": ("sum", (~F.coalesce(joins, F.lit(False))).cast("long"))})
     return runs.groupBy(*keys, "run").agg(F.min_by("text", "start").alias("text"), F.min("start").alias("start"), F.max_by("end", "start").alias("end")).drop("run")
 
