@@ -9,9 +9,10 @@ A key shared by over BUCKET fingerprints doesn't list its pairs. Its fingerprint
 one-bit neighbours instead: two that differ in at most 2 bits have one in common, all that
 have one in common differ in at most 2 bits, and at most 65 can. That is as exact, and linear.
 
-The stage that keeps one document of each class links five-word shingle sets alike to 0.8. There 64 SimHash bits differ in
-about 10, so no selective key of bits survives. Its ring has letters in place of bits: 64 least hashes of the
-shingles, of which such sets share about 51. Chains and budgets are the same.
+The stage that keeps one document of each class links five-word shingle sets alike to 0.8. Fingerprints of those shingles go
+through the same ring first, and whole sets decide their links. At 0.8, though, 64 SimHash bits differ in about 10, so no selective
+key of bits finds all. A second ring finds the rest, with letters in place of bits: 64 least hashes of the
+shingles, of which such sets share about 51.
 """
 
 from __future__ import annotations
@@ -140,16 +141,18 @@ def agreement(x: list[bytes], y: list[bytes]) -> np.ndarray:
 
 
 def text_nodes(docs: DataFrame) -> DataFrame:
-    """(node, digest, doc_id, sketch) of every different text: a number, its digest, the least doc_id that holds it."""
+    """(node, digest, doc_id, sketch, fp) of every different text: a number, its digest, the least doc_id that holds it, the fingerprint of its five-word shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([sketch(t) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "digest", "sketch"])
+            texts = b.column("text").to_pylist()
+            fps = np.fromiter((simhash(t, STAGE_SHINGLE) for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array([sketch(t) for t in texts], pa.binary()), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "sketch", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), text_or_empty().alias("text"))
-    told = rows.mapInArrow(run, "doc_id long, digest binary, sketch binary")
-    nodes = told.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    told = rows.mapInArrow(run, "doc_id long, digest binary, sketch binary, fp long")
+    nodes = told.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     return staged(nodes.withColumn("node", F.monotonically_increasing_id()), "text-nodes")  # numbers hold once they are written
 
 
@@ -158,6 +161,13 @@ def text_digest() -> Column:
     return F.unhex(F.md5(text_or_empty()))
 
 
+def fingerprint_pairs(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): what the pigeonring links by fingerprints, through one node of each, and that node beside all others of its fingerprint."""
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "stage-fingerprints")
+    same = join_by_unique(nodes.select("fp", F.col("node").alias("b")), heads, "fp", F.col("b"), "inner", counted="n").where("head <> b").select(F.col("head").alias("a"), "b")
+    return links(heads.select("fp", F.col("head").alias("node")), bucket).unionByName(same)
+
+
 def ring_keys(nodes: DataFrame) -> DataFrame:
     """(key, segment, node): each segment of a sketch as a key."""
     keys = [F.struct(F.lit(i).alias("segment"), F.xxhash64(F.substring("sketch", 2 * PART * i + 1, 2 * PART), F.lit(i)).alias("key")) for i in range(PARTS)]
@@ -289,9 +299,10 @@ def _links_in_blocks(rows: DataFrame, nodes: DataFrame, texts: DataFrame, block:
 def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block: int = MEET) -> DataFrame:
     """(node, component) of the nodes of ``text_nodes`` whose texts' five-word shingles are alike to ALIKE, through any chain of texts.
 
-    A sketch is a ring of PARTS segments of PART letters. Of two that differ in under a letter a segment, some segment is
+    Fingerprints within MOST_BITS bits make candidates by the pigeonring of ``links``. They don't tell all pairs at ALIKE, so sketches
+    make the others. A sketch is a ring of PARTS segments of PART letters. Of two that differ in under a letter a segment, some segment is
     equal and the chain from it on stays in its budget; at ALIKE an equal segment is nearly certain (all but one pair in five thousand).
-    First each text is compared to the most alike of the hubs of its keys. Then whatever else shares a key and isn't
+    First each text is compared to those that its fingerprint links, and to the most alike of the hubs of its keys. Then whatever else shares a key and isn't
     linked so far is compared too: all pairs at keys of up to ``bucket`` texts; more meet in blocks, which hold each text
     once, prune pairs by chains of two segments, and give links only.
     """
@@ -309,7 +320,9 @@ def similar_texts(docs: DataFrame, nodes: DataFrame, bucket: int = BUCKET, block
 
     hubs = likely(hub_pairs(shared), nodes)
     best = hubs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
-    first = decided(best.select("best.a", "b"), "hub")
+    by_bits = fingerprint_pairs(nodes, bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    by_letters = best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b"))
+    first = decided(by_bits.unionByName(by_letters).distinct(), "hub")
     comps = staged(connected_components(first), "hub-components")
     open_ = _crossing(shared.drop("n"), comps)
     found = _pairs_of(open_.where(F.col("m") <= bucket))
