@@ -113,6 +113,11 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), f"[{plain}]+|{wide}", "")
 
 
+def count_characters(c: Column, one: str) -> Column:
+    """How many characters a pattern finds that takes letters of runs one by one or together; none is gathered."""
+    return F.length(c) - F.length(F.regexp_replace(c, one, ""))
+
+
 def compact(c: Column) -> Column:
     """The ASCII letters and digits."""
     return F.regexp_replace(c, "[^A-Za-z0-9]", "")

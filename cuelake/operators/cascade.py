@@ -169,8 +169,8 @@ def recognize_switching(df: DataFrame, keys: list[str], order: list[str], source
     if language == "en":
         return read.withColumn("engine_language", F.lit("en"))
     told = engine_languages(read, keys, order, "text", F.lit(language), batch).drop("english")
-    same, changed = told.where(F.col("engine_language") == language), told.where(F.col("engine_language") != language)
-    return same.unionByName(recognize(changed.drop("text"), source, "text", name, partial(make, "en"), language="en"))
+    again = _recognized(told.withColumn("__changed", F.col("engine_language") != language), [source], "__again", "__changed", name, partial(make, "en"), 64, "en")
+    return again.withColumn("text", F.when(F.col("__changed"), F.col("__again")).otherwise(F.col("text"))).drop("__changed", "__again")
 
 
 def flush_rows(df: DataFrame, keys: list[str], order: list[str], batch: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuelake.functions.text import CJK, strip
+from cuelake.functions.text import CJK, count_characters, strip
 from cuelake.operators import scan
 
 
@@ -59,7 +59,7 @@ def true_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column) ->
 def english_window(df: DataFrame, keys: list[str], order: list[str], text: str, rows: int = 12) -> DataFrame:
     """english: whether the last rows' texts are mostly English, from four sums over a trailing frame."""
     t = strip(F.coalesce(F.col(text), F.lit("")))
-    counts = {"__rows": (t != "").cast("long"), "__letters": F.regexp_count(t, F.lit(r"\p{L}")), "__latin": F.regexp_count(t, F.lit("[A-Za-zİK]")), "__cjk": F.regexp_count(t, F.lit(CJK))}
+    counts = {"__rows": (t != "").cast("long"), "__letters": count_characters(t, r"[A-Za-z]+|\p{L}"), "__latin": count_characters(t, "[A-Za-zİK]+"), "__cjk": count_characters(t, f"{CJK}+")}
     c = {k: F.col(k) for k in counts}
     summed = scan.trailing(df, keys, order, rows, {k: v.cast("long") for k, v in counts.items()})
     english = (c["__rows"] >= 4) & (c["__letters"] >= 20) & (c["__latin"] >= 0.85 * c["__letters"]) & (c["__cjk"] <= 1)

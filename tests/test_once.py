@@ -39,3 +39,11 @@ def test_classes_by_number_are_the_classes_by_name(spark):
     share = F.length(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{text.in_class(text.PUNCTUATION)}]", "")) / F.greatest(F.length(c), F.lit(1))
     same = (text.strip(F.regexp_replace(c, f"(?U){text.SPACE}+", " ")) == text.squeeze(c)) & (share == text.real_share(c)) & (F.translate(F.lower(c), text.NORMALIZE_DELETES, "") == text.normalize(c))
     assert rows.count() == 0x10FFFF - 2048 and rows.where(~same).count() == 0
+
+
+def test_rows_are_looked_at_once_for_the_language_switch(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["\n".join(["this is a line of english text"] * 9), "kurz", None])
+    df = catalog.switched_readings(spark, sf)
+    assert plan_of(df).count("Relation [") == 1
+    got = {(r.doc_id, r.pos): r.engine_language for r in df.collect()}
+    assert [got[0, i] for i in range(9)] == ["ch"] * 4 + ["en"] * 5 and got[1, 0] == got[2, 0] == "ch"
