@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions.config import base_url, joined_url, model_name
 from cuelake.functions.replies import error_text, reply_text, wants_plain_retry
+from cuelake.staging import staged
 
 REPLIES = "request_key string, reply string, error string"
 INSTRUCTION = "You repair machine-read captions: spelling, spaces, punctuation. Keep language, meaning, order and names. Answer with JSON alone, without translating or explaining."
@@ -70,7 +71,7 @@ def answered(requests: DataFrame, client: Client, path: str, waves: int = 4, las
 
     client gets url and body and returns the answer's body; what it raises is stored as the error. Requests whose error is stored are
     asked again, but for errors that ``lasting`` (over the column error) holds of. Null bodies are not asked. A task that Spark repeats may ask again what it had asked.
-    requests is read once to see what is new, and once for each wave that has something new.
+    requests is read twice: to see what is new, which is written to the shared folder for the waves, and to find its answers.
     """
     spark = requests.sparkSession
 
@@ -87,7 +88,7 @@ def answered(requests: DataFrame, client: Client, path: str, waves: int = 4, las
     there = stored(spark, path)
     known = there.where(F.col("error").isNull() if lasting is None else F.col("error").isNull() | lasting).select("request_key")
     new = requests.where("body is not null").select("request_key", "url", "body").dropDuplicates(["request_key"]).join(known, "request_key", "left_anti")
-    new = new.withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(waves)))
+    new = staged(new.withColumn("wave", F.pmod(F.xxhash64("request_key"), F.lit(waves))), "new-requests")
     for r in new.select("wave").distinct().orderBy("wave").collect():  # no more than waves rows
         new.where(F.col("wave") == r.wave).drop("wave").mapInPandas(ask, REPLIES).write.mode("append").parquet(path)
     return stored(spark, path).join(requests.select("request_key").distinct(), "request_key", "left_semi")
@@ -96,10 +97,11 @@ def answered(requests: DataFrame, client: Client, path: str, waves: int = 4, las
 def replies(requests: DataFrame, client: Client, path: str, waves: int = 4) -> DataFrame:
     """requests (as of wire_requests) with text, the answer's text or null, and error.
 
-    A request that fails for its JSON mode, or gets no text in it, is asked once more by its plain body.
+    A request that fails for its JSON mode, or gets no text in it, is asked once more by its plain body. The requests are written to the
+    shared folder before each of the two rounds, so that their bodies are made once.
     """
     def told(rows: DataFrame, body: str, name: str) -> DataFrame:
-        keyed = rows.withColumn("request_key", request_key(F.col("url"), F.col(body)))
+        keyed = staged(rows.withColumn("request_key", request_key(F.col("url"), F.col(body))), "requests")
         got = answered(keyed.select("request_key", "url", F.col(body).alias("body")), client, path, waves, wants_plain_retry(F.col("error")))
         error = F.coalesce("error", F.nullif(error_text(F.col("reply")), F.lit("")))
         both = keyed.join(got, "request_key", "left").withColumn(f"{name}_error", error)

@@ -258,7 +258,7 @@ def correct(cues: DataFrame, keys: list[str], client: Callable[[str], str] | Non
     """
     if client is None:
         return cues
-    requests = correction_requests(cues, keys, size).withColumn("request_key", asking.request_key(F.lit(""), F.col("request")))
+    requests = staged(correction_requests(cues, keys, size).withColumn("request_key", asking.request_key(F.lit(""), F.col("request"))), "requests")
     told = asking.answered(requests.select("request_key", F.lit("").alias("url"), F.col("request").alias("body")), lambda _, body: client(body), replies_path or new_path(cues.sparkSession, "replies"))
     found = requests.join(told.where("error is null"), "request_key").select(*keys, "chunk", correction_map(F.col("reply")).alias("found"))
     return apply_corrections(cues, found, keys, size)

@@ -47,3 +47,11 @@ def test_rows_are_looked_at_once_for_the_language_switch(spark, tmp_path):
     assert plan_of(df).count("Relation [") == 1
     got = {(r.doc_id, r.pos): r.engine_language for r in df.collect()}
     assert [got[0, i] for i in range(9)] == ["ch"] * 4 + ["en"] * 5 and got[1, 0] == got[2, 0] == "ch"
+
+
+def test_bodies_of_requests_are_made_once(spark, tmp_path):
+    rows = [(c, t, "user", f"text {c} {t}") for c in range(4) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = catalog.service_corrections(spark, str(tmp_path))
+    assert "to_json" not in plan_of(df).replace("StructsToJson", "to_json")
+    assert sorted(map(tuple, df.collect())) == [(c, t, f"> {x}") for c, t, _, x in rows]
