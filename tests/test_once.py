@@ -41,12 +41,11 @@ def test_classes_by_number_are_the_classes_by_name(spark):
     assert rows.count() == 0x10FFFF - 2048 and rows.where(~same).count() == 0
 
 
-def test_rows_are_looked_at_once_for_the_language_switch(spark, tmp_path):
+def test_letters_of_the_english_window_are_not_gathered(spark, tmp_path):
     sf = documents(spark, tmp_path, ["\n".join(["this is a line of english text"] * 9), "kurz", None])
-    df = catalog.switched_readings(spark, sf)
-    assert plan_of(df).count("Relation [") == 1
-    got = {(r.doc_id, r.pos): r.engine_language for r in df.collect()}
-    assert [got[0, i] for i in range(9)] == ["ch"] * 4 + ["en"] * 5 and got[1, 0] == got[2, 0] == "ch"
+    df = catalog.english_window(spark, sf)
+    assert "extract_all" not in plan_of(df) and "regexp_count" not in plan_of(df)
+    assert {r.pos for r in df.where("english").collect()} == set(range(3, 9))
 
 
 def test_bodies_of_requests_are_made_once(spark, tmp_path):
