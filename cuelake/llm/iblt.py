@@ -2,9 +2,9 @@
 
 A text's paragraphs are its lines, long lines cut after every second sentence, and after 160 letters without one. Their 64-bit digests go into a sketch of 3
 tables of 8 cells; a cell holds how many digests fell into it, their exclusive or, and that of the digests' check
-hashes. Two versions' sketches subtract cell by cell: what they share cancels. A cell left with one digest gives it
+hashes. One version's digests are taken out of the other's sketch: what they share cancels. A cell left with one digest gives it
 up, which frees others, until nothing is left (the difference is known) or no cell is pure. Then the sketch is retried
-four times as large, as four sketches of the digests by their next two hash bits; only those that fail grow again. So
+2 to 16 times as large, by the sets' sizes, as that many sketches of the digests by another hash; only those that fail grow again. So
 the work is linear in the paragraphs that differ and no array outgrows its document's.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.common import staged, text_or_empty
 
 TABLES, CELLS, ROUNDS, LEVELS = 3, 8, 8, 32
+PART = 12  # digests of both sets that a part of a retry holds, about: 85 of 100 sketches give up so many that differ
 PARAGRAPH = r"(?:[^.!?\n]{0,160}+[.!?]++){1,2}|[^.!?\n]{1,160}+"
 BLOCK_BITS, GROUP_BITS, FEW = 5, 12, 10_000
 LEAST = -(1 << 63)
@@ -34,32 +35,28 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _spot(key: Column, table: Column | int, level: int) -> Column:
-    """The cell of a digest in a table; every level reads other bits."""
-    by = (F.lit(table) if isinstance(table, int) else table) * 3 + 9 * (level % 6)
-    return F.call_function("shiftrightunsigned", key, by.cast("int")).bitwiseAND(F.lit(CELLS - 1))
+def _inside(key: Column, i: int, level: int) -> Column:
+    """Whether a digest falls into cell i of all tables' cells; every level reads other bits."""
+    low = i // CELLS * 3 + 9 * (level % 6)
+    return key.bitwiseAND(F.lit(CELLS - 1 << low)) == F.lit(i % CELLS << low)
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), h.cast("long").alias("h"))
 
 
-def _empty() -> Column:
-    return _cell(F.lit(0), F.lit(0), F.lit(0))
-
-
-def sketch(keys: Column, level: int = 0) -> Column:
-    """The cells of a set of digests."""
-    def cell(i: Column) -> Column:
-        mine = F.filter(keys, lambda k: _spot(k, (i / CELLS).cast("int"), level) == i % CELLS)
-        return F.aggregate(mine, _empty(), lambda c, k: _cell(c.n + 1, c.k.bitwiseXOR(k), c.h.bitwiseXOR(F.xxhash64(k))))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), cell)
+def sketch(keys: Column, level: int = 0, without: Column | None = None) -> Column:
+    """The cells of a set of digests, with those of another taken out again.
 
+    Each cell's test is spelled out with its own bits, since functions of arrays are not compiled.
+    """
+    def cell(i: int) -> Column:
+        mine = lambda c: F.filter(c, lambda k: _inside(k, i, level))
+        fold = lambda c, start, one: F.aggregate(mine(c), start, lambda x, k: _cell(x.n + one, x.k.bitwiseXOR(k), x.h.bitwiseXOR(F.xxhash64(k))))
+        held = fold(keys, _cell(F.lit(0), F.lit(0), F.lit(0)), 1)
+        return held if without is None else fold(without, held, -1)
 
-def subtract(left: Column, right: Column) -> Column:
-    """The sketch of the difference of two sketches."""
-    return F.zip_with(left, right, lambda a, b: _cell(a.n - b.n, a.k.bitwiseXOR(b.k), a.h.bitwiseXOR(b.h)))
+    return F.array(*[cell(i) for i in range(TABLES * CELLS)])
 
 
 def peel(cells: Column, level: int = 0) -> Column:
@@ -67,24 +64,26 @@ def peel(cells: Column, level: int = 0) -> Column:
     pure = lambda c: (F.abs(c.n) == 1) & (F.xxhash64(c.k) == c.h)
 
     def freed(cells: Column, out: Column) -> Column:
-        def less(c: Column, i: Column) -> Column:
-            mine = F.filter(out, lambda p: _spot(p.k, (i / CELLS).cast("int"), level) == i % CELLS)
-            return F.aggregate(mine, c, lambda x, p: _cell(x.n - p.n, x.k.bitwiseXOR(p.k), x.h.bitwiseXOR(F.xxhash64(p.k))))
+        def less(i: int) -> Column:
+            mine = F.filter(out, lambda p: _inside(p.k, i, level))
+            return F.aggregate(mine, cells[i], lambda x, p: _cell(x.n - p.n, x.k.bitwiseXOR(p.k), x.h.bitwiseXOR(F.xxhash64(p.k))))
 
-        return F.transform(cells, less)
+        return F.array(*[less(i) for i in range(TABLES * CELLS)])
 
     def step(state: Column, _: Column) -> Column:
         out = F.array_distinct(F.transform(F.filter(state.cells, pure), lambda c: F.struct(c.k.alias("k"), c.n.alias("n"))))
-        return _let(out, lambda p: F.when(F.size(p) == 0, state).otherwise(F.struct(freed(state.cells, p).alias("cells"), F.concat(state.found, p).alias("found"))))
+        end = F.struct(state.cells.alias("cells"), state.found.alias("found"), F.lit(True).alias("stuck"))
+        more = lambda p: F.struct(freed(state.cells, p).alias("cells"), F.concat(state.found, p).alias("found"), F.lit(False).alias("stuck"))
+        return F.when(state.stuck, state).otherwise(_let(out, lambda p: F.when(F.size(p) == 0, end).otherwise(more(p))))
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(False).alias("stuck"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
 def written(cells: Column) -> Column:
     """A sketch as text."""
-    pad = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(pad(c.n.cast("long"), 8), pad(c.k, 16), pad(c.h, 16))), "")
+    pad = lambda c, n: F.lpad(F.hex(c), n, "0")
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(pad(c.n.cast("long"), 8), pad(c.k, 16), pad(c.h, 16))), ""))
 
 
 def differences(pairs: DataFrame, keys: list[str], recovered: bool = False) -> DataFrame:
@@ -94,8 +93,10 @@ def differences(pairs: DataFrame, keys: list[str], recovered: bool = False) -> D
     """
     solved, pending = [], pairs
     for level in range(LEVELS):
-        got = pending.select(*keys, "a", "b", peel(subtract(sketch(F.col("a"), level), sketch(F.col("b"), level)), level).alias("p"))
-        clean = ~F.exists("p.cells", lambda c: (c.n != 0) | (c.k != 0) | (c.h != 0))
+        # each cell gives up one digest at most, so a larger difference of sizes can't be peeled
+        hopeless = F.abs(F.size("a") - F.size("b")) > TABLES * CELLS
+        got = pending.select(*keys, "a", "b", F.when(~hopeless, peel(sketch(F.col("a"), level, F.col("b")), level)).alias("p"))
+        clean = F.col("p").isNotNull() & ~F.exists("p.cells", lambda c: (c.n != 0) | (c.k != 0) | (c.h != 0))
         got = got.select(*keys, clean.alias("ok"), "a", "b", "p.found")
         hide = lambda c: F.when(~F.col("ok"), F.col(c)).alias(c)
         found = F.when(F.col("ok"), F.col("found")) if recovered else F.when(F.col("ok"), F.size("found").cast("long"))
@@ -104,8 +105,11 @@ def differences(pairs: DataFrame, keys: list[str], recovered: bool = False) -> D
         failed = got.where("not ok")
         if failed.isEmpty():
             break
-        own = lambda c: F.filter(c, lambda k: F.call_function("shiftrightunsigned", F.xxhash64(k, F.lit(1)), F.lit(2 * level)).bitwiseAND(F.lit(3)) == F.col("part")).alias(c)  # noqa: B023, E731
-        pending = failed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(*keys, own("a"), own("b"))
+        both = F.size("a") + F.size("b")
+        many = F.when(both > 8 * PART, 16).when(both > 4 * PART, 8).when(both > 2 * PART, 4).otherwise(2)
+        own = lambda c, part: F.filter(c, lambda k: F.xxhash64(k, F.lit(level + 1)).bitwiseAND(F.col("last")) == part).alias(c)  # noqa: B023, E731
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda part: F.struct(own("a", part), own("b", part)))
+        pending = failed.withColumn("last", (many - 1).cast("long")).select(*keys, F.explode(parts).alias("p")).select(*keys, "p.a", "p.b")
     all_ = reduce(DataFrame.unionByName, solved)
     if recovered:
         return all_.select(*keys, F.explode("found").alias("f")).select(*keys, F.col("f.k").alias("digest"), (F.col("f.n") == 1).alias("only_left"))

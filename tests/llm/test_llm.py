@@ -202,6 +202,29 @@ def test_iblt_recovers_digests(spark):
     assert {r.digest for r in got if r.only_left} == a and {r.digest for r in got if not r.only_left} == b and {r.k for r in got} == {1}
 
 
+def test_iblt_retries_fit_the_sets(spark, monkeypatch):
+    """Failed sketches are retried in as many parts as the sets need, not through ever four."""
+    rng = random.Random(2)
+    a, b = [rng.getrandbits(62) for _ in range(1500)], [rng.getrandbits(62) for _ in range(1500)]
+    levels = []
+
+    def counted(df, label, keep=iblt.staged):
+        out = keep(df, label)
+        levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(iblt, "staged", counted)
+    got = iblt.differences(spark.createDataFrame([(1, a, b), (2, a, b[:20]), (3, a, a[5:])], "k int, a array<long>, b array<long>"), ["k"]).collect()
+    assert {r.k: r.differ for r in got} == {1: 3000, 2: 1520, 3: 5}
+    assert len(levels) <= 5 and sum(levels) < 4520 / 4
+
+
+def test_iblt_takes_out(spark):
+    rows = spark.createDataFrame([([1, 2, 3, 1 << 62], [2, -7])], "a array<long>, b array<long>")
+    one, other, both = rows.select(iblt.sketch(F.col("a"), 1), iblt.sketch(F.col("b"), 1), iblt.sketch(F.col("a"), 1, F.col("b"))).first()
+    assert [tuple(c) for c in both] == [(x.n - y.n, x.k ^ y.k, x.h ^ y.h) for x, y in zip(one, other, strict=True)]
+
+
 def test_successors(spark, monkeypatch):
     monkeypatch.setattr(iblt, "FEW", 4)
     ids = sorted(random.Random(4).sample(range(-(10**12), 10**12), 40) + list(range(50)))
